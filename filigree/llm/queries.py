@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from filigree.llm import line_dedup
+from filigree.llm import line_dedup, token_counts
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 
