@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filigree.sources.workers import importable
+
 _made: list[tuple[object, str]] = []
 
 
@@ -49,3 +51,9 @@ def release() -> None:
 
 
 atexit.register(release)
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, with a package that the workers can import."""
+    importable(df.sparkSession)
+    return df.mapInArrow(function, schema)

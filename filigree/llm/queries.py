@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from filigree.llm import line_dedup, token_counts
+from filigree.llm import line_dedup, quality, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
 }

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from filigree.llm import _words
+from filigree.llm._scratch import arrow_map
 
 #: White space in the pre-tokenizer's pattern (Unicode White_Space), and the pattern itself: fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -228,7 +229,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
             n = np.array([own.count(x.as_py() or "") for x in batch.column(1)], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(n), pa.array(n > limit)], names=["key", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(key, text).mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
+    return arrow_map(docs.select(key, text), count, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
