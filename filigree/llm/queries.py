@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from filigree.llm import fingerprints, line_dedup, mixing, packing, quality, token_counts
+from filigree.llm import fingerprints, line_dedup, mixing, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
