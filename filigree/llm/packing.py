@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,16 @@ from filigree.llm._scratch import arrow_map, stored
 KEPT = 800_000
 
 
+#: Letters that lower-casing and NFC keep single letters: a run of these, with a mark or not, needs the model only.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]?)")
+
+
 class Encoder(dict):
     """Ids of runs of characters between white space, as packed 32-bit numbers.
 
-    For tokenizers that drop white space and never join across it, the ids of a text are those of its runs.
+    For byte-level tokenizers that lower-case, drop white space and never join across it, the ids of a text are those of
+    its runs. Runs of plain letters skip the library's normalizer and pre-tokenizer, which leave them as they are; all
+    other runs go through it whole.
     """
 
     def __init__(self, path: str):
@@ -40,27 +47,34 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, runs: set[bytes]) -> None:
-        if len(self) > KEPT:
-            self.clear()
-        new = [x for x in runs if x not in self]
-        stems = {}
-        for x in new:
-            if x[-1:] in b".,;:!?" and normalize("NFC", x[:-1].decode()).lower().isalpha():  # what stays letters is split from a mark
-                stems[x] = x[:-1]
-        plain = list({x for x in new if x not in stems} | {s for s in stems.values() if s not in self} | {x[-1:] for x in stems})
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in plain], add_special_tokens=False)
-        self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(plain, found, strict=True))
-        self.update((x, self[s] + self[x[-1:]]) for x, s in stems.items())
+        self.model = self.tokenizer.model
+        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in letters]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, run: bytes) -> bytes:
+        text = run.decode()
+        plain = PLAIN.fullmatch(text)
+        if plain and plain[2]:
+            out = self[plain[1].encode()] + (self.get(mark := plain[2].encode()) or self.whole(mark.decode()))
+        elif plain:
+            word = text.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            out = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        else:
+            out = self.whole(text)
+        if len(run) < 64:
+            if len(self) > KEPT:
+                self.clear()
+            self[run] = out
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        runs = text.split()
-        try:
-            return b"".join(map(self.__getitem__, runs))
-        except KeyError:
-            self.learn(set(runs))
-            return b"".join(map(self.__getitem__, runs))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -86,7 +100,6 @@ def pieces(docs: DataFrame, tokenizer: str, end: int | None, capacity: int, ids:
             data, bounds = _words.buffers(batch.column(1))
             data = memoryview(data)
             for a, b in _words.slices(bounds):
-                own.learn(set(bytes(data[bounds[a] : bounds[b]]).split()) if b - a > 1 else set())
                 rows, columns = [], ([], [], [], [], [])
                 for i in range(a, b):
                     tokens = own.encode(bytes(data[bounds[i] : bounds[i + 1]])) + last
