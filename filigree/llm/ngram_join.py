@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from filigree.llm import _words
 from filigree.llm._graph import components
+from filigree.llm._members import may_have, members
 from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._trie import linked
 from filigree.llm._words import U
 
-#: Slots of the rarity table and of the block filter (powers of 2), and n-grams in a chunk of a block at most.
-SLOTS, MEMBERS, CHUNK = 22, 26, 1 << 22
+#: Slots of the rarity table (a power of 2), and n-grams in a chunk of a block at most.
+SLOTS, CHUNK = 22, 1 << 22
 #: Of a frequent n-gram's sets, so many go to one task.
 SHARE = 4096
 
@@ -169,19 +170,12 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
 
 def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int, weights, text: str) -> DataFrame:
     """Links (a, b, chunks): stars of the components found in each block or pair of chunks, a the least id."""
-    spark = docs.sparkSession
     sizes = rows.filter("n > 0").select("id", "n").distinct()
     blocks = blocks.join(sizes, blocks["node"] == sizes["id"]).select("id", "block", "n")
     total = blocks.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.ceil(F.col("n") / CHUNK * 2).cast("int").alias("chunks"))
     total = total.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
     dealt = stored(blocks.select("id", "block").join(total, "block"), "blocks")
-    # a filter of fixed size for the second reading of the texts; what it lets pass in error is dropped by the join
-    at = F.shiftrightunsigned("id", 64 - MEMBERS)
-    filters = dealt.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
-    member = np.zeros(1 << MEMBERS - 3, np.uint8)
-    for page, bits in filters:
-        member[page * 4096 : page * 4096 + 4096] = np.frombuffer(bytes(bits), np.uint8)
-    shared = spark.sparkContext.broadcast(member)
+    shared = members(dealt, "id")  # what it lets pass in error is dropped by the join
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, table, known = shared.value, weights.value, set()
@@ -192,8 +186,7 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, nu
                     continue
                 known.add(name)
                 number = _number(name)
-                slot = (number & 0xFFFFFFFFFFFFFFFF) >> 64 - MEMBERS
-                if bits[slot >> 3] >> (slot & 7) & 1:
+                if may_have(bits, number):
                     ids.append(number)
                     parts.append(_order(grams, table).tobytes())
                     if len(ids) >= 500:

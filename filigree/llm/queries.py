@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from filigree.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity
+from filigree.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_token_counts": token_counts.op4_token_counts,
