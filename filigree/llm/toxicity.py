@@ -20,7 +20,7 @@ from filigree.llm._scratch import arrow_map
 from filigree.llm._words import U, Words
 
 #: Labelled rows that the fit reads at most (a third of them toxic, if there are so many), and features it keeps at most.
-SAMPLE, FEATURES = 12_000, 4096
+SAMPLE, FEATURES = 8_000, 4096
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 STOP, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -109,7 +109,7 @@ def _pick(texts: pa.Array, y: np.ndarray, most: int) -> np.ndarray:
         found, doc = once(found, doc)
         for label in (0, 1):
             count[label] += np.bincount((found[y[doc] == label] >> U(42)).astype(np.int64), minlength=slots).astype(np.int32)
-    wanted = chi(count[1], count[0]) > 0
+    wanted = chi(count[1], count[0]) > 5  # a slot's other hashes dilute it
     parts = []
     for found, doc in passes():
         keep = wanted[(found >> U(42)).astype(np.int64)]
