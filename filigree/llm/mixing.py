@@ -170,7 +170,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
     at = F.col("block") * block
     low, high = F.greatest("first", at), F.least(F.col("first") + F.col("size"), at + F.col("words"))
     mixed = (
-        parts.join(schedule(spark, found, seed), ["source_no", "block"])
+        parts.hint("merge").join(schedule(spark, found, seed), ["source_no", "block"])  # both grow with the input
         .select("shard", "slot", "source_no", "pass", "first", "doc_id", "tag", (low - F.col("first")).alias("start"), (high - low).alias("length"))
         .filter("length > 0")
     )
@@ -181,7 +181,7 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     """For each row: doc_id, tag, size, source_size, target and taken (words that the mix takes, repeats counted)."""
     placed, mixed, found = mix(docs, seed)
     about = docs.sparkSession.createDataFrame([(i, x.size, float(x.target)) for i, x in enumerate(found)], "source_no int, source_size long, target double")
-    sums = mixed.groupBy("source_no", "first").agg(F.sum("length").alias("all"))  # places are unique, rows may not be
+    sums = mixed.groupBy("source_no", "first").agg(F.sum("length").alias("all")).hint("merge")  # places are unique, rows may not be
     out = placed.join(sums, ["source_no", "first"], "left").join(about, "source_no")
     return out.select("doc_id", "tag", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("all", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
