@@ -1,8 +1,8 @@
 """N-gram Jaccard join: links between documents whose sets of word n-grams are alike, and what they connect.
 
 1. Each document's distinct n-grams are hashed. Documents with equal sets are one set from here on.
-2. N-grams get a global order, rare ones first. Rarity is judged by a table of fixed size: each task counts n-grams by
-   slot and reports the slots that stand out; any order gives the same links, a good one gives fewer candidates.
+2. N-grams get a global order, rare ones first: they are counted by hash, over all sets, and tables of bounded size tell
+   which stand in more than one set, and which in many. (Any order gives the same links; a good one, fewer candidates.)
 3. Prefix filter: two sets above the threshold share an n-gram among the first n - ceil(t n) + 1 of each. Sets that share
    one, and whose sizes permit, are connected into blocks: a set meets the first of its run only, never all others.
 4. Each block's sets are stored in a trie in the global order and joined by walking it; see _trie. Blocks over a bounded
@@ -27,10 +27,12 @@ from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._trie import linked
 from filigree.llm._words import U
 
-#: Slots of the rarity table (a power of 2), and n-grams in a chunk of a block at most.
-SLOTS, CHUNK = 22, 1 << 22
-#: Of a frequent n-gram's sets, so many go to one task.
-SHARE = 4096
+#: Slots of the table of frequent n-grams, and of that of shared ones at most (powers of 2), and n-grams in a chunk of a block.
+SLOTS, MOST_BITS, CHUNK = 22, 29, 1 << 22
+#: N-grams that a task holds before it hands them on, and bytes of input for each bucket that they go to.
+HELD, BUCKET = 1 << 21, 1 << 18
+#: From so many sets on an n-gram is frequent; of its sets, so many go to one task.
+MANY, SHARE = 16, 4096
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -47,47 +49,116 @@ def _number(name: bytes) -> int:
 
 
 def ngram_sets(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
-    """A row (key, n, id) for each document; rows (slot, found) of n-gram slots that stand out in a task have no n."""
+    """A row (key, n, id) for each document: how many n-grams its set has, and the set's number."""
     kind = docs.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, total, waiting = set(), np.zeros(1 << SLOTS, np.int64), 0, []
         for batch in batches:
-            n, ids = [], []
-            for _, grams, name in _sets(batch.column(1), k):
-                n.append(len(grams))
-                ids.append(_number(name) if name else 0)
-                if name and name not in known:
-                    known.add(name)
-                    waiting.append((grams >> U(64 - SLOTS)).astype(np.int64))
-                    total += len(grams)
-                    if len(waiting) >= 2000:
-                        count += np.bincount(np.concatenate(waiting), minlength=1 << SLOTS)
-                        waiting = []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names=["key", "n", "id", "slot", "found"])
-        if waiting:
-            count += np.bincount(np.concatenate(waiting), minlength=1 << SLOTS)
-        mean = total / (1 << SLOTS)
-        slots = np.flatnonzero(count >= mean + 6 * mean**0.5 + 4)
-        if len(slots):
-            m = len(slots)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.schema.field(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(slots, pa.int32()), pa.array(count[slots])], names=["key", "n", "id", "slot", "found"])
+            found = [(len(grams), _number(name) if name else 0) for _, grams, name in _sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["key", "n", "id"])
+
+    return arrow_map(docs.select(key, text), read, f"key {kind}, n long, id long")
 
-    return arrow_map(docs.select(key, text), read, f"key {kind}, n long, id long, slot int, found long")
 
+def _bucket_bits(docs: DataFrame) -> int:
+    """So many that a bucket's n-grams fit in a task at any size of the input, as the plan estimates it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // BUCKET).bit_length(), 8), 20)
 
-def _order(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """N-grams under the global order, sorted: the weight of the slot, then the hash."""
-    weight = weights[(grams >> U(64 - SLOTS)).astype(np.int64)].astype(U)
-    return np.sort(weight << U(58) | grams >> U(6))
 
+def _frequencies(docs: DataFrame, k: int, total: int, text: str):
+    """Broadcast tables: which n-grams stand in two sets at least (bits, by hash), and weights of frequent ones (by slot)."""
+    buckets, bits = _bucket_bits(docs), min(max(total.bit_length(), SLOTS), MOST_BITS)
+    low = 64 - buckets - 32
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, waiting = set(), [], 0
+
+        def deal() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            bucket, rest = (grams >> U(64 - buckets)).astype(np.int64), (grams >> U(low)).astype(np.uint32)
+            edges = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+            single = counts == 1
+            ones, more, often = [], [], []
+            for a, b in zip(edges, np.append(edges[1:], len(grams)), strict=True):
+                own = single[a:b]
+                ones.append(rest[a:b][own].tobytes())
+                more.append(rest[a:b][~own].tobytes())
+                often.append(counts[a:b][~own].astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), *(pa.array(x, pa.binary()) for x in (ones, more, often))], names=["bucket", "ones", "more", "often"])
+
+        for batch in batches:
+            for _, grams, name in _sets(batch.column(0), k):
+                if name and name not in known:
+                    known.add(name)
+                    held.append(grams)
+                    waiting += len(grams)
+                    if waiting >= HELD:
+                        yield deal()
+                        held, waiting = [], 0
+        if held:
+            yield deal()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+
+        def close() -> pa.RecordBatch:
+            ones, more, often = (np.frombuffer(b"".join(x), np.uint32) for x in zip(*parts, strict=True))
+            grams, counts = np.concatenate((ones, more)), np.concatenate((np.ones(len(ones), np.int64), often))
+            order = np.argsort(grams, kind="stable")
+            grams, counts = grams[order], counts[order]
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            sums = np.add.reduceat(counts, first)
+            shared = sums >= 2
+            whole = U(current) << U(64 - buckets) | grams[first[shared]].astype(U) << U(low)
+            at, sums = (whole >> U(64 - bits)).astype(np.int64), sums[shared]
+            slots, place = np.unique((whole[sums >= MANY] >> U(64 - SLOTS)).astype(np.int64), return_inverse=True)
+            top = np.zeros(len(slots), np.int64)
+            np.maximum.at(top, place, sums[sums >= MANY])
+            pages = np.unique(at >> 12)
+            packed = []
+            for x in pages:
+                flags = np.zeros(4096, bool)
+                flags[at[(at >> 12) == x] & 4095] = True
+                packed.append(np.packbits(flags, bitorder="little").tobytes())
+            m, j = len(pages), len(slots)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((pages, slots)).astype(np.int64)), pa.array([*packed, *[None] * j], pa.binary()), pa.array([*[None] * m, *top.tolist()], pa.int64())], names=["at", "bits", "sets"])
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, weights, text: str) -> DataFrame:
-    """Rows (gram, part, id, n): the prefix of each set, at least once. part splits frequent n-grams."""
+        for batch in batches:
+            for bucket, *part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != current and parts:
+                    yield close()
+                    parts = []
+                current = bucket
+                parts.append(part)
+        if parts:
+            yield close()
+
+    dealt = arrow_map(docs.select(text), read, "bucket int, ones binary, more binary, often binary")
+    found = stored(arrow_map(dealt.repartition("bucket").sortWithinPartitions("bucket"), count, "at long, bits binary, sets long"), "frequencies")
+    shared = np.zeros((1 << bits - 12, 512), np.uint8)  # in pages of 4096 bits
+    for at, packed in found.filter("bits IS NOT NULL").select("at", "bits").collect():
+        shared[at] |= np.frombuffer(bytes(packed), np.uint8)
+    weights = np.zeros(1 << SLOTS, np.uint8)
+    for at, sets in found.filter("sets IS NOT NULL").groupBy("at").agg(F.max("sets")).collect():
+        weights[at] = min(2 + int(4 * np.log2(sets / MANY)), 63)
+    return docs.sparkSession.sparkContext.broadcast((shared.reshape(-1), bits, weights))
+
+
+def _order(grams: np.ndarray, tables: tuple) -> np.ndarray:
+    """N-grams under the global order, sorted: unique ones, shared ones, frequent ones by weight; then by hash."""
+    shared, bits, weights = tables
+    at = (grams >> U(64 - bits)).astype(np.int64)
+    weight = np.maximum(weights[(grams >> U(64 - SLOTS)).astype(np.int64)], 1)
+    weight *= shared[at >> 3] >> (at & 7).astype(np.uint8) & 1
+    return np.sort(weight.astype(U) << U(58) | grams >> U(6))
+
+
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, tables, text: str) -> DataFrame:
+    """Rows (gram, part, id, n): of the prefix of each set the n-grams that other sets may have. part splits frequent ones."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = weights.value, set()
-        share = _share()
+        own, known, share = tables.value, set(), _share()
         for batch in batches:
             parts, ids, sizes = [], [], []
             for _, grams, name in _sets(batch.column(0), k):
@@ -95,14 +166,15 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, weights, text: str) -
                     continue
                 known.add(name)
                 n = len(grams)
-                parts.append(_order(grams, table)[: n - -(-num * n // den) + 1])
+                prefix = _order(grams, own)[: n - -(-num * n // den) + 1]
+                parts.append(prefix[np.searchsorted(prefix, U(1 << 58)) :])
                 ids.append(_number(name))
                 sizes.append(n)
             if parts:
                 grams, lengths = np.concatenate(parts), [len(x) for x in parts]
-                own = np.repeat(np.array(ids, np.int64), lengths)
-                part = (own & 0xFFFFFF) % share[(grams >> U(58)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(own), pa.array(np.repeat(sizes, lengths).astype(np.int32))], names=["gram", "part", "id", "n"])
+                number = np.repeat(np.array(ids, np.int64), lengths)
+                part = (number & 0xFFFFFF) % share[(grams >> U(58)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(number), pa.array(np.repeat(sizes, lengths).astype(np.int32))], names=["gram", "part", "id", "n"])
 
     return arrow_map(docs.select(text), read, "gram long, part int, id long, n int")
 
@@ -124,7 +196,7 @@ def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 def _share() -> np.ndarray:
     """Into how many parts an n-gram of each weight is split."""
-    return np.maximum((16 * 2 ** (np.arange(64) / 4)) // SHARE, 1).astype(np.int64)
+    return np.maximum(MANY * 2 ** ((np.arange(64) - 1) / 4) // SHARE, 1).astype(np.int64)
 
 
 def _first_cut() -> int:
@@ -143,14 +215,10 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     docs = docs.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
     rows = stored(ngram_sets(docs, k, text, key), "sets")
-    found = rows.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("found").alias("c")).filter("c >= 16").collect()  # at most 2**SLOTS rows
-    table = np.zeros(1 << SLOTS, np.uint8)
-    if found:
-        slots, counts = (np.array(x, np.int64) for x in zip(*found, strict=True))
-        table[slots] = np.minimum(1 + 4 * np.log2(counts / 16), 63).astype(np.uint8)
-    weights = spark.sparkContext.broadcast(table)  # 2**SLOTS bytes
-
-    edges = _candidates(_prefixes(docs, k, num, den, weights, text), num, den)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    weights = _frequencies(docs, k, total, text)
+
+    edges = _candidates(stored(_prefixes(docs, k, num, den, weights, text), "prefixes"), num, den)
     stars = components(edges)
     blocks = stars.select("node", F.col("root").alias("block")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
     links = stored(_block_links(docs, rows, blocks, k, num, den, weights, text), "links")
@@ -159,12 +227,11 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     if not cut.isEmpty():
         joined = joined.unionByName(components(cut))
 
-    own = rows.filter("slot IS NULL")
-    sets = own.filter("n > 0").groupBy("id").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("none"), F.count(F.lit(1)).alias("rows"))
+    sets = rows.filter("n > 0").groupBy("id").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("none"), F.count(F.lit(1)).alias("rows"))
     sets = sets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "least", "none", "rows")
     groups = sets.groupBy("root").agg(F.min("least").alias("least"), F.max("none").alias("none"), F.sum("rows").alias("n_class"))
     named = sets.select("id", "root").join(groups, "root").select(F.col("id").alias("_id"), F.when(F.col("none"), F.lit(None).cast(kind)).otherwise(F.col("least")).alias("least"), "n_class")
-    out = own.join(named, (F.col("n") > 0) & (F.col("id") == F.col("_id")), "left")
+    out = rows.join(named, (F.col("n") > 0) & (F.col("id") == F.col("_id")), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 

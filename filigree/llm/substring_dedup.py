@@ -113,7 +113,7 @@ def _index(survey: DataFrame):
 
     table = np.zeros(1 << bits - 3, np.uint8)
     size = 1 << bits - 11
-    for segment, packed in arrow_map(blocks.repartition("segment"), build, "segment int, bits binary").toLocalIterator():
+    for segment, packed in arrow_map(blocks.repartition("segment"), build, "segment int, bits binary").collect():
         table[segment * size : (segment + 1) * size] = np.frombuffer(packed, np.uint8)
     return survey.sparkSession.sparkContext.broadcast(table), bits
 
