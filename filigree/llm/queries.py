@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from filigree.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
+from filigree.llm import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_fingerprints": fingerprints.op3_fingerprints,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
