@@ -186,5 +186,23 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     return out.select("doc_id", "tag", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("all", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
+    """The mix as documents: a row of docs for each pass that takes some of its words, with just these as its text.
+
+    A pass that takes all words leaves the text as it is; else the words taken are joined by one space. Rows should differ
+    in doc_id or text; rows without words, or of which the mix takes none, are gone.
+    """
+    _, mixed, _ = mix(docs, seed)
+    turns = mixed.groupBy("source_no", "first", "pass", "doc_id", "tag").agg(
+        F.sum("length").alias("_n"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_parts")
+    )
+    turns = turns.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_n", "_parts").hint("merge")
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    some = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(F.col("_words"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
+    joined = docs.join(turns, docs["doc_id"].eqNullSafe(turns["_doc"]) & (F.xxhash64(docs[text]) == turns["_tag"])).withColumn("_words", words)
+    out = joined.withColumn(text, F.when(F.size("_words") == F.col("_n"), F.col(text)).otherwise(some))
+    return out.select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

@@ -192,6 +192,18 @@ def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     return arrow_map(docs.select(key, text), judge, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are; no join, no shuffle."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in _words.each(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(words)[0] < threshold))
+
+    return arrow_map(docs, keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The sentences that score at least `threshold`: `key`, sentence (from 0), its words as text, score."""
     kind = docs.schema[key].dataType.simpleString()
