@@ -137,12 +137,12 @@ class Trie:
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, cells: int = 1 << 24) -> np.ndarray:
+def linked(sets: list[np.ndarray], num: int, den: int, cells: int = 1 << 24, pairs: int = 1 << 18) -> np.ndarray:
     """For each set (sorted, none equal) the least number of a set that it reaches by links of den * overlap >= num * union.
 
     Some pivots first gather what is like them, so that a large group of near copies becomes one component cheaply. Each
     link between components has an end outside the largest one; so the sets outside it, and only these, walk the trie of
-    all sets, and no link is lost.
+    all sets, and no link is lost. cells and pairs bound the memory of the walk.
     """
     m = len(sets)
     forest = Forest(m)
@@ -177,7 +177,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, cells: int = 1 << 24) ->
     trie = Trie(codes.astype(np.uint32), offsets, len(values))
     columns = np.append(column, -1)
     trie.tokens = np.where(columns[trie.tokens] < 0, width, columns[trie.tokens]).astype(np.int64)
-    step = max(1, cells // (width + 1))
+    step = max(1, min(cells // (width + 1), pairs // m))  # a level has no more pairs than probes times sets
     for a in range(0, len(probes), step):
         some = probes[a : a + step]
         member = np.zeros((len(some), width + 1), bool)
