@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, NumericType
 
 from filigree.functions.stats import safe_divide
 from filigree.sources.workers import importable
@@ -84,7 +84,7 @@ def mann_whitney(values: DataFrame, group: str, a, b, name: str = "feature", val
     return s.withColumn("u", u).withColumn("p", erfc(z / math.sqrt(2))).select(name, "n1", "n2", "u", "p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """The complementary error function; on one value for each feature only."""
     return x.map(lambda v: None if v is None or np.isnan(v) else math.erfc(v))
@@ -118,7 +118,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or np.isnan(v) else _upper_gamma(k / 2, v / 2) for v, k in zip(x, freedom, strict=True)], dtype=float)
 
