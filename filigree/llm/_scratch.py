@@ -1,59 +1,16 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, and Python over Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from filigree.sources.scratch import release, root, stored
+from filigree.sources.workers import importable, trimmed
 
-from filigree.sources.workers import importable
-
-_made: list[tuple[object, str]] = []
-
-
-def root(spark: SparkSession) -> str:
-    """The shared scratch folder: spark.checkpoint.dir, or for a local master without one a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="filigree-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    _made.append((spark, f"file://{made}"))
-    return f"file://{made}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it back: cuts lineage, survives lost executors, and is small as Parquet.
-
-    The table lives until release() or the end of the application.
-    """
-    spark = df.sparkSession
-    path = f"{root(spark)}/filigree/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Deletes the tables written so far; results that still depend on them can't be read afterwards."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended; its folder goes with it
-            pass
-
-
-atexit.register(release)
+__all__ = ["arrow_map", "release", "root", "stored"]
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow, with a package that the workers can import."""
     importable(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(trimmed(function), schema)

@@ -34,7 +34,7 @@ WINDOW, BLOCK = 50, 25
 LEAST_BITS, MOST_BITS = 20, 29
 SEGMENTS = 256
 #: Windows that a task holds before it settles them.
-HELD = 1 << 21
+HELD = 1 << 20
 NULL = -(2**63)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -177,7 +177,7 @@ def _packed(cls: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> Iterator[pa.R
 
 
 def _met(windows: DataFrame, ranked: bool) -> DataFrame:
-    """(cls, positions): what tasks settled, and what meets in the others."""
+    """(cls, single, packs): positions that meet in several tasks, and packed ones that tasks settled."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -185,18 +185,19 @@ def _met(windows: DataFrame, ranked: bool) -> DataFrame:
             packed = batch.column(4).is_valid()
             done = batch.filter(packed)
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(4)], names=["cls", "positions"])
+                yield pa.RecordBatch.from_arrays([done.column(1), pa.nulls(done.num_rows, pa.int32()), done.column(4)], names=["cls", "pos", "pack"])
             rest = batch.filter(pa.compute.invert(packed))
             held.append(tuple(rest.column(i).to_numpy() for i in range(4)))
         if not held:
             return
         hashes, cls, rank, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         gone, _ = _resolve(hashes, cls, rank, ranked)
-        for x in _packed(cls[gone], rank[gone], pos[gone]):
-            yield pa.RecordBatch.from_arrays([x.column(1), x.column(4)], names=["cls", "positions"])
+        for a in range(0, len(gone), 100_000):
+            at = gone[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(pos[at]), pa.nulls(len(at), pa.binary())], names=["cls", "pos", "pack"])
 
-    met = arrow_map(windows.repartition("meet"), meet, "cls long, positions binary")
-    return stored(met, "met").groupBy("cls").agg(F.collect_list("positions").alias("positions"))
+    met = arrow_map(windows.repartition("meet"), meet, "cls long, pos int, pack binary")
+    return met.groupBy("cls").agg(F.collect_list("pos").alias("single"), F.collect_list("pack").alias("packs"))
 
 
 def _probe(docs: DataFrame, index, bits: int) -> DataFrame:
@@ -244,8 +245,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), read, "cls long, text string")
 
 
-def _starts(packs: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in packs])).astype(np.int64)
+def _starts(single: list[int], packs: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([np.array(single, np.int64), *(np.frombuffer(x, "<i4") for x in packs)]))
 
 
 def _covered(starts: np.ndarray, back: int, ahead: int, n: int) -> np.ndarray:
@@ -264,18 +265,18 @@ def _extend(docs: DataFrame, anchors: DataFrame, ranks: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = _Meeting(True)
         for batch in batches:
-            names, ranked, packs = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            names, ranked, single, packs = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
             for a, words, _ in _documents(batch.column(0)):
                 hashes = words.hashes()
                 for i in range(len(words.offsets) - 1):
                     at, n = words.offsets[i], words.offsets[i + 1] - words.offsets[i]
-                    pos = np.flatnonzero(_covered(_starts(packs[a + i]), WINDOW - BLOCK, 0, n - WINDOW + 1))
+                    pos = np.flatnonzero(_covered(_starts(single[a + i], packs[a + i]), WINDOW - BLOCK, 0, n - WINDOW + 1))
                     own = _words.rolling(hashes, _words.WORD_BASE, at + pos, at + pos + WINDOW)
                     if meeting.add(own, names[a + i], ranked[a + i], pos):
                         yield from meeting.settle()
         yield from meeting.settle()
 
-    return arrow_map(texts.select("text", "cls", "rank", "positions"), read, MET)
+    return arrow_map(texts.select("text", "cls", "rank", "single", "packs"), read, MET)
 
 
 def _cut(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -284,15 +285,15 @@ def _cut(docs: DataFrame, windows: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, kept = [], []
-            for text, packs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, single, packs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = text.encode().split()
-                gone = _covered(_starts(packs), 0, WINDOW - 1, len(words))
+                gone = _covered(_starts(single, packs), 0, WINDOW - 1, len(words))
                 n.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["cls", "removed", "kept"])
 
     windows = stored(windows, "windows")
-    texts = _texts(docs, windows).hint("merge").join(windows, "cls").select("cls", "text", "positions")
+    texts = _texts(docs, windows).hint("merge").join(windows, "cls").select("cls", "text", "single", "packs")
     return arrow_map(texts, read, "cls long, removed long, kept string")
 
 
