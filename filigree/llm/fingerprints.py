@@ -154,7 +154,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
             for a, b, words in _words.each(batch.column(1)):
                 entries, n = signatures(words)
                 full = np.flatnonzero(n)
-                grouped = entries[full].astype(U).reshape(len(full), -1, rows_per_band)
+                grouped = entries[full].astype(U).reshape(len(full), ENTRIES // rows_per_band, rows_per_band)
                 keys = np.arange(grouped.shape[1], dtype=U)[None, :] + U(1)
                 for i in range(rows_per_band):
                     keys = _words.mix(keys * U(_words.WORD_BASE) + grouped[:, :, i])

@@ -122,8 +122,8 @@ def _pick(texts: pa.Array, y: np.ndarray, most: int) -> np.ndarray:
 
 
 def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, most: int = FEATURES, rounds: int = 400, ridge: float = 3e-4) -> Model:
-    """Weights by Adam on the noisy-or likelihood of the documents' labels."""
-    if not y.sum():
+    """Weights by Adam on the noisy-or likelihood of the documents' labels. Without both labels there is nothing to learn: all score 0."""
+    if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, U), np.zeros(0), -30.0)
     hashes = _pick(texts, y, most)
     rows, columns, docs, total = [], [], [], 0
