@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType
 
-_ddl = StructType.fromDDL
+#: Schemas are DDL strings: parsing them takes a session.
 POINTS = "array<struct<z:int,y:int,x:int>>"
-JOBS = _ddl("file_path string, image_index int, mask_mode string, image_name string")
-CURATED_JOBS = _ddl("file_path string, image_index int, mask_mode string, image_name string, status string, inner_corners array<struct<x:double,y:double>>")
-CHUNKS = _ddl("image_id string, cz int, cy int, cx int, origin array<int>, shape array<int>, dtype string, data binary")
-VOXELS = _ddl("image_id string, z int, y int, x int")
-FIELD = _ddl("image_id string, z int, y int, x int, value double")
-MASK_2D = _ddl("image_id string, y int, x int")
-Z_VOTES = _ddl("image_id string, z int, votes int")
-VOXEL_SIZE = _ddl("z_um double, y_um double, x_um double, xy_um double")
-NODES = _ddl("image_id string, node_id long, z int, y int, x int, sprout boolean")
-EDGES = _ddl(f"image_id string, u long, v long, weight double, pts {POINTS}")
-LEDGER = _ddl("name string, status string, message string")
-FAILURES = _ddl("image string, category string, body string")
+JOBS = "file_path string, image_index int, mask_mode string, image_name string"
+CURATED_JOBS = "file_path string, image_index int, mask_mode string, image_name string, status string, inner_corners array<struct<x:double,y:double>>"
+CHUNKS = "image_id string, cz int, cy int, cx int, origin array<int>, shape array<int>, dtype string, data binary"
+VOXELS = "image_id string, z int, y int, x int"
+FIELD = "image_id string, z int, y int, x int, value double"
+MASK_2D = "image_id string, y int, x int"
+Z_VOTES = "image_id string, z int, votes int"
+VOXEL_SIZE = "z_um double, y_um double, x_um double, xy_um double"
+NODES = "image_id string, node_id long, z int, y int, x int, sprout boolean"
+EDGES = f"image_id string, u long, v long, weight double, pts {POINTS}"
+LEDGER = "name string, status string, message string"
+FAILURES = "image string, category string, body string"
 
 #: Column and metric names of the result tables, in their order.
 BRANCH_METRICS = (

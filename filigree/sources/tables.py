@@ -35,9 +35,9 @@ def cohort(spark: SparkSession, root: str, kind: str) -> DataFrame:
     wanted = files.filter(family(F.col("path")) == kind)
     header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", True).text(root)
     heads = header.select(F.col("_metadata.file_path").alias("path"), F.split_part("value", F.lit("\n"), F.lit(1)).alias("header")).join(wanted, "path", "left_semi")
-    groups = heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    groups = heads.groupBy("header").agg(F.collect_set("path").alias("paths")).collect()
     out = None
-    for header, paths in groups:
+    for _, paths in groups:
         part = spark.read.option("header", True).option("inferSchema", True).option("nanValue", "NaN").csv(paths)
         part = part.withColumn("source_path", F.col("_metadata.file_path")).withColumn("source_folder", F.regexp_extract("source_path", r"([^/]+)/[^/]+$", 1))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
