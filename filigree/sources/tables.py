@@ -33,7 +33,7 @@ def cohort(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
     wanted = files.filter(family(F.col("path")) == kind)
-    header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", True).text(root)
+    header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root, wholetext=True)
     heads = header.select(F.col("_metadata.file_path").alias("path"), F.split_part("value", F.lit("\n"), F.lit(1)).alias("header")).join(wanted, "path", "left_semi")
     groups = heads.groupBy("header").agg(F.collect_set("path").alias("paths")).collect()
     out = None
