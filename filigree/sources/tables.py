@@ -63,7 +63,7 @@ def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataF
                 rows.append({"path": name, "shape": list(a.shape), "dtype": str(a.dtype), "data": np.ascontiguousarray(a).tobytes()})
             yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "data"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInPandas(run, "path string, shape array<int>, dtype string, data binary")
 
 
