@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.sources.scratch import stored
+from filigree.sources.scratch import discard, stored
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         large = _distinct(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        stars = stored(_distinct(small), "edges")
+        old, stars = stars, stored(_distinct(small), "edges")
+        discard(old)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

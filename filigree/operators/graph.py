@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.components import components as _components
-from filigree.sources.scratch import stored
+from filigree.sources.scratch import discard, stored
 from filigree.sources.workers import importable
 
 IMAGE = "image_id"
@@ -44,8 +44,11 @@ def peeled(edges: DataFrame, removable: str, most: int = 200) -> DataFrame:
     Whether an edge is removable depends on itself only, so the rounds of all images run together; the loop ends with the
     longest chain of removable edges. Rounds are stored; the driver sees one count.
     """
+    marked = None
     for _ in range(most):
-        marked = stored(with_degrees(edges).withColumn("_go", F.col(removable) & ((F.col("du") == 1) | (F.col("dv") == 1))).drop("du", "dv"), "peel")
+        old, marked = marked, stored(with_degrees(edges).withColumn("_go", F.col(removable) & ((F.col("du") == 1) | (F.col("dv") == 1))).drop("du", "dv"), "peel")
+        if old is not None:
+            discard(old)
         if marked.filter("_go").isEmpty():
             return marked.drop("_go")
         edges = marked.filter("NOT _go").drop("_go")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[object, str]] = []
 
+
 def root(spark: SparkSession) -> str:
     """The shared scratch folder: spark.checkpoint.dir, or for a local master without one a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,6 +23,7 @@ def root(spark: SparkSession) -> str:
     _made.append((spark, f"file://{made}"))
     return f"file://{made}"
 
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table once and reads it back: cuts lineage, survives lost executors, and is small as Parquet.
 
@@ -31,18 +33,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(spark)}/filigree/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored() returned, once nothing lazy depends on it: rounds of a loop don't pile up."""
+    path = getattr(df, "_stored_at", None)
+    for spark, made in [x for x in _made if x[1] == path]:
+        _made.remove((spark, made))
+        _delete(spark, made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; its folder goes with it
+        pass
+
 
 def release() -> None:
     """Deletes the tables written so far; results that still depend on them can't be read afterwards."""
     while _made:
         spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended; its folder goes with it
-            pass
+        _delete(spark, path)
+
 
 atexit.register(release)
 

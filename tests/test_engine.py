@@ -9,8 +9,8 @@ from pyspark.sql.types import StructType
 
 from filigree import schemas
 from filigree.functions import geometry, labels, stats
-from filigree.operators import cohort, graph, metrics, runs, volume, voxels
-from filigree.sources import jobs, tables
+from filigree.operators import cohort, device, graph, metrics, runs, volume, voxels
+from filigree.sources import images, jobs, tables
 
 EDGES = "image_id string, u long, v long, weight double"
 PATH = [("p", 1, 2, 1.0), ("p", 2, 3, 1.0), ("p", 3, 4, 1.0)]
@@ -224,3 +224,45 @@ def test_orientation_bounds(spark):
     rows = [(math.cos(a), math.sin(a)) for a in np.linspace(0, 6.28, 40)]
     out = spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, y double").select(geometry.orientation(F.col("x"), F.col("y")).alias("o")).agg(F.min("o"), F.max("o")).first()
     assert 0 <= out[0] and out[1] <= 90
+
+
+def test_device_planes():
+    rng = np.random.default_rng(2)
+    image = rng.normal(0, 0.05, (60, 80))
+    image[25:40, 30:50] += 1.0
+    for t in (device.otsu(image), device.yen(image)):
+        assert 0.1 < t < 0.95
+    assert 0 < device.triangle(np.abs(image)) < 0.95
+    mask = device.central_object(image, "light", 0.02, 0.2)
+    assert abs(int(mask.sum()) - 300) < 60
+    with pytest.raises(ValueError):
+        device.central_object(np.zeros((40, 40)) + rng.normal(0, 1e-3, (40, 40)), "light", 0.9, 1.0)
+    two = np.zeros((10, 10), bool)
+    two[0:2, 0:2] = two[2, 2] = two[7, 7] = True
+    assert device.labelled(two).max() == 2 and [r["area"] for r in device.regions(device.labelled(two))] == [5, 1]
+    assert (device.eroded(device.dilated(two, 1), 1) >= two).all()
+    corners = np.array([[10.0, 5.0], [29.0, 5.0], [29.0, 14.0], [10.0, 14.0]])
+    ramp = np.mgrid[:40, :50][1].astype(float)
+    assert np.allclose(device.rectified(ramp, corners), np.tile(np.arange(10, 30), (10, 1)))
+    box = np.zeros((40, 40), bool)
+    box[10:20, 5:35] = True
+    assert np.allclose(device.oriented_box(box), [[5, 10], [34, 10], [34, 19], [5, 19]])
+    assert np.allclose(device.device_rectangle(np.ones((20, 30)) + rng.normal(0, 1e-6, (20, 30)))[2], [29, 19])
+
+
+def test_focus_and_axes():
+    rng = np.random.default_rng(3)
+    stack = np.zeros((5, 100, 100))
+    stack[3] = rng.random((100, 100))
+    assert device.votes(stack) == {0: 0, 1: 0, 2: 0, 3: 4, 4: 0}
+    moved = device.refocused(np.arange(5)[:, None, None] * np.ones((5, 2, 2)), np.array([[1, 2], [2, 3]]))
+    assert moved[2].tolist() == [[1, 2], [2, 3]]
+    assert device.as_stack(np.zeros((4, 5))).shape == (1, 4, 5) and device.as_stack(np.zeros((9, 2, 5, 6)), 7).shape == (9, 5, 6)
+
+
+def test_image_files(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(np.arange(12, dtype=np.uint8).tobytes())
+    (tmp_path / "b.tif").write_bytes(b"xx")
+    found = jobs.discovered(spark, str(tmp_path))
+    good, failed = images.stacks(found, lambda content, index: np.frombuffer(content, np.uint8).reshape(3, 4))
+    assert volume.unpack(good.first()).shape == (1, 3, 4) and failed.first()["status"] == "FAILED"
