@@ -60,34 +60,45 @@ def removable(length: str, tip: str, neighbour: str, most: float = 25.0, ratio:
     return (F.col(length) <= most) | (F.col(tip) / (F.col(neighbour) + 1e-6) > ratio)
 
 
+def joined(a: list, b: list) -> list:
+    """Two polylines as one, put together at their nearest ends; a shared end point counts once."""
+    options = [(x, y) for x in (a, a[::-1]) for y in (b, b[::-1])]
+    x, y = min(options, key=lambda o: sum((p - q) ** 2 for p, q in zip(o[0][-1], o[1][0], strict=True)))
+    return [*x, *(y[1:] if x[-1] == y[0] else y)]
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Nodes of degree 2 merged away, by image, in ascending order of node number, as long as the graph stays simple.
 
-    Order matters where chains close loops, so each image is one group; weights add up, and `merged` counts the edges.
+    Order matters where chains close loops, so each image is one group; weights add up, `merged` counts the edges, and
+    polylines (pts), if there are any, are joined at their nearest ends.
     """
     importable(edges.sparkSession)
+    lines = "pts" in edges.columns
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
-        for u, v, w in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), strict=True):
-            near[u][v] = near[v][u] = (w, 1)
+        near: dict[int, dict[int, tuple[float, int, list]]] = defaultdict(dict)
+        pts = [[(p["z"], p["y"], p["x"]) for p in x] for x in pdf.pts] if lines else [[] for _ in range(len(pdf))]
+        for u, v, w, p in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), pts, strict=True):
+            near[u][v] = near[v][u] = (w, 1, p)
         again = True
         while again:
             again = False
             for n in sorted(near):
                 if len(near[n]) != 2:
                     continue
-                (a, (wa, ca)), (b, (wb, cb)) = near[n].items()
+                (a, (wa, ca, pa)), (b, (wb, cb, pb)) = near[n].items()
                 if a == b or b in near[a]:
                     continue
                 del near[n], near[a][n], near[b][n]
-                near[a][b] = near[b][a] = (wa + wb, ca + cb)
+                near[a][b] = near[b][a] = (wa + wb, ca + cb, joined(pa, pb) if pa and pb else pa or pb)
                 again = True
-        rows = [(pdf[IMAGE].iloc[0], u, v, w, c) for u in near for v, (w, c) in near[u].items() if u < v]
-        return pd.DataFrame(rows, columns=[IMAGE, "u", "v", "weight", "merged"])
+        rows = [(pdf[IMAGE].iloc[0], u, v, w, c, [dict(zip("zyx", q, strict=True)) for q in p]) for u in near for v, (w, c, p) in near[u].items() if u < v]
+        return pd.DataFrame(rows, columns=[IMAGE, "u", "v", "weight", "merged", "pts"])[[IMAGE, "u", "v", "weight", "merged", *(["pts"] if lines else [])]]
 
     kind = edges.schema[IMAGE].dataType.simpleString()
-    return edges.select(IMAGE, "u", "v", "weight").groupBy(IMAGE).applyInPandas(merge, f"{IMAGE} {kind}, u long, v long, weight double, merged long")
+    schema = f"{IMAGE} {kind}, u long, v long, weight double, merged long" + ", pts array<struct<z:int,y:int,x:int>>" * lines
+    return edges.select(IMAGE, "u", "v", "weight", *(["pts"] if lines else [])).groupBy(IMAGE).applyInPandas(merge, schema)
 
 
 def without_sprouts(edges: DataFrame) -> DataFrame:

@@ -310,6 +310,36 @@ def hulls(voxels: DataFrame, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
     return ends.groupBy("image_id").applyInPandas(run, "image_id string, convex_hull_volume double")
 
 
+def hulls_without_mask(voxels: DataFrame, mask: DataFrame, shape: tuple, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
+    """Hull volumes less the masked columns' voxels within the hull, at least 0; without a hull, the chip's volume.
+
+    mask: (image_id, y, x). Both tables meet by image; of the voxels only those that end a row of x.
+    """
+    from pyspark.sql import functions as F
+
+    importable(voxels.sparkSession)
+    ends = voxels.groupBy("image_id", "z", "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("image_id", "z", "y", F.explode(F.array("a", "b")).alias("x"))
+    unit = voxel[0] * voxel[1] * voxel[2]
+
+    def run(key: tuple, v: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        p = v[["z", "y", "x"]].to_numpy(float)
+        planes = hull_planes(p)
+        if not len(planes):
+            out = float(np.prod(shape)) * unit - len(m) * shape[0] * unit
+        else:
+            out = hull_volume(p * voxel)
+            low, high = p.min(0), p.max(0)
+            at = m[["y", "x"]].to_numpy(float)
+            at = at[((at >= low[1:]) & (at <= high[1:])).all(1)]  # only what the hull's box holds is tested
+            for z in range(int(low[0]), int(high[0]) + 1):
+                inside = (np.column_stack([np.full(len(at), z), at]) @ planes[:, :3].T <= planes[:, 3] + 1e-9).all(1)
+                out -= inside.sum() * unit
+        return pd.DataFrame({"image_id": [key[0]], "convex_hull_volume": [max(0.0, float(out))]})
+
+    both = ends.groupBy("image_id").cogroup(mask.select("image_id", "y", "x").distinct().groupBy("image_id"))
+    return both.applyInPandas(run, "image_id string, convex_hull_volume double").join(voxels.select("image_id").distinct(), "image_id", "left_semi")
+
+
 def focus_surface(points: DataFrame) -> DataFrame:
     """(image_id, c0..c5): z = c0 + c1 x + c2 y + c3 x^2 + c4 x y + c5 y^2 by least squares; below 6 points only c0, the mean.
 

@@ -266,3 +266,33 @@ def test_image_files(spark, tmp_path):
     found = jobs.discovered(spark, str(tmp_path))
     good, failed = images.stacks(found, lambda content, index: np.frombuffer(content, np.uint8).reshape(3, 4))
     assert volume.unpack(good.first()).shape == (1, 3, 4) and failed.first()["status"] == "FAILED"
+
+
+def test_whole_analysis(spark):
+    from filigree.plans.analysis import analyse
+
+    a = np.zeros((24, 160, 220), np.uint8)
+    a[8:16, 76:84, 20:200] = 1
+    a[8:16, 20:84, 106:114] = 1
+    rows = [(v["image_id"], v["shape"], v["dtype"], bytearray(v["data"])) for v in (volume.pack("i", a),)]
+    out = analyse(spark.createDataFrame(rows, volume.SCHEMA), a.shape, margin=2, ratio=10.0)  # the bars' ends are blunt
+    edges = out["branch_metrics"].collect()
+    assert len(edges) >= 3 and all(1 <= e["tortuosity"] <= 50 and e["path_length"] > 50 for e in edges)
+    top = out["global_metrics"].first()
+    assert 0 < top["vessel_volume_fraction"] < 0.1 and top["convex_hull_volume"] > top["vessel_volume"]
+    assert out["panel"].columns == ["image_id", *schemas.panel_columns()] and out["curated"].columns == ["image_id", *schemas.CURATED_PANEL]
+    assert out["curated"].first()["vessel_volume_fraction"] == pytest.approx(top["vessel_volume_fraction"])
+
+
+def test_hull_without_mask(spark):
+    cube = spark.createDataFrame([("c", z, y, x) for z in (0, 2) for y in (0, 4) for x in (0, 4)], schemas.VOXELS)
+    mask = spark.createDataFrame([("c", 1, 1), ("c", 9, 9)], schemas.MASK_2D)
+    assert volume.hulls_without_mask(cube, mask, (3, 10, 10), (1, 1, 1)).first()["convex_hull_volume"] == pytest.approx(2 * 4 * 4 - 3)
+    assert volume.hulls_without_mask(cube.limit(2), mask, (3, 10, 10), (1, 1, 1)).first()["convex_hull_volume"] == 300 - 6
+
+
+def test_chains_keep_their_points(spark):
+    rows = [("i", 1, 2, 1.0, [(0, 0, 0), (0, 0, 1)]), ("i", 2, 3, 1.0, [(0, 0, 2), (0, 0, 1)])]
+    e = spark.createDataFrame(rows, f"image_id string, u long, v long, weight double, pts {schemas.POINTS}")
+    row = graph.contracted(e).first()
+    assert [tuple(p) for p in row["pts"]] in ([(0, 0, 0), (0, 0, 1), (0, 0, 2)], [(0, 0, 2), (0, 0, 1), (0, 0, 0)]) and row["weight"] == 2
