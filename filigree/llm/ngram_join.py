@@ -26,11 +26,12 @@ from filigree.llm._members import may_have, members
 from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._trie import linked
 from filigree.llm._words import U
+from filigree.sources.workers import trim
 
 #: Slots of the table of frequent n-grams, and of that of shared ones at most (powers of 2), and n-grams in a chunk of a block.
 SLOTS, MOST_BITS, CHUNK = 22, 29, 1 << 22
 #: N-grams that a task holds before it hands them on, and bytes of input for each bucket that they go to.
-HELD, BUCKET = 1 << 21, 1 << 18
+HELD, BUCKET = 1 << 20, 1 << 18
 #: From so many sets on an n-gram is frequent; of its sets, so many go to one task.
 MANY, SHARE = 16, 4096
 
@@ -142,7 +143,9 @@ def _frequencies(docs: DataFrame, k: int, total: int, text: str):
     weights = np.zeros(1 << SLOTS, np.uint8)
     for at, sets in found.filter("sets IS NOT NULL").groupBy("at").agg(F.max("sets")).collect():
         weights[at] = min(2 + int(4 * np.log2(sets / MANY)), 63)
-    return docs.sparkSession.sparkContext.broadcast((shared.reshape(-1), bits, weights))
+    out = docs.sparkSession.sparkContext.broadcast((shared.reshape(-1), bits, weights))
+    trim()
+    return out
 
 
 def _order(grams: np.ndarray, tables: tuple) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from filigree.llm import _words
 from filigree.llm._scratch import arrow_map
 from filigree.llm._words import U, Words
+from filigree.sources.workers import trim
 
 #: Labelled rows that the fit reads at most (a third of them toxic, if there are so many), and features it keeps at most.
 SAMPLE, FEATURES = 8_000, 4096
@@ -108,7 +109,7 @@ def _pick(texts: pa.Array, y: np.ndarray, most: int) -> np.ndarray:
     for found, doc in passes():
         found, doc = once(found, doc)
         for label in (0, 1):
-            count[label] += np.bincount((found[y[doc] == label] >> U(42)).astype(np.int64), minlength=slots).astype(np.int32)
+            np.add.at(count[label], (found[y[doc] == label] >> U(42)).astype(np.int64), 1)
     wanted = chi(count[1], count[0]) > 5  # a slot's other hashes dilute it
     parts = []
     for found, doc in passes():
@@ -177,7 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     table = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").select("text", "toxic").toArrow()
     y = table.column("toxic").to_numpy().astype(np.int64)
     n = np.bincount(y, minlength=2)
-    return fit(table.column("text").combine_chunks(), y, np.array([counts.get(k, 0) / max(n[k], 1) for k in (0, 1)])[y])
+    texts = table.column("text").combine_chunks()
+    del table
+    model = fit(texts, y, np.array([counts.get(k, 0) / max(n[k], 1) for k in (0, 1)])[y])
+    del texts
+    trim()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
