@@ -1,16 +1,17 @@
 """License scans: lines and texts that match licence templates by the Dice coefficient of their word bigrams.
 
 Built-in functions only. The templates are a fixed, short list; each is listed under all bigram counts that a match can
-have, so that an equality join on the count prunes candidates before any bigrams are compared.
+have, so that an equality join on the count prunes candidates before any bigrams are compared. A match has two thirds of a
+template's bigrams (at 80 percent); so it contains one of a few words of the templates, and other units are passed over.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.line_dedup import LOWER, UPPER
-
 #: Short notices of public licences, as they are commonly written.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -30,13 +31,14 @@ TEMPLATES = {
 
 def normalised(text: Column) -> Column:
     """The words of a text: A-Z lower-cased, runs of anything but a-z and 0-9 between them."""
-    return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
+    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
 
 
 def bigrams(words: Column) -> Column:
     """Distinct pairs of neighbouring words; none for fewer than two words."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    # no lambda refers to the words as a whole: the optimizer would put their making into each call
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, percent: int = 80) -> DataFrame:
@@ -52,28 +54,72 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, percent: i
     return rows.select("license", "grams", "m", F.explode(F.sequence(low, high)).alias("n"))
 
 
-def scan(docs: DataFrame, found: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+def telling_words(texts: dict[str, str] = TEMPLATES, percent: int = 80) -> list[str]:
+    """Words of which every match of a template contains one.
+
+    A match shares i bigrams with i >= p/200 (i + m), so it lacks at most m - p m / (200 - p) of the template's m. Words are
+    picked until of each template more bigrams than that hold a picked word: long words first, which other texts rarely
+    have, shorter ones only where these don't suffice.
+    """
+    left = {}
+    for name, text in texts.items():
+        words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
+        grams = {(a, b) for a, b in zip(words, words[1:], strict=False)}
+        if grams:
+            left[name] = grams, len(grams) - -(-percent * len(grams) // (200 - percent)) + 1
+    picked: list[str] = []
+    for least in (7, 6, 5, 4, 1):
+        while left:
+            gain: dict[str, int] = {}
+            for grams, need in left.values():
+                for w in {w for g in grams for w in g if len(w) >= least}:
+                    gain[w] = gain.get(w, 0) + min(need, sum(w in g for g in grams))
+            if not gain:
+                break
+            word = max(gain, key=lambda w: (gain[w], len(w), w))
+            picked.append(word)
+            for name, (grams, need) in list(left.items()):
+                met = {g for g in grams if word in g}
+                left[name] = grams - met, need - len(met)
+                if need <= len(met):
+                    del left[name]
+    return picked
+
+
+def has_telling(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words, A-Z as a-z, between anything but letters a-z and digits.
+
+    One pattern, tried where words begin: a test for each word would lower-case the text anew for each.
+    """
+    return F.rlike(text, F.lit(f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")) if words else F.lit(False)
+
+
+def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Matches: `key`, unit (a line's number from 0; -1: the whole text of several lines), license and dice.
 
-    found: of templates(); a fixed, short table. Each unit may match several templates; null and empty texts match none.
+    texts: a short list of templates. Each unit may match several of them; null and empty texts match none.
     """
+    found, telling = templates(docs.sparkSession, texts, percent), telling_words(texts, percent)
     bounds = found.agg(F.min("n"), F.max("n")).first()
     if bounds[0] is None:
         return docs.select(key, F.lit(0).alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).limit(0)
     low, high = int(bounds[0]), int(bounds[1])
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 2 * low)
-    units = docs.select("_key", F.posexplode(F.split("_text", "\n", -1)).alias("unit", "part"))
-    # a whole text is a unit if it has several lines and, at one letter and one space a word at least, isn't surely too long
-    whole = docs.filter(F.contains("_text", F.lit("\n"))).select("_key", F.lit(-1).alias("unit"), F.col("_text").alias("part"))
-    words = units.unionByName(whole).filter(F.length("part") > 2 * low).select("_key", "unit", normalised(F.col("part")).alias("words")).filter(F.size("words") > low)
-    counted = words.select("_key", "unit", bigrams(F.col("words")).alias("own")).withColumn("n", F.size("own")).filter(F.col("n").between(low, high))
+    lines = F.split("_text", "\n", -1)
+    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(has_telling(F.col("_text"), telling))
+    docs = docs.withColumn("_whole", F.when(F.contains("_text", F.lit("\n")), F.size(lines)).otherwise(-1))
+    parts = F.when(F.col("_whole") > 0, F.concat(lines, F.array("_text"))).otherwise(lines)
+    units = docs.select("_key", "_whole", F.posexplode(parts).alias("unit", "part")).filter(has_telling(F.col("part"), telling))
+    units = units.withColumn("unit", F.when(F.col("unit") == F.col("_whole"), -1).otherwise(F.col("unit")))
+    # explode() of one element keeps the optimizer from putting the making of words and bigrams into every later use
+    words = units.select("_key", "unit", F.explode(F.array(normalised(F.col("part")))).alias("words")).filter(F.size("words") > low)
+    counted = words.select("_key", "unit", F.explode(F.array(bigrams(F.col("words")))).alias("own")).withColumn("n", F.size("own")).filter(F.col("n").between(low, high))
     both = counted.join(F.broadcast(found), "n").withColumn("same", F.size(F.array_intersect("own", "grams")))
     hits = both.filter(200 * F.col("same") >= percent * (F.col("n") + F.col("m")))
     return hits.select(F.col("_key").alias(key), "unit", "license", F.round(2 * F.col("same") / (F.col("n") + F.col("m")), 6).alias("dice"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), templates(spark))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _quoted(text: str) -> str:
