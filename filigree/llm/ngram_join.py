@@ -6,7 +6,7 @@
 3. Prefix filter: two sets above the threshold share an n-gram among the first n - ceil(t n) + 1 of each. Sets that share
    one, and whose sizes permit, are connected into blocks: a set meets the first of its run only, never all others.
 4. Each block's sets are stored in a trie in the global order and joined by walking it; see _trie. Blocks over a bounded
-   size are cut into chunks, and each pair of chunks is joined apart.
+   size are cut into chunks; see _block_links.
 5. The links' connected components are the classes.
 """
 
@@ -207,12 +207,12 @@ def _first_cut() -> int:
     return int(np.argmax(_share() > 1))
 
 
-def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """`key`, n_shingles and component_id of each row, and n_class, the rows in its class.
 
     A row's set: the distinct k-word n-grams of its lower-cased text (A-Z), the whole sequence if it has fewer words. Rows
     link if den * intersection >= num * union. A row without words links with nothing; a null key comes before all others,
-    so a class with one has a null component_id. Rows equal in all columns keep their number.
+    so a class with one has a null component_id. Rows equal in all columns keep their number. chunk: n-grams in a task.
     """
     spark = docs.sparkSession
     docs = docs.select(key, text)
@@ -224,11 +224,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     edges = _candidates(stored(_prefixes(docs, k, num, den, weights, text), "prefixes"), num, den)
     stars = components(edges)
     blocks = stars.select("node", F.col("root").alias("block")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
-    links = stored(_block_links(docs, rows, blocks, k, num, den, weights, text), "links")
-    cut = links.filter("chunks > 1").select("a", "b")
-    joined = links.filter("chunks = 1").select(F.col("b").alias("node"), F.col("a").alias("root"))
-    if not cut.isEmpty():
-        joined = joined.unionByName(components(cut))
+    joined = _block_links(docs, rows, blocks, k, num, den, weights, text, chunk)
 
     sets = rows.filter("n > 0").groupBy("id").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("none"), F.count(F.lit(1)).alias("rows"))
     sets = sets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "least", "none", "rows")
@@ -238,12 +234,17 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
-def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int, weights, text: str) -> DataFrame:
-    """Links (a, b, chunks): stars of the components found in each block or pair of chunks, a the least id."""
+def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int, weights, text: str, chunk: int) -> DataFrame:
+    """(node, root): the components of all links within blocks.
+
+    A block of up to `chunk` n-grams is one task. A larger one is cut: each chunk is joined by itself; the heads of the
+    chunks' largest components are joined, which in a group of near copies makes one component of most sets; the sets
+    outside the block's largest component are joined with every chunk. A link between two components has an end among
+    these, so none is lost, and only they are copied.
+    """
     sizes = rows.filter("n > 0").select("id", "n").distinct()
     blocks = blocks.join(sizes, blocks["node"] == sizes["id"]).select("id", "block", "n")
-    total = blocks.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.ceil(F.col("n") / CHUNK * 2).cast("int").alias("chunks"))
-    total = total.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
+    total = blocks.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
     dealt = stored(blocks.select("id", "block").join(total, "block"), "blocks")
     shared = members(dealt, "id")  # what it lets pass in error is dropped by the join
 
@@ -265,38 +266,92 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, nu
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], names=["id", "grams"])
 
+    grams = arrow_map(docs.select(text), read, "id long, grams binary").hint("merge").join(dealt, "id")
+    cut = not dealt.filter("chunks > 1").isEmpty()
+    if cut:
+        grams = stored(grams.dropDuplicates(["id"]), "grams")
+    whole = stored(_tasks(grams.filter("chunks = 1"), F.lit(0), F.lit(False), num, den), "links")
+    stars = whole.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    if not cut:
+        return stars
+
+    large = grams.filter("chunks > 1").withColumn("part", F.pmod("id", "chunks"))
+    own = stored(_tasks(large, F.col("part"), F.lit(False), num, den), "links")
+    light = large.select("block", "chunks", "part", "id")
+
+    def marked(links: DataFrame) -> DataFrame:
+        """The sets of large blocks with their components so far."""
+        found = components(links).withColumnRenamed("node", "id")
+        return light.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def largest(labels: DataFrame, *by: str) -> DataFrame:
+        counts = labels.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c"))
+        return counts.groupBy(*by).agg(F.min_by("root", F.struct(-F.col("c"), F.col("root"))).alias("root"))
+
+    heads = largest(marked(own), "block", "part").select("block", F.col("root").alias("id"))
+    met = stored(_tasks(large.join(heads, ["block", "id"], "left_semi"), F.lit(-1), F.lit(False), num, den), "links")
+    labels = stored(marked(own.unionByName(met)), "labels")
+    giants = largest(labels, "block").withColumnRenamed("root", "giant")
+    sides = labels.join(giants, "block").select("id", "block", (F.col("root") == F.col("giant")).alias("known"))
+    both = large.join(sides, ["block", "id"])
+    others = both.filter("NOT known").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("to <> part").withColumn("part", F.col("to")).drop("to")
+    rest = stored(_tasks(both.unionByName(others.select(*both.columns)), F.col("part"), F.col("known"), num, den), "links")
+    return stars.unionByName(components(own.unionByName(met).unionByName(rest)))
+
+
+def _tasks(sets: DataFrame, part, known, num: int, den: int) -> DataFrame:
+    """Links (a, b), stars of the components, of each (block, part) of sets (block, id, grams, ...).
+
+    Sets marked known are one component already; links among these are left out.
+    """
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's sets are joined when its last one has come."""
-        current, ids, sets, chunks = None, [], [], 1
+        current, ids, held, marks = None, [], [], []
 
         def close() -> pa.RecordBatch | None:
             if len(ids) < 2:
                 return None
-            roots = linked(sets, num, den)
+            old = np.array(marks, bool)
+            roots = linked(held, num, den, old if old.any() else None)
             names = np.array(ids, np.int64)
-            other = np.flatnonzero(roots != np.arange(len(ids)))
+            other = np.flatnonzero((roots != np.arange(len(ids))) & ~(old & old[roots]))
             if not len(other):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(names[roots[other]]), pa.array(names[other]), pa.array(np.full(len(other), chunks, np.int32))], names=["a", "b", "chunks"])
+            return pa.RecordBatch.from_arrays([pa.array(names[roots[other]]), pa.array(names[other])], names=["a", "b"])
 
         for batch in batches:
-            for block, low, high, of, number, grams in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (block, low, high) != current:
+            for block, place, number, mark, grams in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (block, place) != current:
                     if (out := close()) is not None:
                         yield out
-                    current, ids, sets, chunks = (block, low, high), [], [], of
+                    current, ids, held, marks = (block, place), [], [], []
                 if not ids or ids[-1] != number:  # equal sets from several tasks
                     ids.append(number)
-                    sets.append(np.frombuffer(grams, U))
+                    held.append(np.frombuffer(grams, U))
+                    marks.append(mark)
         if (out := close()) is not None:
             yield out
 
-    grams = arrow_map(docs.select(text), read, "id long, grams binary").hint("merge").join(dealt, "id")
-    own = F.pmod("id", "chunks")
-    tasks = grams.select("block", "chunks", "id", "grams", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tasks = tasks.select("block", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "chunks", "id", "grams")
-    return arrow_map(tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "id"), join, "a long, b long, chunks int")
+    rows = sets.select("block", part.cast("int").alias("part"), "id", known.alias("known"), "grams")
+    return arrow_map(rows.repartition("block", "part").sortWithinPartitions("block", "part", "id"), join, "a long, b long")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
