@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.OP1_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +117,8 @@ def _index(survey: DataFrame):
     return survey.sparkSession.sparkContext.broadcast(table), bits
 
 
-MET = "meet long, cls long, rank long, pos int, settled binary"
+#: A row without pos has what its task settled: all positions in more. Other rows have their first position in pos.
+MET = "meet long, cls long, rank long, pos int, more binary"
 
 
 class _Meeting:
@@ -143,9 +143,17 @@ class _Meeting:
         self.parts, self.held = [], 0
         gone, meets = _resolve(hashes, cls, rank, self.ranked)
         yield from _packed(cls[gone], rank[gone], pos[gone])
-        for a in range(0, len(meets), 100_000):
-            at = meets[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(cls[at]), pa.array(rank[at]), pa.array(pos[at]), pa.nulls(len(at), pa.binary())], names=["meet", "cls", "rank", "pos", "settled"])
+        # a class meets with one row for each hash, whatever its positions: a text that repeats itself has many
+        meets = meets[np.lexsort((pos[meets], cls[meets], hashes[meets]))]
+        first = np.flatnonzero(np.append(True, (np.diff(hashes[meets]) != 0) | (np.diff(cls[meets]) != 0))) if len(meets) else meets
+        sizes = np.diff(np.append(first, len(meets)))
+        for a in range(0, len(first), 100_000):
+            at, many = meets[first[a : a + 100_000]], sizes[a : a + 100_000] > 1
+            more: list[bytes | None] = [None] * len(at)
+            for i in np.flatnonzero(many).tolist():
+                j = first[a + i]
+                more[i] = pos[meets[j + 1 : j + sizes[a + i]]].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(cls[at]), pa.array(rank[at]), pa.array(pos[at]), pa.array(more, pa.binary())], names=["meet", "cls", "rank", "pos", "more"])
 
 
 def _resolve(hashes: np.ndarray, cls: np.ndarray, rank: np.ndarray, ranked: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -173,28 +181,26 @@ def _packed(cls: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> Iterator[pa.R
     first = np.flatnonzero(np.append(True, np.diff(cls) != 0))
     ends = np.append(first[1:], len(cls))
     packs = [np.unique(pos[a:b]).astype("<i4").tobytes() for a, b in zip(first, ends, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(cls[first]), pa.array(rank[first]), pa.nulls(len(first), pa.int32()), pa.array(packs, pa.binary())], names=["meet", "cls", "rank", "pos", "settled"])
+    yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(cls[first]), pa.array(rank[first]), pa.nulls(len(first), pa.int32()), pa.array(packs, pa.binary())], names=["meet", "cls", "rank", "pos", "more"])
 
 
 def _met(windows: DataFrame, ranked: bool) -> DataFrame:
     """(cls, single, packs): positions that meet in several tasks, and packed ones that tasks settled."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held = []
         for batch in batches:
-            packed = batch.column(4).is_valid()
-            done = batch.filter(packed)
+            done = batch.filter(batch.column(3).is_null())
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(1), pa.nulls(done.num_rows, pa.int32()), done.column(4)], names=["cls", "pos", "pack"])
-            rest = batch.filter(pa.compute.invert(packed))
-            held.append(tuple(rest.column(i).to_numpy() for i in range(4)))
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(3), done.column(4)], names=["cls", "pos", "pack"])
+            held.append(batch.filter(batch.column(3).is_valid()))
         if not held:
             return
-        hashes, cls, rank, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = pa.Table.from_batches(held)
+        hashes, cls, rank = (rows.column(i).to_numpy() for i in range(3))
         gone, _ = _resolve(hashes, cls, rank, ranked)
-        for a in range(0, len(gone), 100_000):
-            at = gone[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(pos[at]), pa.nulls(len(at), pa.binary())], names=["cls", "pos", "pack"])
+        found = rows.select(["cls", "pos", "more"]).take(pa.array(gone)).rename_columns(["cls", "pos", "pack"])
+        yield from found.to_batches(100_000)
 
     met = arrow_map(windows.repartition("meet"), meet, "cls long, pos int, pack binary")
     return met.groupBy("cls").agg(F.collect_list("pos").alias("single"), F.collect_list("pack").alias("packs"))
@@ -326,3 +332,16 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = rows.join(kept, F.col("cls") == F.col("_cls"), "left")
     sha = F.when(F.col("all_gone"), F.lit(EMPTY)).otherwise(F.coalesce("kept_sha", "sha"))
     return out.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM g) WHERE first < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM d),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
+k AS (SELECT u.doc_id, count(c.i) AS gone, string_agg(x, ' ' ORDER BY u.i) FILTER (WHERE c.i IS NULL) AS kept
+      FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.i = u.i GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

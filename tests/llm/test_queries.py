@@ -4,13 +4,16 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
 import pytest
 
+from filigree.llm import ngram_join
 from filigree.llm.queries import ORACLE_SQL, QUERIES
 
+DATA = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -55,7 +58,19 @@ def test_against_sql(spark, awkward_dir, name):
         assert found == expected
 
 
-def test_op2_links(spark, awkward_dir):
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_tables_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    key = lambda r: tuple(r[c] for c in sorted(r))
+    assert Counter(key(dict(zip(want.columns, r, strict=True))) for r in want.fetchall()) == Counter(map(key, run(spark, name, str(DATA))))
+
+
+@pytest.mark.parametrize("chunk", [None, 400])
+def test_op2_links(spark, awkward_dir, chunk):
+    """Also with blocks cut into many chunks."""
     folder, rows = awkward_dir
     sets = {}
     for i, text, _ in rows:
@@ -73,7 +88,10 @@ def test_op2_links(spark, awkward_dir):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    out = run(spark, "op2_ngram_join", folder)
+    if chunk:
+        out = ngram_join.classes(spark.read.parquet(f"{folder}/documents.parquet"), chunk=chunk).collect()
+    else:
+        out = run(spark, "op2_ngram_join", folder)
     assert len(out) == len(rows)
     for r in out:
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), root(r["doc_id"]))
