@@ -150,14 +150,20 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
         for name, wanted in (("junction", ~tip), ("endpoint", tip)):
             at = np.flatnonzero(wanted)
             d, c = np.full(len(p), np.nan), np.zeros(len(p), np.int64)
-            step = max(1, 4_000_000 // max(len(at), 1))
+            step = max(1, 200_000 // max(len(at), 1))  # distances at once: they stay in the cache
             for a in range(0, len(p), step) if len(at) else ():
-                g = np.sqrt(((p[a : a + step, None, :] - p[at][None, :, :]) ** 2).sum(axis=2))
                 own = np.arange(a, min(a + step, len(p)))
-                g[own[:, None] == at[None, :]] = np.inf
-                best = g.min(axis=1)
+                g = np.zeros((len(own), len(at)))
+                for axis in range(3):
+                    off = np.subtract.outer(p[own, axis], p[at, axis])
+                    off *= off
+                    g += off
+                same = np.searchsorted(at, own)
+                mine = np.flatnonzero(wanted[own])
+                g[mine, same[mine]] = np.inf
+                best = np.sqrt(g.min(axis=1))
                 d[own] = np.where(np.isfinite(best), best, np.nan)
-                c[own] = (g <= radius).sum(axis=1)
+                c[own] = np.count_nonzero(g <= radius * radius, axis=1)
             out[f"dist_nearest_{name}"], out[f"num_{name}_neighbors"] = d, c
         return pdf[[IMAGE, "node_id", "degree", "sprout"]].assign(**out).replace({np.nan: None})
 
