@@ -1,4 +1,7 @@
-"""License scans: lines and texts that match licence templates by the Dice coefficient of their word bigrams.
+"""License scans: lines, texts and passages that match licence templates by the Dice coefficient of their word bigrams.
+
+scan() compares single lines and whole texts; passages() any run of words, so also notices that are wrapped over several
+lines or stand within prose.
 
 Built-in functions only. The templates are a fixed, short list; each is listed under all bigram counts that a match can
 have, so that an equality join on the count prunes candidates before any bigrams are compared. A match has two thirds of a
@@ -34,11 +37,16 @@ def normalised(text: Column) -> Column:
     return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words; none for fewer than two words."""
+def pairs(words: Column) -> Column:
+    """Pairs of neighbouring words, in order; none for fewer than two words."""
     # no lambda refers to the words as a whole: the optimizer would put their making into each call
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def bigrams(words: Column) -> Column:
+    """Distinct pairs of neighbouring words; none for fewer than two words."""
+    return F.array_distinct(pairs(words))
 
 
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, percent: int = 80) -> DataFrame:
@@ -54,6 +62,11 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, percent: i
     return rows.select("license", "grams", "m", F.explode(F.sequence(low, high)).alias("n"))
 
 
+def _pairs_of(text: str) -> set[tuple[str, str]]:
+    words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
+    return set(zip(words, words[1:], strict=False))
+
+
 def telling_words(texts: dict[str, str] = TEMPLATES, percent: int = 80) -> list[str]:
     """Words of which every match of a template contains one.
 
@@ -63,8 +76,7 @@ def telling_words(texts: dict[str, str] = TEMPLATES, percent: int = 80) -> list[
     """
     left = {}
     for name, text in texts.items():
-        words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
-        grams = {(a, b) for a, b in zip(words, words[1:], strict=False)}
+        grams = _pairs_of(text)
         if grams:
             left[name] = grams, len(grams) - -(-percent * len(grams) // (200 - percent)) + 1
     picked: list[str] = []
@@ -118,10 +130,87 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, percent: int = 80,
     return hits.select(F.col("_key").alias(key), "unit", "license", F.round(2 * F.col("same") / (F.col("n") + F.col("m")), 6).alias("dice"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once: lambdas see it as a variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _run(own: Column, at: Column, grams: Column, spare: Column, lengths: list[Column]) -> Column:
+    """The bigrams from `at` until its bigram comes again, or far enough that more than `spare` foreign ones are among them."""
+    part = F.slice(own, at, lengths[0])
+    if len(lengths) == 1:
+        return _let(part, lambda s: _let(F.array_position(F.slice(s, F.lit(2), F.size(s)), F.get(s, F.lit(0))), lambda q: F.when(q > 0, F.slice(s, F.lit(1), q.cast("int"))).otherwise(s)))
+
+    def cut(s: Column) -> Column:
+        again = F.array_position(F.slice(s, F.lit(2), F.size(s)), F.get(s, F.lit(0)))
+        longer = F.when(F.size(F.array_except(s, grams)) > spare, s).otherwise(_run(own, at, grams, spare, lengths[1:]))
+        return _let(again, lambda q: F.when(q > 0, F.slice(s, F.lit(1), q.cast("int"))).otherwise(longer))
+
+    return _let(part, cut)
+
+
+def _windows(own: Column, hits: Column, t: Column, percent: int) -> Column:
+    """All windows of a document's bigrams that match template t and that no window within beats: -dice, words, first.
+
+    A window that doesn't begin and end with a bigram of the template, or whose first bigram comes again, or whose last one
+    came before, holds a shorter one of no lower Dice; these are left out.
+    """
+    none = F.array().cast("array<struct<loss:double,words:int,first:int>>")
+
+    def ends(at: Column, s: Column, distinct: Column, same: Column) -> Column:
+        # the i-th of the template's bigrams, at place j of the distinct ones, ends a window with i of j in common
+        places = F.transform(same, lambda x, i: F.struct((i + 1).alias("i"), F.array_position(distinct, x).cast("int").alias("j"), F.array_position(s, x).cast("int").alias("n")))
+        good = F.filter(places, lambda x: 200 * x["i"] >= percent * (x["j"] + t["m"]))
+        return F.transform(good, lambda x: F.struct((-2 * x["i"] / (x["j"] + t["m"])).alias("loss"), (x["n"] + 1).alias("words"), (at - 1).alias("first")))
+
+    def begun(at: Column) -> Column:
+        run = _run(own, at, t["grams"], t["spare"], [4 * t["m"], 64 * t["m"], F.size(own)])
+        return _let(run, lambda s: _let(F.array_distinct(s), lambda d: _let(F.array_intersect(d, t["grams"]), lambda x: F.when(F.size(x) >= t["need"], ends(at, s, d, x)).otherwise(none))))
+
+    return F.flatten(F.transform(F.filter(hits, lambda p: F.array_contains(t["grams"], F.element_at(own, p))), begun))
+
+
+def passages(docs: DataFrame, texts: dict[str, str] = TEMPLATES, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs with `passages`: the runs of words, over any lines, that match a template, as (first, words, license, dice).
+
+    first is the number of the run's first word from 0, among the runs of a-z, A-Z and 0-9 of the whole text. Of a
+    template's matches the one with the greatest Dice comes first, then the shortest, then the first; others that share a
+    word with it go, and so on with the rest. Null and empty texts have none. Rows stay as they are; nothing is shuffled.
+    """
+    kind = "array<struct<first:int,words:int,license:string,dice:double>>"
+    known = {k: sorted(" ".join(g) for g in grams) for k, v in texts.items() if (grams := _pairs_of(v))}
+    if not known:
+        return docs.withColumn("passages", F.array().cast(kind))
+    # a match has `need` of the template's bigrams and no more than `spare` others
+    listed = F.array(*(F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("m"), F.lit(-(-percent * len(g) // (200 - percent))).alias("need"), F.lit(len(g) * (200 - 2 * percent) // percent).alias("spare")) for k, g in sorted(known.items())))
+    every = sorted({g for x in known.values() for g in x})
+
+    def greedy(t: Column, windows: Column) -> Column:
+        apart = lambda a, b: (a["first"] + a["words"] <= b["first"]) | (b["first"] + b["words"] <= a["first"])
+        taken = F.aggregate(F.sort_array(windows), F.array().cast("array<struct<loss:double,words:int,first:int>>"), lambda acc, w: F.when(F.forall(acc, lambda a: apart(a, w)), F.concat(acc, F.array(w))).otherwise(acc))
+        return F.transform(taken, lambda w: F.struct(w["first"].alias("first"), w["words"].alias("words"), t["license"].alias("license"), F.round(-w["loss"], 6).alias("dice")))
+
+    def within(own: Column) -> Column:
+        hits = F.filter(F.transform(own, lambda x, i: F.when(x.isin(every), i + 1)), lambda p: p.isNotNull())
+        near = lambda have: F.filter(listed, lambda t: F.size(F.array_intersect(t["grams"], have)) >= t["need"])
+        some = _let(F.array_distinct(F.filter(own, lambda x: x.isin(every))), near)
+        return _let(hits, lambda h: F.flatten(F.transform(some, lambda t: greedy(t, _windows(own, h, t, percent)))))
+
+    out = F.sort_array(_let(pairs(F.col("_words")), within))
+    # words are made once, before any lambda
+    words = F.when(has_telling(F.col(text), telling_words(texts, percent)), normalised(F.col(text)))
+    table = docs.withColumn("_words", words)
+    return table.withColumn("passages", F.coalesce(out, F.array()).cast(kind)).drop("_words")
+
+
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op1_license_passages(spark, sf_dir: str) -> DataFrame:
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "passages")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

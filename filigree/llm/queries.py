@@ -6,6 +6,7 @@ from filigree.llm import fingerprints, licenses, line_dedup, mixing, ngram_join,
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op1_license_passages": licenses.op1_license_passages,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_fingerprints": fingerprints.op3_fingerprints,

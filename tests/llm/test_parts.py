@@ -1,6 +1,8 @@
 """Parts of the operators, against brute force."""
 
 import random
+import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +153,49 @@ def test_licence_sizes_bound_matches(spark):
     assert licenses.scan(docs, {}).collect() == []
 
 
+def _best_windows(text, percent=80):
+    """By trying all windows: the best of each template, then the best that share no word with it, and so on."""
+    words, out = re.sub("[^a-z0-9]+", " ", text.lower()).split(), []
+    for name, template in licenses.TEMPLATES.items():
+        t = re.sub("[^a-z0-9]+", " ", template.lower()).split()
+        grams, found, taken = set(zip(t, t[1:], strict=False)), [], []
+        for i in range(len(words)):
+            own = set()
+            for j in range(i + 1, len(words)):
+                own.add((words[j - 1], words[j]))
+                same = len(own & grams)
+                if 200 * same >= percent * (len(own) + len(grams)):
+                    found.append((-2 * same / (len(own) + len(grams)), j - i + 1, i))
+        for loss, n, i in sorted(found):
+            if all(i + n <= a or a + m <= i for a, m in taken):
+                taken.append((i, n))
+                out.append((i, n, name, round(-loss, 6)))
+    return sorted(out)
+
+
+def test_licence_passages_wrapped_and_embedded(spark):
+    """Notices over several lines of a longer document, or within a line of prose, are found by passages."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "in", "under", "license", "this", "a", f"w{rng.randrange(50)}"]) for _ in range(n))
+    rows, named = [], []
+    for name, template in licenses.TEMPLATES.items():
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(template, 40))
+        mangled = " ".join(w for w in template.split() if rng.random() > 0.05)
+        rows += [f"{prose(30)}\n{wrapped}\n{prose(30)}", f"{prose(20)} {template} {prose(20)}", f"{prose(9)}\n{mangled} {prose(9)} {wrapped} {template}"]
+        named += [name] * 3
+    rows += ["Released under the MIT License. " * 9, "x x x " * 30 + "released under the the the the " + "x " * 50 + "mit license", prose(200), "", None, "license"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in licenses.passages(docs).collect()}
+    assert found == {i: _best_windows(x or "") for i, x in enumerate(rows)}
+    for i, name in enumerate(named):
+        assert name in {x[2] for x in found[i]}
+    # lines and whole texts alone miss most of the wrapped ones
+    lines = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
+    assert sum((i, name) not in lines for i, name in enumerate(named) if i % 3 == 0) >= 8
+    assert len(found[36]) == 9
+    assert all(r["passages"] == [] for r in licenses.passages(docs, {}).collect())
+
+
 def test_passages_in_many_tasks(spark):
     """A passage of all documents, in any alignment, over more tasks than blocks."""
     rng = random.Random(9)
