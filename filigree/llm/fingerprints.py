@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm import _words
+from filigree.llm._graph import components
 from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._words import U, Words
 
@@ -141,11 +142,14 @@ def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pairs (a, b, jaccard): each document b and the least document a of a band bucket that it shares, if verified.
-
-    Equal signatures in a band of `rows_per_band` entries put documents in a bucket. Buckets aren't expanded: each member
-    is held against the bucket's least key only, so a bucket of any size gives no more pairs than it has members. Jaccard
-    is exact, on the hashed sets of five-word shingles. Rows without words or with a null key have no pairs.
+    """Pairs (a, b, jaccard), a < b, verified: links that connect all documents whose Jaccard is enough and that share a bucket.
+
+    Equal signatures in a band of `rows_per_band` entries put documents in a bucket. Each member is first held against the
+    bucket's least key; the pairs that pass connect documents. Then, in each bucket, the members outside its largest connected
+    part are held against all members that they aren't connected with. Two documents that nothing connects yet include one
+    of those, so no link is lost; within a part not all pairs are listed. A bucket of near copies gives about as many pairs
+    as it has members, one of texts that are all unlike each other gives the square of it to verify. Jaccard is exact, on the
+    hashed sets of five-word shingles. Rows without words or with a null key have no pairs.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -158,8 +162,10 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
                 keys = np.arange(grouped.shape[1], dtype=U)[None, :] + U(1)
                 for i in range(rows_per_band):
                     keys = _words.mix(keys * U(_words.WORD_BASE) + grouped[:, :, i])
+                hashes, offsets = words.shingles(words.hashes(fold=True), SHINGLE)
+                sizes = np.array([len(np.unique(hashes[offsets[i] : offsets[i + 1]])) for i in full], np.int64)
                 at = np.repeat(full + a, grouped.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.reshape(-1).view(np.int64))], names=["key", "band"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(sizes, grouped.shape[1]))], names=["key", "band", "size"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +184,25 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
-    members = arrow_map(docs, bands, f"key {kind}, band long")
-    least = members.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
-    pairs = members.join(least, "band").filter("a < key").select("a", F.col("key").alias("b")).distinct()
     grams = arrow_map(docs, sets, f"key {kind}, grams binary")
-    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return arrow_map(both.select("a", "b", "x", "y"), verify, f"a {kind}, b {kind}, jaccard double").filter(F.col("jaccard") >= threshold)
+    members = stored(arrow_map(docs, bands, f"key {kind}, band long, size long").distinct(), "bands")
+    alike = F.least("size", "other") / F.greatest("size", "other") >= threshold  # sizes bound Jaccard
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+        return arrow_map(both.select("a", "b", "x", "y"), verify, f"a {kind}, b {kind}, jaccard double").filter(F.col("jaccard") >= threshold)
+
+    least = members.groupBy("band").agg(F.min(F.struct("key", "size")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    least = least.select("band", F.col("m.key").alias("a"), F.col("m.size").alias("other"))
+    stars = stored(members.join(least, "band").filter("a < key").filter(alike).select("a", F.col("key").alias("b")).distinct(), "stars")
+    first = stored(verified(stars), "pairs")
+
+    parts = components(first.select("a", "b"))
+    rooted = stored(members.join(least.select("band"), "band").join(parts, members["key"] == parts["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
+    largest = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
+    outside = rooted.join(largest, "band").filter("root <> main").select("band", F.col("key").alias("_key"), F.col("size").alias("other"), F.col("root").alias("_root"))
+    rest = rooted.join(outside, "band").filter("root <> _root").filter(alike).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+    return first.unionByName(verified(rest.join(stars, ["a", "b"], "left_anti")))
 
 
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -93,6 +93,36 @@ def test_near_pairs_are_verified(spark):
     assert [(r["a"], r["b"]) for r in found] == [(1, 2)] and 0.95 < found[0]["jaccard"] < 1
 
 
+def test_near_pairs_lose_no_link(spark):
+    """A chain of versions, and versions of a text that many unlike ones with smaller keys share most of their buckets with."""
+    rng = random.Random(12)
+    stock, ids = [f"w{i}" for i in range(1500)], rng.sample(range(1000), 31)
+    texts = {i: " ".join(stock[30 * k : 30 * k + 300]) for k, i in enumerate(ids)}
+    texts |= {i + 2000: t + f" copy{i}" for i, t in list(texts.items())[:8]}
+    base = [f"v{i}" for i in range(300)]
+    for i in range(80):
+        at = rng.randrange(240)
+        texts[5000 + i] = " ".join([*base[:at], *(f"u{i}_{k}" for k in range(60)), *base[at + 60 :]])
+    versions = [base[: 8 * i] + [f"new{k}" for k in range(8 * i)] + base[16 * i :] for i in range(6)]
+    texts |= {6000 + i: " ".join(x) for i, x in enumerate(versions)}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
+    want = {k: j for k, j in want.items() if j >= 0.8}
+    assert {(min(x), max(x)) for x in zip(ids, ids[1:], strict=False)} <= set(want)
+    found = {(r["a"], r["b"]): r["jaccard"] for r in fingerprints.near_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found.items() <= want.items()
+
+    def parts(links):
+        up = {i: {i} for i in texts}
+        for a, b in links:
+            up[a] |= up[b]
+            for i in up[a]:
+                up[i] = up[a]
+        return {i: min(x) for i, x in up.items()}
+
+    assert parts(found) == parts(want) and len({parts(want)[i] for i in ids}) == 1 and len({parts(want)[6000 + i] for i in range(6)}) == 1
+
+
 def test_targets_and_permutations():
     assert mixing.targets([10, 1000, 20, 30]) == [30.0, 880.0, 60.0, 90.0]
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
