@@ -21,7 +21,7 @@ from filigree.llm._words import U, Words
 from filigree.sources.workers import trim
 
 #: Labelled rows that the fit reads at most (a third of them toxic, if there are so many), and features it keeps at most.
-SAMPLE, FEATURES = 8_000, 4096
+SAMPLE, FEATURES = 12_000, 4096
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 STOP, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -82,9 +82,13 @@ class Model:
 
 
 def _pick(texts: pa.Array, y: np.ndarray, most: int) -> np.ndarray:
-    """The hashes most typical of documents with label 1, by chi-square, sorted. Two passes, to hold counts of slots only."""
-    slots = 1 << 22
-    count = np.zeros((2, slots), np.int32)
+    """The hashes most typical of documents with label 1, by chi-square over 15, sorted.
+
+    Two passes. The first counts slots of hashes: a hash isn't in more documents with label 1 than its slot's count, so
+    slots that couldn't reach 15 without any document with label 0 go. The second counts the other slots' hashes, a part
+    of the texts at a time, and holds a row for each hash rather than for each occurrence.
+    """
+    count = np.zeros(1 << 22, np.int32)
 
     def passes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a, b, words in _words.each(texts):
@@ -108,16 +112,28 @@ def _pick(texts: pa.Array, y: np.ndarray, most: int) -> np.ndarray:
 
     for found, doc in passes():
         found, doc = once(found, doc)
-        for label in (0, 1):
-            np.add.at(count[label], (found[y[doc] == label] >> U(42)).astype(np.int64), 1)
-    wanted = chi(count[1], count[0]) > 5  # a slot's other hashes dilute it
-    parts = []
+        np.add.at(count, (found[y[doc] == 1] >> U(42)).astype(np.int64), 1)
+    wanted = chi(np.minimum(np.arange(count.max() + 1), y.sum()), np.zeros(count.max() + 1))[count] > 15
+    del count
+    each, pos, neg = np.zeros(0, U), np.zeros(0), np.zeros(0)
+    parts, held = [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+        both, at = np.unique(np.concatenate((each, found)), return_inverse=True)
+        return both, np.bincount(at, np.concatenate((pos, label)), len(both)), np.bincount(at, np.concatenate((neg, 1 - label)), len(both))
+
     for found, doc in passes():
         keep = wanted[(found >> U(42)).astype(np.int64)]
-        parts.append(once(found[keep], doc[keep]))
-    found, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
-    each, at = np.unique(found, return_inverse=True)
-    score = chi(np.bincount(at, y[doc], len(each)), np.bincount(at, 1 - y[doc], len(each)))
+        found, doc = once(found[keep], doc[keep])
+        parts.append((found, y[doc]))
+        held += len(found)
+        if held > 1 << 19:
+            each, pos, neg = added()
+            parts, held = [], 0
+    if parts:
+        each, pos, neg = added()
+    score = chi(pos, neg)
     best = np.argsort(-score, kind="stable")[:most]
     return np.sort(each[best[score[best] > 15]])
 

@@ -175,6 +175,20 @@ def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     assert {r["sentence"] for r in found} == {3} and all("grimbo" in r["span"] for r in found)
 
 
+def test_toxicity_keeps_features_of_common_slots():
+    """A hash that only toxic documents have, in a slot with one that half of all documents have."""
+    rng = random.Random(13)
+    short = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(20_000)]
+    hashes = dict(zip(short, toxicity.features(next(_words.each(pa.array([" ".join(short)])))[2])[:, 0].tolist(), strict=True))
+    slots = {}
+    for w, h in hashes.items():
+        slots.setdefault(h >> 42, []).append(w)
+    rare, common = next(x for x in slots.values() if len(x) > 1)[:2]
+    y = np.array([int(i % 3 == 0) for i in range(600)])
+    texts = pa.array([f"d{i} {common if i % 2 else ''} {rare if i % 3 == 0 and i % 16 == 0 else ''}" for i in range(600)])
+    assert toxicity._pick(texts, y, 4096).tolist() == [hashes[rare]]
+
+
 def test_licence_sizes_bound_matches(spark):
     docs = spark.createDataFrame([(1, "x\nReleased under  THE mit license!\ny"), (2, "Released under the MIT"), (3, None), (4, "")], "doc_id long, text string")
     out = licenses.scan(docs).collect()
