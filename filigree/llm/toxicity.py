@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm import _words
-from filigree.llm._scratch import arrow_map
+from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._words import U, Words
 from filigree.sources.workers import trim
 
@@ -181,10 +181,11 @@ def held_out(key: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled rows that aren't held out, a third of them toxic if there are so many.
 
-    Which rows is settled by a hash of their ids; classes are weighted back to their shares among all labels. Null ids,
+    Which rows is settled by a hash of their ids; classes are weighted back to their shares among the documents' labels. Null ids,
     labels other than 0 and 1, and labels without a document don't count; the greatest of several labels does.
     """
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stored(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     counts = {x[0]: x[1] for x in known.groupBy("toxic").count().collect()}
     positive = min(counts.get(1, 0), sample // 3)
     order = F.xxhash64("doc_id")

@@ -175,6 +175,16 @@ def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     assert {r["sentence"] for r in found} == {3} and all("grimbo" in r["span"] for r in found)
 
 
+def test_toxicity_picks_labels_that_have_documents(spark):
+    """Labels far beyond the documents leave the training sample to those of documents."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20)) + (" grimbo" if i % 3 == 0 else "") + ".") for i in range(120)]
+    labels = [(i, int(i % 3 == 0)) for i in range(20_000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, toxicity.train(docs, marks, sample=90)).collect()}
+    assert sum((s >= 0.3) == (i % 3 == 0) for i, s in out.items()) >= 115
+
+
 def test_toxicity_keeps_features_of_common_slots():
     """A hash that only toxic documents have, in a slot with one that half of all documents have."""
     rng = random.Random(13)
