@@ -52,3 +52,13 @@ def test_near_copies_leave_one(spark, tmp_path):
     folder = write(tmp_path / "t", rows)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()) == [0, 9]
+
+
+def test_near_copies_with_null_or_repeated_ids_leave_one(spark, tmp_path):
+    """Copies that share the null id, and an id that stands for another row's class than its own."""
+    text = lambda name, new="": " ".join([*(f"{name}{i}" for i in range(200)), new])
+    rows = [(None, text("a")), (None, text("a", "x")), (4, text("a", "y")), (None, text("b")), (1, text("c")), (2, text("c", "x")), (1, text("d", "x")), (0, text("d")), (3, ""), (None, None)]
+    folder = write(tmp_path / "t", [(i, t, "src0") for i, t in rows])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = [(r["doc_id"], (r["text"] or "")[:1]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert Counter(found) == Counter([(None, "a"), (None, "b"), (1, "c"), (0, "d"), (3, ""), (None, "")])
