@@ -3,8 +3,9 @@
 Lines are compared by a 128-bit hash of their key. Only hashes, ids and positions are shuffled; what comes back is a
 compressed bitmap of dropped lines for each document that loses any, and the text is rebuilt where it is.
 
-Hot lines: a line may stand in a third of all documents. Each document contributes a key once, partial sums run before
-the shuffle, and the ordered sweep sees one row for each key and range of documents instead of one for each occurrence.
+Hot lines: a line may stand in a third of all documents. Each document contributes a key once, and partial sums run before
+the shuffle. What is shared is then joined with all occurrences by hash: those of a hot line meet at one join key, unless
+Spark splits it. There is no range partition and no ordered sweep.
 """
 
 from __future__ import annotations
