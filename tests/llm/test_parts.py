@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from filigree.llm import _words, fingerprints, licenses, mixing, packing, quality, substring_dedup, token_counts, toxicity
+from filigree.llm import _words, fingerprints, licenses, line_dedup, mixing, packing, quality, substring_dedup, token_counts, toxicity
 from filigree.llm._trie import linked
 from filigree.operators.components import components
 
@@ -258,3 +259,61 @@ def test_passages_in_many_tasks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
     found, _ = substring_dedup.dedup_passages(docs)
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {i: 0 if i == 0 else 60 for i in range(64)}
+
+
+#: Names that operators use for columns of their own.
+OWN = "row doc tag text2 lines bits keeps kept h g hot last nth n pos x word _doc _tag _drops _lines _bits _kept _words _n _parts _part _sum _rank _one _offset before key first place number turn".split()
+
+
+def crowded(spark, rows):
+    """docs with columns of all these names."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in OWN))
+
+
+def unharmed(out, rows):
+    for r in out:
+        name = "none" if r["doc_id"] is None else str(r["doc_id"])
+        assert all(r[c] == f"{c} of {name}" for c in OWN)
+
+
+def test_lines_keep_other_columns_and_repeated_rows(spark):
+    line = "a line that is long enough to count"
+    rows = [(i, f"{line}\nown line {i}", "s") for i in range(5)] + [(None, f"x\n {line.upper()}\t", "s"), (2, f"{line}\nown line 2", "s"), (None, None, None), (9, "", "s")]
+    out = [r.asDict() for r in line_dedup.dedup_lines(crowded(spark, rows)).collect()]
+    unharmed(out, rows)
+    assert sorted((str(r["doc_id"]), r["kept_text"], r["n_lines"], r["n_dropped"]) for r in out) == sorted(
+        [*((str(i), f"own line {i}", 2, 1) for i in (0, 1, 2, 2, 3)), ("4", f"{line}\nown line 4", 2, 0), ("None", "x", 2, 1), ("None", "", 1, 0), ("9", "", 1, 0)]
+    )
+    again = line_dedup.dedup_lines(line_dedup.dedup_lines(crowded(spark, rows)))
+    assert again.columns == [c for c in crowded(spark, rows).columns] + ["kept_text", "n_lines", "n_dropped"]
+    assert line_dedup.dedup_lines(crowded(spark, rows).limit(0)).collect() == []
+
+
+def test_rows_of_one_document_count_once(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line, "s"), (1, line + "\nmore", "s"), (1, line, "s"), (2, line, "s")]
+    assert {r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {0}
+
+
+def test_hot_lines_over_many_tasks(spark, monkeypatch):
+    """Lines that the sketch names, some in every document and some many times in one, and rarer ones that it doesn't."""
+    monkeypatch.setattr(line_dedup, "TRACKED", 16)
+    rng = random.Random(21)
+    common = [f"common line number {i} of a good length" for i in range(3)]
+    rare = [f"rarer line number {i} of a good length" for i in range(40)]
+    rows = []
+    for i in range(400):
+        lines = [f"line {k} of document {i} alone, long enough" for k in range(rng.randrange(4))] + rng.sample(rare, 2) + common[: rng.randrange(4)]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    rows.append((500, "\n".join(["one document's line that is there again"] * 500)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    hot = line_dedup.hot_hashes(line_dedup.stored(line_dedup.occurrences(docs.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"), "text"), 20), "lines")).count()
+    assert 2 <= hot < 16
+    last, n = {}, {}
+    for i, text in rows:
+        for x in set(text.split("\n")):
+            last[x], n[x] = max(last.get(x, -1), i), n.get(x, 0) + 1
+    want = {i: "\n".join(x for x in text.split("\n") if len(x) < 20 or n[x] < 3 or last[x] == i) for i, text in rows}
+    assert {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs).collect()} == want
