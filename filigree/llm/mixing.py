@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
-The words of a source, its documents in order, are cut into blocks of fixed length. Output shards draw how many blocks
-each source gives them (multinomial counts, conditioned on each source's total, so that the totals meet the targets);
-a source's slots, numbered through the shards, go to its blocks through a pseudorandom permutation of the block numbers,
+The words of a source, its documents in order, are cut into blocks of fixed length. How many blocks of a source each output
+shard has is drawn as one multinomial count of the source's whole number over the shards, at any size, so that the totals
+meet the targets; a source's slots, numbered through the shards, go to its blocks through a pseudorandom permutation of the block numbers,
 a new one for each pass over the source; and blocks are fetched by a join on (source, block).
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.llm import _words
@@ -84,16 +84,9 @@ def sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return [Source(n, s, t) for (n, s), t in zip(rows, targets([s for _, s in rows], weights, most), strict=True)]
 
 
-def shares(slots: list[int], seed: int, shards: int = SHARDS) -> np.ndarray:
-    """How many slots each shard (row) has of each source (column): drawn without replacement, so the sums are `slots`."""
-    left, out = np.array(slots, np.int64), np.zeros((shards, len(slots)), np.int64)
-    for i in range(shards):
-        size = int(left.sum() - left.sum() * (shards - i - 1) // (shards - i))
-        # of so many that drawing without replacement can't be computed exactly, multinomial counts within what is left
-        rng = np.random.Generator(np.random.PCG64([seed, i]))
-        take = left if i == shards - 1 else rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 1_000_000_000 else np.minimum(rng.multinomial(size, left / left.sum()), left)
-        out[i], left = take, left - take
-    return out
+def shares(slots: int, source: int, seed: int, shards: int = SHARDS) -> np.ndarray:
+    """How many of a source's slots each shard has: multinomial counts (conditional binomials one by one), whose sum is `slots`."""
+    return np.random.Generator(np.random.PCG64([seed, source])).multinomial(slots, np.full(shards, 1 / shards))
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -131,10 +124,15 @@ def schedule(spark, found: list[Source], seed: int) -> DataFrame:
     short = last_slots(found, seed)
     part = -(-rest // BLOCK)
     part = np.where(short < part, -(-(rest + lack) // BLOCK), part)
-    per = shares((passes * blocks + part).tolist(), seed)
-    starts = np.cumsum(per, axis=0) - per
-    rows = [(s, k, int(starts[s, k]), int(starts[s, k] + per[s, k])) for s in range(len(per)) for k in range(len(found)) if per[s, k]]
-    runs = spark.createDataFrame(rows, "shard int, source_no int, low long, high long")
+    wanted = spark.createDataFrame([(i, int(x)) for i, x in enumerate(passes * blocks + part)], "source_no int, slots long")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ends = np.cumsum(shares(n, source, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARDS, dtype=np.int32)), pa.array(np.full(SHARDS, source, np.int32)), pa.array(np.append(0, ends[:-1])), pa.array(ends)], names=["shard", "source_no", "low", "high"])
+
+    runs = arrow_map(wanted, deal, "shard int, source_no int, low long, high long").filter("low < high")
     runs = runs.select("shard", "source_no", "high", F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(RUN))).alias("low")).repartition("shard", "source_no", "low")
     slots = runs.select("shard", "source_no", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + RUN, "high") - 1)).alias("slot"))
 
@@ -189,19 +187,26 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     """The mix as documents: a row of docs for each pass that takes some of its words, with just these as its text.
 
-    A pass that takes all words leaves the text as it is; else the words taken are joined by one space. Rows should differ
-    in doc_id or text; rows without words, or of which the mix takes none, are gone.
+    A pass that takes all words leaves the text as it is; else the words taken are joined by one space. Rows without words,
+    or of which the mix takes none, are gone. Repeated rows are rows of their own: each has its own place in its source and
+    its own turns. Columns may have any names and stay as they are.
     """
-    _, mixed, _ = mix(docs, seed)
-    turns = mixed.groupBy("source_no", "first", "pass", "doc_id", "tag").agg(
-        F.sum("length").alias("_n"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_parts")
-    )
-    turns = turns.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_n", "_parts").hint("merge")
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    some = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(F.col("_words"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
-    joined = docs.join(turns, docs["doc_id"].eqNullSafe(turns["_doc"]) & (F.xxhash64(docs[text]) == turns["_tag"])).withColumn("_words", words)
-    out = joined.withColumn(text, F.when(F.size("_words") == F.col("_n"), F.col(text)).otherwise(some))
-    return out.select(*docs.columns)
+    _, mixed, found = mix(docs.withColumn("text", F.col(text)) if text != "text" else docs, seed)
+    turns = mixed.groupBy("source_no", "first", "pass", "doc_id", "tag").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("parts"))
+    same = lambda *more: F.to_json(F.struct(F.lit(0).alias("at"), *more))  # noqa: E731, exact, also for nulls
+    # rows equal in id, text and source are numbered on both sides, and the n-th of them has the turns of the n-th place
+    turns = turns.select(same("source_no", "doc_id").alias("id"), "tag", F.dense_rank().over(Window.partitionBy("source_no", "doc_id", "tag").orderBy("first")).alias("nth"), "n", "parts").hint("merge")
+    numbers = docs.sparkSession.createDataFrame([(x.name, i) for i, x in enumerate(found)], "source string, source_no int")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", F.xxhash64(text).alias("tag"))
+    rows = rows.join(numbers, rows["source"].eqNullSafe(numbers["source"])).select("row", same("source_no", "row.doc_id").alias("id"), "tag")
+    rows = rows.withColumn("mine", F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.xxhash64("row"))))
+    # not an equality of columns, so that the join keeps the window's partitioning
+    joined = rows.join(turns, ["id", "tag"]).filter(F.col("mine") - F.col("nth") == 0)
+    # explode() of one element: words are made once, not in each use
+    joined = joined.select("row", "n", "parts", F.explode(F.array(F.filter(F.split(F.col("row").getField(text), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""))).alias("words"))
+    some = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(F.col("words"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
+    taken = F.when(F.size("words") == F.col("n"), F.col("row").getField(text)).otherwise(some)
+    return joined.select(*((taken if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -131,8 +131,11 @@ def test_targets_and_permutations():
         size, key = np.full(n, n), np.full(n, 99)
         out = mixing.permuted(np.arange(n), size, key)
         assert sorted(out) == list(range(n)) and (mixing.permuted(out, size, key, inverse=True) == np.arange(n)).all()
-    per = mixing.shares([10_000, 3, 0], 1, 16)
-    assert per.sum(axis=0).tolist() == [10_000, 3, 0] and (per >= 0).all()
+    for n in (0, 3, 10_000, 10**13):  # one draw at all sizes
+        per = mixing.shares(n, 1, 7, 16)
+        assert per.sum() == n and (per >= 0).all() and (per == mixing.shares(n, 1, 7, 16)).all()
+        assert abs(per / max(n, 1) - 1 / 16).max() < 4 / max(n, 1) ** 0.5
+    assert (mixing.shares(10_000, 1, 7) != mixing.shares(10_000, 2, 7)).any()
 
 
 def test_plan_is_best_fit_decreasing():
@@ -317,3 +320,29 @@ def test_hot_lines_over_many_tasks(spark, monkeypatch):
             last[x], n[x] = max(last.get(x, -1), i), n.get(x, 0) + 1
     want = {i: "\n".join(x for x in text.split("\n") if len(x) < 20 or n[x] < 3 or last[x] == i) for i, text in rows}
     assert {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs).collect()} == want
+
+
+def test_mixed_documents_keep_other_columns_and_repeated_rows(spark):
+    rng = random.Random(22)
+    text = lambda n: "  ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    rows = [(i, text(rng.randrange(1, 400)), "s" if i % 3 else "t") for i in range(40)] + [(None, text(30), "s"), (None, None, None), (50, "", "u")]
+    rows += [rows[1], rows[1], rows[5], rows[40], (1, rows[1][1], "t")]
+    out = [r.asDict() for r in mixing.mixed_documents(crowded(spark, rows)).collect()]
+    unharmed(out, rows)
+    words, got, passes = lambda x: (x or "").split(), {}, {}
+    for r in out:
+        key = r["doc_id"], r["source"]
+        got[key] = got.get(key, 0) + len(words(r["text"]))
+        passes[key] = passes.get(key, 0) + 1
+    want = {}
+    for r in mixing.taken(crowded(spark, rows)).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    sums = {}
+    for (i, _), n in got.items():
+        sums[i] = sums.get(i, 0) + n
+    assert {i: n for i, n in want.items() if n} == sums
+    for i, t, source in rows:  # a row's turns take its own words, no more often than three times
+        for r in out:
+            if (r["doc_id"], r["source"]) == (i, source):
+                assert set(words(r["text"])) <= set(words(t))
+        assert passes.get((i, source), 0) <= 3 * sum(x[0] == i and x[2] == source for x in rows)
