@@ -1,7 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a small sample; rules then run in the order of rejections per cost,
-each on the documents that all rules before it have let pass. The order changes the time, never the verdict.
+Each task measures each rule's cost and rejection rate on a sample of its own rows, spread over the first ones, and runs the
+rules in the order of rejections per cost, each on the documents that all rules before it have let pass. A cost is what
+a rule adds to what is measured already: measures that are returned anyway are free, and those that an earlier rule has
+made as well. No pass over the table goes before, and a source whose texts differ gets an order of its own. The order changes
+the time, never the verdict.
 """
 
 from __future__ import annotations
@@ -34,6 +37,12 @@ class Texts:
     def __len__(self) -> int:
         return len(self.words.bounds) - 1
 
+    def copy(self) -> Texts:
+        """With the measures made so far; what is made from now on isn't shared."""
+        out = Texts(self.words)
+        out.__dict__.update(self.__dict__)
+        return out
+
     def take(self, rows: np.ndarray) -> Texts:
         if len(rows) == len(self):
             return self
@@ -130,19 +139,44 @@ def failed(t: Texts) -> np.ndarray:
     return (t.n_words < 10) | (100 * t.n_repeat_words > 20 * t.n_words)
 
 
-def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample: int = 256) -> list[Rule]:
-    """The rules by rejections per second, most first, as measured on `sample` rows (equal ones in the given order)."""
-    rows = pa.array([x[0] for x in docs.select(text).limit(sample).collect()], pa.large_string())
-    data, bounds = _words.buffers(rows)
-    if not len(rows):
-        return list(rules)
-    rate = {}
-    for rule in rules:
-        fresh = Texts(_words.words(data, bounds))  # so that each rule bears the whole cost of its measures
-        began = time.perf_counter()
-        rejected = int(rule.rejects(fresh).sum())
-        rate[rule.name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return sorted(rules, key=lambda r: -rate[r.name])
+#: What is measured of every document before the rules, and the base rule: too few words, or too many in repeated windows.
+BASE = Rule("base", failed)
+
+
+def ordered(texts: Texts, rules: Sequence[Rule]) -> list[Rule]:
+    """The rules by rejections per second, most first, as measured on texts (equal ones in the given order).
+
+    Greedily: the next rule is the one that rejects most per second of what those before it let pass, its cost counted
+    without measures that texts have, or that those before it have made.
+    """
+    left, out = list(rules), []
+    while len(left) > 1 and len(texts):
+        rates = []
+        for rule in left:
+            own = texts.copy()
+            began = time.perf_counter()
+            rejected = rule.rejects(own)
+            rates.append((int(rejected.sum()) / max(time.perf_counter() - began, 1e-9), own, rejected))
+        best = max(range(len(left)), key=lambda i: (rates[i][0], -i))
+        if not rates[best][0]:
+            break
+        out.append(left.pop(best))
+        _, texts, rejected = rates[best]
+        texts = _kept(texts, np.flatnonzero(~rejected))
+    return out + left
+
+
+def _kept(texts: Texts, rows: np.ndarray) -> Texts:
+    """Some of the texts, with their measures."""
+    out = texts.take(rows)
+    if out is not texts:
+        out.__dict__.update({k: tuple(x[rows] for x in v) if isinstance(v, tuple) else v[rows] for k, v in texts.__dict__.items() if k != "words"})
+    return out
+
+
+def sampled(texts: Texts, rows: int = 256) -> Texts:
+    """At most so many of the texts, at even distances, with their measures."""
+    return _kept(texts, np.unique(np.linspace(0, len(texts) - 1, min(rows, len(texts))).astype(np.int64))) if len(texts) else texts
 
 
 def verdicts(texts: Texts, rules: Sequence[Rule], alive: np.ndarray) -> np.ndarray:
@@ -183,26 +217,50 @@ class _Rows:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", key: str = "doc_id", sample: int = 256) -> DataFrame:
+def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key: str = "doc_id", sample: int = 256, order: bool = True) -> DataFrame:
     """`key`, the base measures, base_failed and kept for each row, in one pass without a shuffle.
 
-    A null or empty text has no words, so it fails the base rule. kept: neither the base rule nor any other rejects.
+    A null or empty text has no words, so it fails the base rule. kept: neither the base rule nor any other rejects. Repeated
+    rows and rows with a null key are judged each by itself; only key and text are read, whatever else docs has. Each task
+    puts the rules in order by `sample` rows of its first slice, unless order is False.
     """
-    rules = ordered(docs, text=text, sample=sample) if rules is None else list(rules)
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None if order else list(rules)
         for batch in batches:
             for a, b, words in _words.each(batch.column(1)):
                 t = Texts(words)
+                measures = [pa.array(getattr(t, m)) for m in MEASURES]
                 bad = failed(t)
-                columns = [batch.column(0).slice(a, b - a), *(pa.array(getattr(t, m)) for m in MEASURES), pa.array(bad), pa.array(verdicts(t, rules, ~bad))]
+                if own is None:  # what the base rule rejects doesn't come to the others
+                    own = ordered(sampled(_kept(t, np.flatnonzero(~bad)), sample), rules)
+                columns = [batch.column(0).slice(a, b - a), *measures, pa.array(bad), pa.array(verdicts(t, own, ~bad))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *MEASURES, "base_failed", "kept"])
 
     schema = f"key {kind}, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, kept boolean"
     return arrow_map(docs.select(key, text), judge, schema).withColumnRenamed("key", key)
 
 
+def passing(docs: DataFrame, rules: Sequence[Rule] = (BASE, *RULES), text: str = "text", sample: int = 256) -> DataFrame:
+    """The rows of docs that all rules let pass, all columns as they are; no measure is made that no rule needs any more.
+
+    Here the cascade is short-circuit throughout: the base rule is a rule as the others, and what one rejects costs nothing
+    further. A null or empty text has no words.
+    """
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for a, b, words in _words.each(batch.column(at)):
+                t = Texts(words)
+                own = ordered(sampled(t, sample), rules) if own is None else own
+                yield batch.slice(a, b - a).filter(pa.array(verdicts(t, own, np.ones(b - a, bool))))
+
+    return arrow_map(docs, keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

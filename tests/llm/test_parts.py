@@ -162,6 +162,38 @@ def test_cascade_order_does_not_change_verdicts():
         assert (quality.verdicts(quality.Texts(w), quality.RULES[::-1], alive) == want).all()
 
 
+def test_cascade_is_ordered_by_added_cost(monkeypatch):
+    """A rule whose measure is paid for, or rejects much, comes before one that rejects as much for more."""
+    texts = pa.array(["LOUD WORDS HERE " * 200 if i % 2 else "good words here " * 200 for i in range(64)])
+    (_, _, w), = list(_words.each(texts))
+    clock = iter(range(10**6))
+    monkeypatch.setattr(quality.time, "perf_counter", lambda: cost[0] + next(clock) * 1e-9)
+    cost = [0.0]
+
+    def rule(name, reads, share, price):
+        def rejects(t):
+            if reads not in t.__dict__:
+                cost[0] += price
+                t.__dict__[reads] = np.arange(len(t))
+            return np.arange(len(t)) < share * len(t)
+
+        return quality.Rule(name, rejects)
+
+    rules = [rule("dear", "a", 0.5, 9.0), rule("cheap", "b", 0.5, 1.0), rule("shares", "b", 0.1, 1.0), rule("none", "c", 0.0, 1.0)]
+    assert [r.name for r in quality.ordered(quality.Texts(w), rules)] == ["cheap", "shares", "dear", "none"]
+    paid = quality.Texts(w)
+    paid.__dict__["a"] = np.arange(len(paid))
+    assert quality.ordered(paid, rules)[0].name == "dear"
+    assert len(quality.sampled(quality.Texts(w), 10)) == 10
+
+
+def test_passing_rows_are_those_of_quality(spark, awkward_dir):
+    docs = spark.read.parquet(f"{awkward_dir[0]}/documents.parquet")
+    kept = sorted(r["doc_id"] for r in quality.quality(docs).collect() if r["kept"])
+    out = quality.passing(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == kept and kept
+
+
 def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     rng = random.Random(8)
     rows, labels = [], []
