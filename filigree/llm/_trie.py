@@ -137,21 +137,23 @@ class Trie:
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None, cells: int = 1 << 24, pairs: int = 1 << 18) -> np.ndarray:
+def linked(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None, cells: int = 1 << 24, pairs: int = 1 << 18) -> np.ndarray:
     """For each set (sorted, none equal) the least number of a set that it reaches by links of den * overlap >= num * union.
 
     Some pivots first gather what is like them, so that a large group of near copies becomes one component cheaply. Each
     link between components has an end outside the largest one; so the sets outside it, and only these, walk the trie of
     all sets, and no link is lost. cells and pairs bound the memory of the walk.
 
-    known: sets that are marked are in one component already.
+    labels: sets with equal ones are in one component already.
     """
     m = len(sets)
     forest = Forest(m)
-    if known is not None:
-        same = np.flatnonzero(known)
-        for i in same[1:].tolist():
-            forest.join(int(same[0]), i)
+    often = None
+    if labels is not None:
+        _, first, place, many = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+        for i in range(m):
+            forest.join(int(first[place[i]]), i)
+        often = place != many.argmax() if m and many.max() > 1 else None
     if m < 2:
         return forest.roots()
     n = np.array([len(s) for s in sets], np.int64)
@@ -161,8 +163,8 @@ def linked(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None
     column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)
     width = int((counts > 1).sum())
     open_ = np.argsort(n, kind="stable")
-    if known is not None:
-        open_ = open_[~known[open_]]
+    if often is not None:
+        open_ = open_[often[open_]]
     for _ in range(8):
         if len(open_) < 2:
             break

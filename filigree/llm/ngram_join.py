@@ -6,7 +6,7 @@
 3. Prefix filter: two sets above the threshold share an n-gram among the first n - ceil(t n) + 1 of each. Sets that share
    one, and whose sizes permit, are connected into blocks: a set meets the first of its run only, never all others.
 4. Each block's sets are stored in a trie in the global order and joined by walking it; see _trie. Blocks over a bounded
-   size are cut into chunks; see _block_links.
+   size are cut: into chunks, then by prefix n-gram or by chunk, whichever copies less; see _block_links.
 5. The links' connected components are the classes.
 """
 
@@ -61,15 +61,14 @@ def ngram_sets(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
     return arrow_map(docs.select(key, text), read, f"key {kind}, n long, id long")
 
 
-def _bucket_bits(docs: DataFrame) -> int:
-    """So many that a bucket's n-grams fit in a task at any size of the input, as the plan estimates it."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max((size // BUCKET).bit_length(), 8), 20)
+def _bucket_bits(total: int) -> int:
+    """So many that a bucket's part of all n-grams fits in a task."""
+    return min(max((8 * total // BUCKET).bit_length(), 8), 20)
 
 
 def _frequencies(docs: DataFrame, k: int, total: int, text: str):
     """Broadcast tables: which n-grams stand in two sets at least (bits, by hash), and weights of frequent ones (by slot)."""
-    buckets, bits = _bucket_bits(docs), min(max(total.bit_length(), SLOTS), MOST_BITS)
+    buckets, bits = _bucket_bits(total), min(max(total.bit_length(), SLOTS), MOST_BITS)
     low = 64 - buckets - 32
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +220,11 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     total = rows.agg(F.sum("n")).first()[0] or 0
     weights = _frequencies(docs, k, total, text)
 
-    edges = _candidates(stored(_prefixes(docs, k, num, den, weights, text), "prefixes"), num, den)
+    prefixes = stored(_prefixes(docs, k, num, den, weights, text), "prefixes")
+    edges = _candidates(prefixes, num, den)
     stars = components(edges)
     blocks = stars.select("node", F.col("root").alias("block")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
-    joined = _block_links(docs, rows, blocks, k, num, den, weights, text, chunk)
+    joined = _block_links(docs, rows, blocks, prefixes, k, num, den, weights, text, chunk)
 
     sets = rows.filter("n > 0").groupBy("id").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("none"), F.count(F.lit(1)).alias("rows"))
     sets = sets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "least", "none", "rows")
@@ -234,13 +234,18 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
-def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int, weights, text: str, chunk: int) -> DataFrame:
+def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, prefixes: DataFrame, k: int, num: int, den: int, weights, text: str, chunk: int) -> DataFrame:
     """(node, root): the components of all links within blocks.
 
-    A block of up to `chunk` n-grams is one task. A larger one is cut: each chunk is joined by itself; the heads of the
-    chunks' largest components are joined, which in a group of near copies makes one component of most sets; the sets
-    outside the block's largest component are joined with every chunk. A link between two components has an end among
-    these, so none is lost, and only they are copied.
+    A block of up to `chunk` n-grams is one task. A larger one is cut: each chunk is joined by itself, and so are the heads
+    of the chunks' largest components, which in a group of near copies makes one component of most sets. What may be
+    missing are links between these components. Two ways find all of them, and each block takes the one that copies less:
+
+    * by chunks: the sets outside the block's largest component are joined with every chunk. A link between two components
+      has an end among these. Few sets, where a block is near copies and some that are nearly so.
+    * by postings: two sets that link share a prefix n-gram, so the sets of each prefix n-gram that has sets of several
+      components are joined: those outside its largest component with all. Few sets, where a block is held together by
+      chains of n-grams and little in it links: verified components count, not those of candidates.
     """
     sizes = rows.filter("n > 0").select("id", "n").distinct()
     blocks = blocks.join(sizes, blocks["node"] == sizes["id"]).select("id", "block", "n")
@@ -270,14 +275,14 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, nu
     cut = not dealt.filter("chunks > 1").isEmpty()
     if cut:
         grams = stored(grams.dropDuplicates(["id"]), "grams")
-    whole = stored(_tasks(grams.filter("chunks = 1"), F.lit(0), F.lit(False), num, den), "links")
+    whole = stored(_tasks(grams.filter("chunks = 1"), F.lit(0), F.col("id"), num, den), "links")
     stars = whole.select(F.col("b").alias("node"), F.col("a").alias("root"))
     if not cut:
         return stars
 
-    large = grams.filter("chunks > 1").withColumn("part", F.pmod("id", "chunks"))
-    own = stored(_tasks(large, F.col("part"), F.lit(False), num, den), "links")
-    light = large.select("block", "chunks", "part", "id")
+    large = grams.filter("chunks > 1").withColumn("part", F.pmod("id", "chunks")).withColumn("n", (F.length("grams") / 8).cast("long"))
+    own = stored(_tasks(large, F.col("part"), F.col("id"), num, den), "links")
+    light = stored(large.select("block", "chunks", "part", "id", "n"), "large")
 
     def marked(links: DataFrame) -> DataFrame:
         """The sets of large blocks with their components so far."""
@@ -286,23 +291,45 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, nu
 
     def largest(labels: DataFrame, *by: str) -> DataFrame:
         counts = labels.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c"))
-        return counts.groupBy(*by).agg(F.min_by("root", F.struct(-F.col("c"), F.col("root"))).alias("root"))
+        return counts.groupBy(*by).agg(F.min_by("root", F.struct(-F.col("c"), F.col("root"))).alias("main"))
 
-    heads = largest(marked(own), "block", "part").select("block", F.col("root").alias("id"))
-    met = stored(_tasks(large.join(heads, ["block", "id"], "left_semi"), F.lit(-1), F.lit(False), num, den), "links")
+    heads = largest(marked(own), "block", "part").select("block", F.col("main").alias("id"))
+    met = stored(_tasks(large.join(heads, ["block", "id"], "left_semi"), F.lit(-1), F.col("id"), num, den), "links")
     labels = stored(marked(own.unionByName(met)), "labels")
-    giants = largest(labels, "block").withColumnRenamed("root", "giant")
-    sides = labels.join(giants, "block").select("id", "block", (F.col("root") == F.col("giant")).alias("known"))
-    both = large.join(sides, ["block", "id"])
-    others = both.filter("NOT known").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("to <> part").withColumn("part", F.col("to")).drop("to")
-    rest = stored(_tasks(both.unionByName(others.select(*both.columns)), F.col("part"), F.col("known"), num, den), "links")
-    return stars.unionByName(components(own.unionByName(met).unionByName(rest)))
+
+    sides = labels.join(largest(labels, "block"), "block")
+    copied = F.when(F.col("root") != F.col("main"), F.col("n") * (F.col("chunks") - 1)).otherwise(0)
+    by_chunks = sides.groupBy("block").agg(F.sum(copied).alias("chunked"))
+    postings = stored(prefixes.select("gram", "id").join(labels.select("id", "block", "root", "n"), "id"), "postings")
+    open_ = postings.groupBy("gram", "block").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n").alias("n")).filter("a < b")
+    by_postings = open_.groupBy("block").agg(F.sum("n").alias("posted"))
+    ways = stored(by_chunks.join(by_postings, "block", "left").select("block", _by_postings(F.coalesce("posted", F.lit(0)), F.col("chunked")).alias("posted")), "ways")
+
+    both = large.join(sides.select("id", "block", "root", "main"), ["block", "id"]).join(ways.filter("NOT posted"), "block", "left_semi")
+    others = both.filter("root <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("to <> part").withColumn("part", F.col("to")).drop("to")
+    rest = stored(_tasks(both.unionByName(others.select(*both.columns)), F.col("part"), F.col("root"), num, den), "links")
+
+    chosen = postings.join(ways.filter("posted"), "block", "left_semi").join(open_.select("gram", "block"), ["gram", "block"], "left_semi")
+    chosen = stored(chosen.join(largest(chosen, "gram", "block"), ["gram", "block"]).withColumn("probe", F.col("root") != F.col("main")), "chosen")
+    # cells of at most two chunks: probes in rows, all sets in columns; each probe is in all columns of its row
+    cells = chosen.groupBy("gram", "block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("columns"), F.ceil(F.sum(F.when(F.col("probe"), F.col("n"))) / chunk).cast("int").alias("lines"))
+    at = chosen.join(cells, ["gram", "block"]).select("id", "root", "probe", "columns", "lines", F.xxhash64("gram", "block").alias("unit"), F.pmod(F.xxhash64("id"), "columns").alias("c"), F.pmod(F.xxhash64(F.lit(1), "id"), "lines").alias("l"))
+    across = at.select("id", "root", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda x: x * F.col("columns") + F.col("c"))).alias("cell"))
+    along = at.filter("probe").select("id", "root", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda x: F.col("l") * F.col("columns") + x)).alias("cell"))
+    met_in = across.unionByName(along).distinct().join(large.select("id", "grams"), "id").withColumnRenamed("unit", "block")
+    more = stored(_tasks(met_in, F.col("cell"), F.col("root"), num, den), "links")
+    return stars.unionByName(components(own.unionByName(met).unionByName(rest).unionByName(more)))
 
 
-def _tasks(sets: DataFrame, part, known, num: int, den: int) -> DataFrame:
+def _by_postings(posted, chunked):
+    """Whether a block goes by postings: n-grams that each way copies."""
+    return posted < chunked
+
+
+def _tasks(sets: DataFrame, part, label, num: int, den: int) -> DataFrame:
     """Links (a, b), stars of the components, of each (block, part) of sets (block, id, grams, ...).
 
-    Sets marked known are one component already; links among these are left out.
+    Sets with equal labels are in one component already; one link to another is enough for all of them.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +339,15 @@ def _tasks(sets: DataFrame, part, known, num: int, den: int) -> DataFrame:
         def close() -> pa.RecordBatch | None:
             if len(ids) < 2:
                 return None
-            old = np.array(marks, bool)
-            roots = linked(held, num, den, old if old.any() else None)
-            names = np.array(ids, np.int64)
-            other = np.flatnonzero((roots != np.arange(len(ids))) & ~(old & old[roots]))
+            names, labels = np.array(ids, np.int64), np.array(marks, np.int64)
+            if (labels == labels[0]).all():
+                return None
+            roots = linked(held, num, den, labels if len(np.unique(labels)) < len(labels) else None)
+            other = np.flatnonzero(labels != labels[roots])
             if not len(other):
                 return None
+            _, first = np.unique(labels[other], return_index=True)
+            other = other[first]
             return pa.RecordBatch.from_arrays([pa.array(names[roots[other]]), pa.array(names[other])], names=["a", "b"])
 
         for batch in batches:
@@ -333,7 +363,7 @@ def _tasks(sets: DataFrame, part, known, num: int, den: int) -> DataFrame:
         if (out := close()) is not None:
             yield out
 
-    rows = sets.select("block", part.cast("int").alias("part"), "id", known.alias("known"), "grams")
+    rows = sets.select("block", part.cast("int").alias("part"), "id", label.alias("label"), "grams")
     return arrow_map(rows.repartition("block", "part").sortWithinPartitions("block", "part", "id"), join, "a long, b long")
 
 

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from filigree.llm import ngram_join
 from filigree.llm.queries import ORACLE_SQL, QUERIES
@@ -64,9 +65,11 @@ def test_tables_against_sql(spark, name):
     assert Counter(key(dict(zip(want.columns, r, strict=True))) for r in want.fetchall()) == Counter(map(key, run(spark, name, str(DATA))))
 
 
-@pytest.mark.parametrize("chunk", [None, 400])
-def test_op2_links(spark, awkward_dir, chunk):
-    """Also with blocks cut into many chunks."""
+@pytest.mark.parametrize("chunk,posted", [(None, None), (400, False), (400, True), (400, None)])
+def test_op2_links(spark, awkward_dir, chunk, posted, monkeypatch):
+    """Also with blocks cut into many chunks, which then go by chunks, by postings, or as it comes."""
+    if posted is not None:
+        monkeypatch.setattr(ngram_join, "_by_postings", lambda a, b: F.lit(posted))
     folder, rows = awkward_dir
     sets = {}
     for i, text, _ in rows:
