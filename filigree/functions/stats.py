@@ -67,7 +67,3 @@ def array_std(values: Column) -> Column:
     """Population standard deviation."""
     m = array_mean(values)
     return F.sqrt(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce((v - m) * (v - m), F.lit(0.0))), F.size(F.filter(values, lambda v: v.isNotNull()))))
-
-
-def round6(x: Column | str) -> Column:
-    return F.round(col(x), 6)

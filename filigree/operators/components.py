@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from filigree.sources.scratch import discard, stored
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches, for nodes other than roots.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each keeps the components, and a few of them turn
-    each component into a star. Edges are stored between rounds; only two sums reach the driver.
+    each component into a star (logarithmically many, until nothing changes). Edges are stored between rounds; only two sums
+    reach the driver.
     """
     stars = stored(_distinct(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
     before = None
-    for _ in range(most):
+    while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = _distinct(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -28,7 +29,6 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         if now == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components didn't settle in {most} rounds")
 
 
 def _distinct(edges: DataFrame) -> DataFrame:

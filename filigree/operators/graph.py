@@ -38,21 +38,20 @@ def sprouts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.drop("sprout", "degree").join(degrees(edges), [IMAGE, "node_id"]).withColumn("sprout", F.col("degree") == 1)
 
 
-def peeled(edges: DataFrame, removable: str, most: int = 200) -> DataFrame:
+def peeled(edges: DataFrame, removable: str) -> DataFrame:
     """Edges left when removable ones at tips go, again and again until none is left.
 
     Whether an edge is removable depends on itself only, so the rounds of all images run together; the loop ends with the
-    longest chain of removable edges. Rounds are stored; the driver sees one count.
+    longest chain of removable edges, however long it is. Rounds are stored; the driver sees one count.
     """
     marked = None
-    for _ in range(most):
+    while True:
         old, marked = marked, stored(with_degrees(edges).withColumn("_go", F.col(removable) & ((F.col("du") == 1) | (F.col("dv") == 1))).drop("du", "dv"), "peel")
         if old is not None:
             discard(old)
         if marked.filter("_go").isEmpty():
             return marked.drop("_go")
         edges = marked.filter("NOT _go").drop("_go")
-    raise RuntimeError(f"tips remain after {most} rounds")
 
 
 def removable(length: str, tip: str, neighbour: str, most: float = 25.0, ratio: float = 0.20):
@@ -135,41 +134,48 @@ def hysteresis(field: DataFrame, low: float, high: float, width: int, image_span
     return marked.join(strong, ["image_no", "label"], "left_semi").select("image_no", "y", "x")
 
 
-def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float = 500.0) -> DataFrame:
+def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float = 500.0, share: int = 2048) -> DataFrame:
     """For each node (with `sprout`): distances to the nearest other junction and tip, and how many lie within the radius.
 
     Distances stay NULL and counts 0 where there is no other node of the kind; where an image has one kind only, nodes
-    see their own kind only. Each image is one group: its nodes are compared in blocks of bounded memory.
+    see their own kind only. An image's nodes are dealt to tasks by shares of about `share`, each of which meets all nodes of
+    the image, a block of bounded memory at a time: a large image is many tasks. Node numbers are unique in an image.
     """
     importable(nodes.sparkSession)
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["z", "y", "x"]].to_numpy(float) * voxel
-        tip = pdf["sprout"].to_numpy(bool)
+    def near(key: tuple, own: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        own, every = own.sort_values("node_id"), every.rename(columns=lambda c: c.removeprefix("o_")).sort_values("node_id")
+        p, q, tip = own[["z", "y", "x"]].to_numpy(float) * voxel, every[["z", "y", "x"]].to_numpy(float) * voxel, every["sprout"].to_numpy(bool)
+        place = np.searchsorted(every["node_id"].to_numpy(), own["node_id"].to_numpy())
         out = {}
         for name, wanted in (("junction", ~tip), ("endpoint", tip)):
             at = np.flatnonzero(wanted)
             d, c = np.full(len(p), np.nan), np.zeros(len(p), np.int64)
             step = max(1, 200_000 // max(len(at), 1))  # distances at once: they stay in the cache
             for a in range(0, len(p), step) if len(at) else ():
-                own = np.arange(a, min(a + step, len(p)))
-                g = np.zeros((len(own), len(at)))
+                b = min(a + step, len(p))
+                g = np.zeros((b - a, len(at)))
                 for axis in range(3):
-                    off = np.subtract.outer(p[own, axis], p[at, axis])
+                    off = np.subtract.outer(p[a:b, axis], q[at, axis])
                     off *= off
                     g += off
-                same = np.searchsorted(at, own)
-                mine = np.flatnonzero(wanted[own])
-                g[mine, same[mine]] = np.inf
+                mine = np.flatnonzero(wanted[place[a:b]])
+                g[mine, np.searchsorted(at, place[a:b][mine])] = np.inf
                 best = np.sqrt(g.min(axis=1))
-                d[own] = np.where(np.isfinite(best), best, np.nan)
-                c[own] = np.count_nonzero(g <= radius * radius, axis=1)
+                d[a:b] = np.where(np.isfinite(best), best, np.nan)
+                c[a:b] = np.count_nonzero(g <= radius * radius, axis=1)
             out[f"dist_nearest_{name}"], out[f"num_{name}_neighbors"] = d, c
-        return pdf[[IMAGE, "node_id", "degree", "sprout"]].assign(**out).replace({np.nan: None})
+        return own[[IMAGE, "node_id", "degree", "sprout"]].assign(**out).replace({np.nan: None})
 
     kind = nodes.schema[IMAGE].dataType.simpleString()
     schema = f"{IMAGE} {kind}, node_id long, degree long, sprout boolean, dist_nearest_junction double, num_junction_neighbors long, dist_nearest_endpoint double, num_endpoint_neighbors long"
-    return nodes.select(IMAGE, "node_id", "z", "y", "x", "degree", "sprout").groupBy(IMAGE).applyInPandas(near, schema)
+    n = nodes.select(IMAGE, "node_id", "z", "y", "x", "degree", "sprout")
+    parts = n.groupBy(IMAGE).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_parts"))
+    cut = n.join(parts, IMAGE)
+    own = cut.withColumn("_part", F.pmod(F.xxhash64("node_id"), "_parts").cast("int")).drop("_parts")
+    every = cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "degree")
+    every = every.toDF(*(f"o_{c}" for c in every.columns))  # names of their own: both sides stem from one table
+    return own.groupBy(IMAGE, "_part").cogroup(every.groupBy(f"o_{IMAGE}", "o__part")).applyInPandas(near, schema)
 
 
 def along_skeleton(edges: DataFrame, nodes: DataFrame) -> DataFrame:

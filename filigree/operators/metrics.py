@@ -63,7 +63,10 @@ def edge_statistics(metrics: DataFrame) -> DataFrame:
     return subset_statistics(renamed, list(EDGE_ALIASES), "edge_kind", "sprout_and_branch")
 
 
-def node_statistics(nodes: DataFrame) -> DataFrame:
+def node_statistics(nodes: DataFrame, kind: str | None = None) -> DataFrame:
+    """Of junctions, tips and all nodes; with a kind, of all nodes under that name."""
+    if kind:
+        return subset_statistics(nodes.withColumn("_kind", F.lit(kind)), list(NODE_METRICS), "_kind")
     tagged = nodes.withColumn("_kind", F.when(F.col("is_sprout_tip"), "sprout_tip").otherwise("junction"))
     return subset_statistics(tagged, list(NODE_METRICS), "_kind", "all_nodes")
 
@@ -78,22 +81,25 @@ def curated_panel(values: DataFrame) -> DataFrame:
     return panel(values, list(CURATED_PANEL))
 
 
-def densities(edges: DataFrame, volumes: DataFrame, junctions: DataFrame) -> DataFrame:
-    """Counts, total length and quotients by image: edges (edge_kind, path_length), volumes (chip_volume, vessel_volume),
-    junctions (junctions)."""
-    e = edges.groupBy(IMAGE).agg(
-        F.sum(F.when(F.col("edge_kind") == "branch", F.col("path_length"))).alias("total_vessel_length"),
-        *(F.count_if(F.col("edge_kind") == k).alias(n) for k, n in (("branch", "branches"), ("attached_sprout", "attached_sprouts"), ("floating_sprout", "floating_sprouts"))),
-    )
-    t = volumes.join(e, IMAGE, "left").join(junctions, IMAGE, "left")
-    per = lambda n, d: safe_divide(n, d)
-    return t.select(
-        IMAGE, "chip_volume", "vessel_volume", per("vessel_volume", "chip_volume").alias("vessel_volume_fraction"), "total_vessel_length",
-        per("total_vessel_length", "chip_volume").alias("branch_length_per_volume"),
-        per("attached_sprouts", "total_vessel_length").alias("attached_sprouts_per_vessel_length"), per("junctions", "total_vessel_length").alias("junctions_per_vessel_length"),
-        per("attached_sprouts", "chip_volume").alias("attached_sprouts_per_volume"), per("junctions", "chip_volume").alias("junctions_per_volume"),
-        per("branches", "chip_volume").alias("branches_per_volume"), per("floating_sprouts", "chip_volume").alias("floating_sprouts_per_volume"),
-    )
+def densities(volumes: DataFrame, edges: DataFrame, branches: DataFrame, junctions: DataFrame) -> DataFrame:
+    """Volumes, counts, total length and their quotients, a row for each image of `volumes`.
+
+    volumes: (image_id, chip_volume, vessel_volume, convex_hull_volume). Sprouts are counted in `edges` (edge_kind) of the
+    clean graph and junctions in its nodes (image_id, junctions); length and number of branches are those of `branches`
+    (path_length), the edges of the graph without sprouts. Shares and densities are per volume of the hull. Images without
+    edges count 0; a quotient by 0 is NULL.
+    """
+    sprouts = edges.groupBy(IMAGE).agg(*(F.count_if(F.col("edge_kind") == k).alias(n) for k, n in (("attached_sprout", "attached_sprouts"), ("floating_sprout", "floating_sprouts"))))
+    b = branches.groupBy(IMAGE).agg(F.sum("path_length").alias("total_vessel_length"), F.count(F.lit(1)).alias("branches"))
+    t = volumes.join(sprouts, IMAGE, "left").join(b, IMAGE, "left").join(junctions, IMAGE, "left")
+    t = t.fillna(0, ["attached_sprouts", "floating_sprouts", "branches", "junctions"]).fillna(0.0, ["total_vessel_length"])
+    per = {
+        "vessel_volume_fraction": ("vessel_volume", "convex_hull_volume"), "branch_length_per_volume": ("total_vessel_length", "convex_hull_volume"),
+        "attached_sprouts_per_vessel_length": ("attached_sprouts", "total_vessel_length"), "junctions_per_vessel_length": ("junctions", "total_vessel_length"),
+        "attached_sprouts_per_volume": ("attached_sprouts", "convex_hull_volume"), "junctions_per_volume": ("junctions", "convex_hull_volume"),
+        "branches_per_volume": ("branches", "convex_hull_volume"), "floating_sprouts_per_volume": ("floating_sprouts", "convex_hull_volume"),
+    }
+    return t.select(IMAGE, "chip_volume", "convex_hull_volume", "vessel_volume", "total_vessel_length", *(safe_divide(n, d).alias(c) for c, (n, d) in per.items()))
 
 
 def headline(distances: DataFrame, value: str, kind: str) -> DataFrame:

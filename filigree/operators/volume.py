@@ -52,10 +52,6 @@ def tiled(a: np.ndarray, kernel: Callable[[np.ndarray], np.ndarray], chunk: tupl
     return a.copy() if out is None else out
 
 
-def voxels_of(a: np.ndarray) -> np.ndarray:
-    return np.argwhere(a).astype(np.int32)
-
-
 def convolved(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     """Along one axis, edges reflected."""
     half = len(kernel) // 2
@@ -108,37 +104,34 @@ def filled(mask: np.ndarray) -> np.ndarray:
     return mask | ~flooded(~mask, border)
 
 
-def _lower_envelope(f: np.ndarray, step: float) -> np.ndarray:
-    """min over q of f[q] + (step (p - q))^2 for each p (Felzenszwalb and Huttenlocher, 2012)."""
-    n = len(f)
-    finite = np.flatnonzero(np.isfinite(f))
-    if not len(finite):
-        return f
-    v, z, k = [int(finite[0])], [-np.inf], 0
-    for q in finite[1:].tolist():
-        while True:
-            p = v[k]
-            s = (f[q] - f[p] + step * step * (q * q - p * p)) / (2 * step * step * (q - p))
-            if s > z[k] or k == 0 and s > -np.inf and z[k] == -np.inf:
-                break
-            v.pop()
-            z.pop()
-            k -= 1
-        v.append(q)
-        z.append(s)
-        k += 1
-    at = np.array(v)[np.searchsorted(np.array(z), np.arange(n), "right") - 1]
-    return f[at] + (step * (np.arange(n) - at)) ** 2
-
-
 def distance(mask: np.ndarray, sampling: tuple | None = None) -> np.ndarray:
-    """Exact Euclidean distance of each set cell to the nearest unset one; infinite if there is none."""
+    """Exact Euclidean distance of each set cell to the nearest unset one; infinite if there is none.
+
+    Axis by axis, the least of f(q) + (step (p - q))^2 over a line: first by the nearest unset cell to both sides, then by
+    growing offsets for all lines at once, each until no offset so far can lower its greatest value.
+    """
     sampling = sampling or (1.0,) * mask.ndim
     out = np.where(mask, np.inf, 0.0)
     for axis in range(mask.ndim):
-        moved = np.moveaxis(out, axis, -1)
-        rows = moved.reshape(-1, moved.shape[-1])
-        out = np.moveaxis(np.array([_lower_envelope(r, sampling[axis]) if r.any() else r for r in rows]).reshape(moved.shape), -1, axis)
+        n, step = mask.shape[axis], float(sampling[axis])
+        lines = np.ascontiguousarray(np.moveaxis(out, axis, -1)).reshape(-1, n)
+        if axis == 0:
+            at = np.arange(n)
+            before = np.maximum.accumulate(np.where(lines == 0, at, -np.inf), axis=1)
+            after = np.minimum.accumulate(np.where(lines == 0, at, np.inf)[:, ::-1], axis=1)[:, ::-1]
+            best = (step * np.minimum(at - before, after - at)) ** 2
+        else:
+            best, active = lines.copy(), np.arange(len(lines))
+            for d in range(1, n):
+                cost = (step * d) ** 2
+                active = active[best[active].max(axis=1) > cost]
+                if not len(active):
+                    break
+                own, f = best[active], lines[active]
+                np.minimum(own[:, d:], f[:, :-d] + cost, out=own[:, d:])
+                np.minimum(own[:, :-d], f[:, d:] + cost, out=own[:, :-d])
+                best[active] = own
+        out = np.moveaxis(best.reshape(np.moveaxis(out, axis, -1).shape), -1, axis)
     return np.sqrt(out)
 
 
@@ -176,52 +169,61 @@ def resized(a: np.ndarray, factors: tuple) -> np.ndarray:
     return out
 
 
+_NEAR = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)])
+_TOUCH = (np.abs(_NEAR[:, None] - _NEAR[None]).max(axis=2) == 1).astype(np.float32)
+_FACE = (np.abs(_NEAR[:, None] - _NEAR[None]).sum(axis=2) == 1).astype(np.float32)
+_SIX, _EIGHTEEN = np.abs(_NEAR).sum(axis=1) == 1, np.abs(_NEAR).sum(axis=1) <= 2
+
+
 def thinned(mask: np.ndarray) -> np.ndarray:
-    """A one-voxel-wide centreline: border voxels go, direction by direction, while they are simple and not ends."""
+    """A one-voxel-wide centreline: border voxels go, direction by direction, while they are simple and not ends.
+
+    Voxels whose coordinates have equal parities don't touch, so all that may go of one of these eight kinds go at once.
+    """
     a = np.pad(mask.astype(bool), 1)
-    sides = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    steps = _NEAR @ np.array([a.shape[1] * a.shape[2], a.shape[2], 1])
+    flat = a.reshape(-1)
     changed = True
     while changed:
         changed = False
-        for d in sides:
-            face = a & ~np.roll(a, d, (0, 1, 2))
-            for p in np.argwhere(face):
-                cube = a[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
-                if cube.sum() > 2 and _simple(cube):
-                    a[tuple(p)] = False
-                    changed = True
+        for side in np.flatnonzero(_SIX):
+            places = np.flatnonzero(flat)
+            places = places[~flat[places + steps[side]]]
+            z, y, x = np.unravel_index(places, a.shape)
+            kind = (z & 1) * 4 + (y & 1) * 2 + (x & 1)
+            for k in range(8):
+                own = places[kind == k]
+                gone = own[_simple(flat[own[:, None] + steps])]
+                flat[gone] = False
+                changed |= len(gone) > 0
     return a[1:-1, 1:-1, 1:-1]
 
 
-_NEAR = [(i, j, k) for i in range(3) for j in range(3) for k in range(3) if (i, j, k) != (1, 1, 1)]
-
-
-def _simple(cube: np.ndarray) -> bool:
-    """Whether the middle can go without a change of topology: one object and one background component around it."""
-
-    def parts(cells: set, touch: Callable, seeds: set) -> int:
-        n, left = 0, set(cells)
-        while left & seeds:
-            n += 1
-            todo = [(left & seeds).pop()]
-            left.discard(todo[0])
-            while todo:
-                c = todo.pop()
-                for o in [o for o in left if touch(c, o)]:
-                    left.discard(o)
-                    todo.append(o)
-        return n
+def _simple(on: np.ndarray) -> np.ndarray:
+    """For neighbourhoods (rows of the 26 around a voxel), whether the voxel can go: it isn't an end or alone, and there is
+    one object (26 neighbours) and one background part (6 neighbours, of the 18 that share a face or edge) around it."""
 
-    on = {c for c in _NEAR if cube[c]}
-    off = {c for c in _NEAR if not cube[c] and sum(x != 1 for x in c) <= 2}
-    near = lambda a, b: max(abs(x - y) for x, y in zip(a, b, strict=True)) == 1
-    face = lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1
-    six = {c for c in off if sum(x != 1 for x in c) == 1}
-    return parts(on, near, on) == 1 and parts(off, face, six) == 1
+    def one(cells: np.ndarray, seeds: np.ndarray, touch: np.ndarray) -> np.ndarray:
+        """Whether the first of the seeds reaches all of them within the cells."""
+        reached = np.zeros_like(cells)
+        rows = np.flatnonzero(seeds.any(axis=1))
+        reached[rows, seeds[rows].argmax(axis=1)] = True
+        while True:
+            new = reached | cells & (reached.astype(np.float32) @ touch > 0)
+            if (new == reached).all():
+                return ~(seeds & ~reached).any(axis=1) & seeds.any(axis=1)
+            reached = new
+
+    out = on.sum(axis=1) >= 2
+    rows = np.flatnonzero(out)
+    off = ~on[rows] & _EIGHTEEN
+    out[rows] = one(on[rows], on[rows], _TOUCH) & one(off, off & _SIX, _FACE)
+    return out
 
 
 def hull_planes(points: np.ndarray) -> np.ndarray:
-    """Half-spaces (a, b, c, d), a x + b y + c z <= d, of the convex hull: incremental, faces seen by a point replaced.
+    """Half-spaces (a, b, c, d), a x + b y + c z <= d, of the convex hull: the farthest point outside replaces the faces that
+    it sees, and points inside all faces are left out from then on.
 
     Fewer than four points, or all in a plane, have none.
     """
@@ -238,28 +240,27 @@ def hull_planes(points: np.ndarray) -> np.ndarray:
         return np.zeros((0, 4))
     inside = p[i].mean(0)
 
-    def face(a: int, b: int, c: int) -> tuple:
-        n = np.cross(p[b] - p[a], p[c] - p[a])
-        n = n / max(np.linalg.norm(n), 1e-300)
-        if n @ (inside - p[a]) > 0:
-            n, b, c = -n, c, b
-        return (a, b, c), n, float(n @ p[a])
-
-    faces = [face(*(i[k] for k in t)) for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
-    for q in range(len(p)):
-        seen = [f for f in faces if f[1] @ p[q] > f[2] + 1e-9]
-        if not seen:
-            continue
-        edges: dict[frozenset, tuple] = {}
-        for (a, b, c), _, _ in seen:
-            for e in ((a, b), (b, c), (c, a)):
-                if frozenset(e) in edges:
-                    del edges[frozenset(e)]
-                else:
-                    edges[frozenset(e)] = e
-        gone = {f[0] for f in seen}
-        faces = [f for f in faces if f[0] not in gone] + [face(a, b, q) for a, b in edges.values()]
-    return np.array([(*n, d) for _, n, d in faces])
+    def planes(corners: np.ndarray) -> np.ndarray:
+        a = p[corners[:, 0]]
+        n = np.cross(p[corners[:, 1]] - a, p[corners[:, 2]] - a)
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        n *= np.where((n * (inside - a)).sum(1) > 0, -1, 1)[:, None]
+        return np.column_stack([n, (n * a).sum(1)])
+
+    faces = np.array([[i[k] for k in t] for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))])
+    sides, left = planes(faces), np.arange(len(p))
+    while True:
+        out = (p[left] @ sides[:, :3].T - sides[:, 3]).max(axis=1)
+        left, out = left[out > 1e-9], out[out > 1e-9]
+        if not len(left):
+            return sides
+        q = left[out.argmax()]
+        seen = sides[:, :3] @ p[q] - sides[:, 3] > 1e-9
+        edges = np.sort(faces[seen][:, [[0, 1], [1, 2], [0, 2]]].reshape(-1, 2), axis=1)
+        edges, times = np.unique(edges, axis=0, return_counts=True)
+        border = edges[times == 1]
+        new = np.column_stack([border, np.full(len(border), q)])
+        faces, sides = np.concatenate([faces[~seen], new]), np.concatenate([sides[~seen], planes(new)])
 
 
 def hull_volume(points: np.ndarray) -> float:
@@ -313,7 +314,8 @@ def hulls(voxels: DataFrame, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
 def hulls_without_mask(voxels: DataFrame, mask: DataFrame, shape: tuple, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
     """Hull volumes less the masked columns' voxels within the hull, at least 0; without a hull, the chip's volume.
 
-    mask: (image_id, y, x). Both tables meet by image; of the voxels only those that end a row of x.
+    mask: (image_id, y, x). Both tables meet by image; of the voxels only those that end a row of x. An image has a row if
+    either table has one.
     """
     from pyspark.sql import functions as F
 
@@ -337,7 +339,7 @@ def hulls_without_mask(voxels: DataFrame, mask: DataFrame, shape: tuple, voxel:
         return pd.DataFrame({"image_id": [key[0]], "convex_hull_volume": [max(0.0, float(out))]})
 
     both = ends.groupBy("image_id").cogroup(mask.select("image_id", "y", "x").distinct().groupBy("image_id"))
-    return both.applyInPandas(run, "image_id string, convex_hull_volume double").join(voxels.select("image_id").distinct(), "image_id", "left_semi")
+    return both.applyInPandas(run, "image_id string, convex_hull_volume double")
 
 
 def focus_surface(points: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.functions.stats import safe_divide
@@ -50,12 +50,15 @@ def trimmed_range(fill: DataFrame, most: float = 0.75) -> DataFrame:
     return fill.filter(F.col("fill") <= most).groupBy(IMAGE).agg(F.min("z").alias("z_first"), F.max("z").alias("z_last"))
 
 
-def volumes(voxels: DataFrame, shape: tuple[int, int, int], voxel: tuple = (2.0, 2.0, 2.0), masked_pixels: int = 0) -> DataFrame:
-    """Chip volume (less a masked column), vessel volume and their quotient."""
-    v = voxel[0] * voxel[1] * voxel[2]
-    chip = (shape[0] * shape[1] * shape[2] - masked_pixels * shape[0]) * v
+def volumes(voxels: DataFrame, shape: tuple[int, int, int], voxel: tuple = (2.0, 2.0, 2.0), masked: DataFrame | None = None) -> DataFrame:
+    """Chip volume, less the columns of a plane mask (image_id, y, x) if there is one, and vessel volume, by image."""
+    v = float(voxel[0] * voxel[1] * voxel[2])
     out = voxels.groupBy(IMAGE).agg((F.count(F.lit(1)) * v).alias("vessel_volume"))
-    return out.select(IMAGE, F.lit(float(chip)).alias("chip_volume"), "vessel_volume", safe_divide("vessel_volume", F.lit(chip)).alias("vessel_volume_fraction"))
+    chip = F.lit(float(shape[0] * shape[1] * shape[2] * v))
+    if masked is None:
+        return out.select(IMAGE, chip.alias("chip_volume"), "vessel_volume")
+    pixels = masked.select(IMAGE, "y", "x").distinct().groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
+    return out.join(pixels, IMAGE, "left").select(IMAGE, (chip - F.coalesce("_n", F.lit(0)) * (shape[0] * v)).alias("chip_volume"), "vessel_volume")
 
 
 def projection(field: DataFrame, how: str = "max", value: str = "value") -> DataFrame:
@@ -188,9 +191,3 @@ def dense_votes(votes: DataFrame) -> DataFrame:
 def argmax(df: DataFrame, by: list[str], value: str, at: str) -> DataFrame:
     """The `at` of the greatest value, the least on ties."""
     return df.groupBy(*by).agg(F.min_by(at, F.struct(-F.col(value), F.col(at))).alias(at), F.max(value).alias(value))
-
-
-def pixel_rank(col: str) -> Column:
-    """Ranks with ties averaged, over the whole group that the caller's window names."""
-    w = Window.partitionBy(IMAGE).orderBy(col)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(IMAGE, col)) - 1) / 2

@@ -9,96 +9,135 @@ from pyspark.sql import functions as F
 
 from filigree.functions import geometry
 from filigree.operators import cohort, graph, metrics, volume, voxels
+from filigree.operators.runs import resampled
 from filigree.sources.scratch import stored
 from filigree.sources.workers import importable
 
 IMAGE = "image_id"
 
 
-def skeletons(volumes: DataFrame, sigma: float = 3.0) -> DataFrame:
+def skeletons(volumes: DataFrame, mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, sigma: float = 3.0) -> DataFrame:
     """(image_id, z, y, x, in_skeleton, area) of the voxels of smoothed, filled masks, one volume in memory at a time.
 
-    area: pi times the distance to the edge in the projection of the raw mask, times that in the cleaned volume; on the
-    centreline only.
+    Columns under a plane mask (image_id, y, x) are emptied before all else. area: pi times the distance to the edge in the
+    projection of the raw volume, times that in the cleaned one, both in micrometres; on the centreline only.
     """
     importable(volumes.sparkSession)
+    rows = volumes.select(IMAGE, "shape", "dtype", "data")
+    if mask is not None:  # at most a plane for each image
+        cut = mask.groupBy(IMAGE).agg(F.collect_list("y").alias("cut_y"), F.collect_list("x").alias("cut_x"))
+        rows = rows.join(cut, IMAGE, "left")
 
     def run(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 raw = volume.unpack(row).astype(bool)
-                mask = volume.filled(volume.smoothed(raw, sigma))
-                thin = volume.thinned(mask)
-                flat, deep = volume.distance(raw.any(axis=0)), volume.distance(mask)
-                z, y, x = np.nonzero(mask)
+                if row.get("cut_y") is not None:
+                    y, x = (np.asarray(row[c], np.int64) for c in ("cut_y", "cut_x"))
+                    inside = (y >= 0) & (y < raw.shape[1]) & (x >= 0) & (x < raw.shape[2])
+                    raw[:, y[inside], x[inside]] = False
+                solid = volume.filled(volume.smoothed(raw, sigma))
+                thin = volume.thinned(solid)
+                flat, deep = volume.distance(raw.any(axis=0), tuple(voxel[1:])), volume.distance(solid, tuple(voxel))
+                z, y, x = np.nonzero(solid)
                 on = thin[z, y, x]
                 area = np.where(on, np.pi * flat[y, x] * deep[z, y, x], np.nan)
                 out = pd.DataFrame({IMAGE: row[IMAGE], "z": z.astype(np.int32), "y": y.astype(np.int32), "x": x.astype(np.int32), "in_skeleton": on, "area": area})
                 yield out.replace({"area": {np.inf: np.nan}})
 
-    rows = volumes.mapInPandas(run, f"{IMAGE} string, z int, y int, x int, in_skeleton boolean, area double")
-    return rows.withColumn("area", F.when(~F.isnan("area"), F.col("area")))
+    found = rows.mapInPandas(run, f"{IMAGE} string, z int, y int, x int, in_skeleton boolean, area double")
+    return found.withColumn("area", F.when(~F.isnan("area"), F.col("area")))
 
 
 def with_areas(edges: DataFrame, field: DataFrame) -> DataFrame:
-    """Edges with the field's values along their points, in order."""
+    """Edges with the field's values along their points, in order; 0 off the centreline."""
     v = edges.select(IMAGE, "u", "v", F.posexplode("pts").alias("pos", "p")).select(IMAGE, "u", "v", "pos", "p.z", "p.y", "p.x")
-    found = v.join(field.select(IMAGE, "z", "y", "x", F.col("area").alias("a")), [IMAGE, "z", "y", "x"], "left")
+    found = v.join(field.select(IMAGE, "z", "y", "x", F.col("area").alias("a"), F.lit(True).alias("on")), [IMAGE, "z", "y", "x"], "left")
+    found = found.withColumn("a", F.when(F.col("on"), F.col("a")).otherwise(0.0))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda s: s["a"])
     return edges.join(found.groupBy(IMAGE, "u", "v").agg(ordered.alias("areas")), [IMAGE, "u", "v"])
 
 
 def pruned(edges: DataFrame, shortest: float = 25.0, ratio: float = 0.20, samples: int = 20) -> DataFrame:
-    """Tips that are short (in voxels) or blunt go, to the end. Of an edge's areas, brought to 100 samples, the thinner half
-    is the tip; blunt: the mean of its end over the mean of the other is above the ratio."""
-    from filigree.operators.runs import resampled
+    """Tips that are short (in voxels) or blunt go, to the end.
 
+    Of an edge's areas, brought to 100 samples, the thinner half is the tip's. Blunt: the mean of the tip's `samples` over
+    the area at the other end is above the ratio.
+    """
     profile = resampled(F.transform("areas", lambda a: F.coalesce(a, F.lit(0.0))))
-    head, tail = F.slice("_p", 1, samples), F.slice("_p", 101 - samples, samples)
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / samples
-    e = edges.withColumn("_p", profile).withColumn("_a", mean(head)).withColumn("_b", mean(tail))
-    e = e.withColumn("_tip", F.least("_a", "_b")).withColumn("_far", F.when(F.col("_a") <= F.col("_b"), F.element_at("_p", -1)).otherwise(F.get("_p", F.lit(0))))
+    mean = lambda first, n: F.aggregate(F.slice("_p", first, n), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / n
+    e = edges.withColumn("_p", profile).withColumn("_first", mean(1, 50) < mean(51, 50))
+    e = e.withColumn("_tip", F.when(F.col("_first"), mean(1, samples)).otherwise(mean(101 - samples, samples)))
+    e = e.withColumn("_far", F.when(F.col("_first"), F.element_at("_p", -1)).otherwise(F.get("_p", F.lit(0))))
     marked = e.withColumn("_removable", graph.removable("weight", "_tip", "_far", shortest, ratio))
-    return graph.peeled(marked.drop("_p", "_a", "_b", "_tip", "_far"), "_removable").drop("_removable")
+    return graph.peeled(marked.drop("_p", "_first", "_tip", "_far"), "_removable").drop("_removable")
+
+
+def off_mask(edges: DataFrame, mask: DataFrame) -> DataFrame:
+    """Edges none of whose points lies under a plane mask (image_id, y, x)."""
+    hit = edges.select(IMAGE, "u", "v", F.explode("pts").alias("p")).select(IMAGE, "u", "v", "p.y", "p.x").join(mask.select(IMAGE, "y", "x"), [IMAGE, "y", "x"], "left_semi")
+    return edges.join(hit.select(IMAGE, "u", "v").distinct(), [IMAGE, "u", "v"], "left_anti")
+
 
+def of_each(mask: DataFrame, images: DataFrame) -> DataFrame:
+    """A plane mask with a row for each image: one without image_id holds for all."""
+    if IMAGE in mask.columns:
+        return mask.select(mask[IMAGE].cast("string").alias(IMAGE), "y", "x").distinct()
+    return images.withColumn("_all", F.lit(1)).join(mask.select("y", "x").distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
 
-def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, axis: str = "x", margin: int = geometry.BORDER, shortest: float = 25.0, ratio: float = 0.20) -> dict[str, DataFrame]:
-    """Tables by name: voxels, nodes, edges, branch_metrics, junction_metrics, global_metrics, panel, curated.
 
-    Columns under a plane mask (image_id, y, x) are left out; so are edges that come within the margin of the border.
+def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, axis: str | None = None, margin: int = geometry.BORDER, shortest: float = 25.0, ratio: float = 0.20, sigma: float = 3.0) -> dict[str, DataFrame]:
+    """Tables by name: voxels, field (areas on the centreline), raw_edges, nodes, edges, skeleton (the clean graph's voxels),
+    branch_metrics, junction_metrics, those of the graph without sprouts (branch_only_...), global_metrics, panel, curated.
+
+    Columns under a plane mask ([image_id,] y, x) are emptied first; they count in neither the chip's nor the hull's volume,
+    and edges that pass under it go, as do those that come within the margin of the border. axis: the device's long one, by
+    the shape if not given. An image without voxels, or without edges, has its row of global metrics, with counts of 0.
     """
-    cells = skeletons(volumes)
-    if mask is not None:
-        cells = voxels.without_mask(cells, mask)
-    cells = stored(cells, "cells")
+    axis = axis or ("x" if shape[2] >= shape[1] else "y")
+    images = volumes.select(F.col(IMAGE).cast("string").alias(IMAGE)).distinct()
+    cut = None if mask is None else stored(of_each(mask, images), "mask")
+    cells = stored(skeletons(volumes, cut, voxel, sigma), "cells")
     solid, field = cells.select(IMAGE, "z", "y", "x"), cells.filter("in_skeleton").select(IMAGE, "z", "y", "x", "area")
     nodes, raw = graph.from_skeleton(field.select(IMAGE, "z", "y", "x"))
-    clean = graph.contracted(pruned(with_areas(raw, field), shortest, ratio))
-    clean = stored(clean.filter(~geometry.near_border("pts", shape[1] - 1, shape[2] - 1, margin)), "clean")
+    inner = graph.contracted(pruned(with_areas(raw, field), shortest, ratio)).filter(~geometry.near_border("pts", shape[1] - 1, shape[2] - 1, margin))
+    clean = stored(inner if cut is None else off_mask(inner, cut), "clean")
+    branches = stored(graph.branch_only(clean), "branch_only")
+
     edges = stored(with_areas(graph.kinds(clean), field), "edges")
-    branches = graph.branch_only(clean)
-    branch_table = metrics.branch_metrics(with_areas(branches, field).withColumn("edge_kind", F.lit("branch")), voxel, axis)
     table = stored(metrics.branch_metrics(edges, voxel, axis), "branches")
+    branch_table = stored(metrics.branch_metrics(with_areas(graph.kinds(branches), field), voxel, axis), "branches")
     placed = stored(graph.sprouts(nodes, clean), "nodes")
     near = stored(metrics.junction_table(graph.neighbours(placed, voxel)), "junctions")
-    size = voxels.volumes(solid, shape, voxel)
-    hull = volume.hulls(solid, voxel)
+    # without sprouts, all nodes count as junctions, those of degree 1 too
+    inner_nodes = graph.sprouts(nodes, branches).withColumn("sprout", F.lit(False))
+    branch_near = stored(metrics.junction_table(graph.neighbours(inner_nodes, voxel)), "junctions")
+
+    chip = voxels.volumes(solid.unionByName(images.select(IMAGE, *(F.lit(None).cast("int").alias(c) for c in "zyx"))), shape, voxel, cut)
+    unit = float(voxel[0] * voxel[1] * voxel[2])
+    hull = volume.hulls(solid, voxel) if cut is None else volume.hulls_without_mask(solid, cut, shape, voxel)
+    size = chip.withColumn("vessel_volume", F.col("vessel_volume") - unit).join(hull, IMAGE, "left")  # less the row of each image
+    none = F.col("convex_hull_volume").isNull() | (F.lit(cut is None) & (F.col("convex_hull_volume") <= 0))
+    size = size.withColumn("convex_hull_volume", F.when(none, F.col("chip_volume")).otherwise(F.col("convex_hull_volume")))
     junctions = placed.groupBy(IMAGE).agg(F.count_if(~F.col("sprout")).alias("junctions"))
-    densities = metrics.densities(table, size, junctions)
-    box = voxels.fractal(field, voxels.box_scales(min(shape))).select(IMAGE, F.col("fractal_dimension").alias("skeleton_fractal_dimension"), F.col("lacunarity").alias("skeleton_lacunarity"))
+    drawn = stored(voxels.rasterised(clean, shape), "drawn")
+    box = voxels.fractal(drawn, voxels.box_scales(min(shape))).select(IMAGE, F.col("fractal_dimension").alias("skeleton_fractal_dimension"), F.col("lacunarity").alias("skeleton_lacunarity"))
     average = table.groupBy(IMAGE).agg(F.avg("branch_volume").alias("average_vessel_volume"))
-    totals = densities.join(hull, IMAGE, "left").join(box, IMAGE, "left").join(average, IMAGE, "left")
+    totals = stored(metrics.densities(size, table, branch_table, junctions).join(box, IMAGE, "left").join(average, IMAGE, "left"), "totals")
+
     weighted = clean.withColumn("weight", geometry.path_length("pts", voxel))
     along = metrics.headline(graph.along_skeleton(weighted, placed), "distance", "skeleton")
     flat = near.withColumn("_d", F.when(F.col("is_sprout_tip"), F.col("dist_nearest_endpoint")).otherwise(F.col("dist_nearest_junction"))).withColumn("sprout", F.col("is_sprout_tip"))
     headlines = along.unionByName(metrics.headline(flat, "_d", "euclidean"))
     names = [c for c in totals.columns if c != IMAGE]
-    edge_stats = metrics.edge_statistics(table).filter("subset <> 'branch'").unionByName(metrics.edge_statistics(branch_table).filter("subset = 'branch'"))
-    values = cohort.union_all([cohort.long(totals, [IMAGE], names, "name", "value"), headlines, metrics.named(edge_stats), metrics.named(metrics.node_statistics(near))])
+    edge_stats = metrics.edge_statistics(table).filter("subset <> 'branch'").unionByName(metrics.edge_statistics(branch_table.withColumn("edge_kind", F.lit("branch"))).filter("subset = 'branch'"))
+    node_stats = metrics.node_statistics(near).unionByName(metrics.node_statistics(branch_near, "branch_only_junction"))
+    values = cohort.union_all([cohort.long(totals, [IMAGE], names, "name", "value"), headlines, metrics.named(edge_stats), metrics.named(node_stats)])
     values = stored(values, "values")
     return {
-        "voxels": solid, "nodes": placed, "edges": edges, "branch_metrics": table, "junction_metrics": near, "global_metrics": totals,
-        "panel": metrics.panel(values), "curated": metrics.curated_panel(values),
+        "voxels": solid, "field": field, "raw_edges": raw, "nodes": placed, "edges": edges, "skeleton": drawn, "branch_only_edges": branches,
+        "branch_metrics": table, "branch_only_metrics": branch_table, "junction_metrics": near, "branch_only_junction_metrics": branch_near,
+        "global_metrics": totals, "panel": metrics.panel(values), "curated": metrics.curated_panel(values),
     }
 
 

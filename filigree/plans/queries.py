@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import geometry, labels, stats
 from filigree.operators import cohort, graph, metrics, runs, volume, voxels
+from filigree.plans import analysis
 from filigree.plans.fixtures import SHAPE, Fixtures, with_views
 from filigree.schemas import CURATED_PANEL
 from filigree.sources import jobs
@@ -132,9 +133,28 @@ def _(fx):
     return voxels.trimmed_range(voxels.slice_fill(fx.voxels(), SHAPE[1], SHAPE[2]), 0.0088)
 
 
-@query("q15_volumes_and_densities", "SELECT image_id, 4194304.0::DOUBLE AS chip_volume, count(*) * 8.0::DOUBLE AS vessel_volume, round(count(*) * 8.0 / 4194304, 6) AS vessel_volume_fraction FROM vox GROUP BY 1", "vox")
+@query("q15_volumes", "SELECT image_id, (8 * 256 * 256 - 8 * (SELECT count(*) FROM msk)) * 8.0::DOUBLE AS chip_volume, count(*) * 8.0::DOUBLE AS vessel_volume FROM vox GROUP BY 1", "vox", "msk")
 def _(fx):
-    return rounded(voxels.volumes(fx.voxels(), SHAPE), 6, "vessel_volume_fraction")
+    return voxels.volumes(fx.voxels(), SHAPE, masked=analysis.of_each(fx.mask(), fx.voxels().select("image_id").distinct()))
+
+
+_RATIOS = {"vessel_volume_fraction": ("vessel_volume", "hull"), "branch_length_per_volume": ("len", "hull"), "attached_sprouts_per_vessel_length": ("att", "len"), "junctions_per_vessel_length": ("j", "len"), "attached_sprouts_per_volume": ("att", "hull"), "junctions_per_volume": ("j", "hull"), "branches_per_volume": ("b", "hull"), "floating_sprouts_per_volume": ("flo", "hull")}
+
+
+@query(
+    "q62_densities",
+    "+v AS (SELECT c_mktsegment AS image_id, count(*) * 8.0::DOUBLE AS vessel_volume, CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE sum(c_nationkey) * 100.0::DOUBLE END AS hull, count(DISTINCT c_nationkey) AS j FROM customer GROUP BY 1), e AS (SELECT image_id, count(*) FILTER (edge_kind = 'attached_sprout') AS att, count(*) FILTER (edge_kind = 'floating_sprout') AS flo, count(*) FILTER (edge_kind = 'branch') AS b, sum(path_length) FILTER (edge_kind = 'branch') AS len FROM met GROUP BY 1) SELECT image_id, hull AS convex_hull_volume, round(len, 4) AS total_vessel_length, "
+    + ", ".join(f"round(CASE WHEN {d} > 0 THEN {n} / {d} END, 8) AS {c}" for c, (n, d) in _RATIOS.items()) + " FROM v JOIN e USING (image_id)",
+    "met",
+)
+def _(fx):
+    c = fx.table("customer").groupBy(F.col("c_mktsegment").alias("image_id"))
+    hull = F.when(F.col("image_id") == "MACHINERY", 0.0).otherwise(F.col("s") * 100.0)
+    v = c.agg((F.count(F.lit(1)) * 8.0).alias("vessel_volume"), F.sum("c_nationkey").alias("s"), F.count_distinct("c_nationkey").alias("junctions"))
+    size, junctions = v.select("image_id", F.lit(1e6).alias("chip_volume"), "vessel_volume", hull.alias("convex_hull_volume")), v.select("image_id", "junctions")
+    m = metrics.branch_metrics(fx.lines())
+    out = metrics.densities(size, m, m.filter("edge_kind = 'branch'"), junctions)
+    return rounded(rounded(out.select("image_id", "convex_hull_volume", "total_vessel_length", *_RATIOS), 8, *_RATIOS), 4, "total_vessel_length")
 
 
 @query("q16_z_projection", "SELECT image_id, y, x, max(value) AS top, round(avg(value), 6) AS mean FROM fld GROUP BY 1, 2, 3", "fld")

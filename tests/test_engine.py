@@ -125,6 +125,16 @@ def test_kernels():
     bar[1:4, 1:4, 1:19] = True
     thin = volume.thinned(bar)
     assert 10 <= thin.sum() <= 20 and (thin & ~bar).sum() == 0
+    one = np.zeros((9, 9, 30), bool)
+    one[2:7, 2:7, 2:28] = True
+    line = volume.thinned(one)
+    assert np.ptp(np.argwhere(line)[:, 2]) >= 18 and (np.argwhere(line)[4:-4, :2] == 4).all()  # the middle line
+    ring = np.zeros((7, 30, 30), bool)
+    ring[2:5, 5:25, 5:25] = True
+    ring[:, 10:20, 10:20] = False
+    assert volume.thinned(ring).sum() > 40 and not volume.thinned(np.zeros((3, 3, 3), bool)).any()
+    assert volume.filled(volume.thinned(ring).any(axis=0))[15, 15]  # still closed
+    assert np.isinf(volume.distance(np.ones((3, 4), bool))).all()
     tiles = volume.tiled(m.astype(float), lambda a: a * 2, (4, 4, 4), (1, 1, 1))
     assert (tiles == m * 2).all()
     assert volume.resized(np.ones((4, 4)), (0.5, 2)).shape == (2, 8) and volume.gaussian(np.ones((9, 9)), 1).round(9).min() == 1
@@ -268,20 +278,86 @@ def test_image_files(spark, tmp_path):
     assert volume.unpack(good.first()).shape == (1, 3, 4) and failed.first()["status"] == "FAILED"
 
 
+def grid_volume():
+    """Two bars along x cross two along y; each is 7 by 7 voxels."""
+    a = np.zeros((24, 160, 220), np.uint8)
+    for y in (50, 110):
+        a[8:15, y - 3 : y + 4, 10:210] = 1
+    for x in (70, 150):
+        a[8:15, 10:150, x - 3 : x + 4] = 1
+    return a
+
+
+def packed(spark, *named):
+    rows = [(v["image_id"], v["shape"], v["dtype"], bytearray(v["data"])) for v in (volume.pack(n, a) for n, a in named)]
+    return spark.createDataFrame(rows, volume.SCHEMA)
+
+
 def test_whole_analysis(spark):
+    """By hand: 4 junctions, 8 sprouts, and without sprouts a ring of 280 voxels in 3 edges (the last node can't go)."""
     from filigree.plans.analysis import analyse
 
-    a = np.zeros((24, 160, 220), np.uint8)
-    a[8:16, 76:84, 20:200] = 1
-    a[8:16, 20:84, 106:114] = 1
-    rows = [(v["image_id"], v["shape"], v["dtype"], bytearray(v["data"])) for v in (volume.pack("i", a),)]
-    out = analyse(spark.createDataFrame(rows, volume.SCHEMA), a.shape, margin=2, ratio=10.0)  # the bars' ends are blunt
+    a = grid_volume()
+    unit = 3 * 2 * 2.0
+    out = analyse(packed(spark, ("i", a), ("empty", a * 0)), a.shape, voxel=(3.0, 2.0, 2.0), margin=2, ratio=10.0, sigma=0.1)  # the bars' ends are blunt
+    top = {r["image_id"]: r for r in out["global_metrics"].collect()}
+    one, none = top["i"], top["empty"]
+    hull = 6 * 3 * 199 * 2 * 139 * 2  # the bars' ends lie on this box, whose corners are cut
+    assert one["chip_volume"] == none["chip_volume"] == a.size * unit and one["vessel_volume"] == a.sum() * unit and none["vessel_volume"] == 0
+    assert one["convex_hull_volume"] == pytest.approx(volume.hull_volume(np.argwhere(a) * (3.0, 2.0, 2.0))) and one["vessel_volume"] < one["convex_hull_volume"] < hull
+    assert none["convex_hull_volume"] == none["chip_volume"] and none["vessel_volume_fraction"] == 0 and none["total_vessel_length"] == 0 and none["skeleton_fractal_dimension"] is None
+    assert one["vessel_volume_fraction"] == pytest.approx(one["vessel_volume"] / one["convex_hull_volume"])
+    assert one["total_vessel_length"] == pytest.approx(560, rel=0.03)
+    for name, count in (("attached_sprouts", 8), ("junctions", 4), ("branches", 3), ("floating_sprouts", 0)):
+        assert one[f"{name}_per_volume"] == pytest.approx(count / one["convex_hull_volume"])
+    assert one["junctions_per_vessel_length"] == pytest.approx(4 / one["total_vessel_length"])
     edges = out["branch_metrics"].collect()
-    assert len(edges) >= 3 and all(1 <= e["tortuosity"] <= 50 and e["path_length"] > 50 for e in edges)
-    top = out["global_metrics"].first()
-    assert 0 < top["vessel_volume_fraction"] < 0.1 and top["convex_hull_volume"] > top["vessel_volume"]
+    assert sorted(e["edge_kind"] for e in edges) == ["attached_sprout"] * 8 + ["branch"] * 4
+    # four voxels from the middle to the outside, of 2 um each, in the projection and in the volume
+    assert all(e["median_cs_area"] == pytest.approx(64 * math.pi) for e in edges) and all(e["median_width"] == pytest.approx(16) for e in edges)
+    assert {round(e["path_length"] / 8) for e in edges if e["edge_kind"] == "branch"} <= {14, 15, 16, 19, 20, 21}
+    assert [r["degree"] for r in out["branch_only_junction_metrics"].collect()] == [2, 2, 2] and out["branch_only_metrics"].count() == 3
+    panel = {r["image_id"]: r.asDict() for r in out["panel"].collect()}
     assert out["panel"].columns == ["image_id", *schemas.panel_columns()] and out["curated"].columns == ["image_id", *schemas.CURATED_PANEL]
-    assert out["curated"].first()["vessel_volume_fraction"] == pytest.approx(top["vessel_volume_fraction"])
+    # of all columns only those of floating sprouts, of tips seen from junctions alone, are absent
+    absent = {k for k, v in panel["i"].items() if v is None}
+    assert all("floating_sprout_" in k or "branch_only_junction_dist_nearest_endpoint" in k for k in absent)
+    assert panel["i"]["mean_branch_only_junction_degree"] == 2 and panel["i"]["mean_branch_only_junction_num_junction_neighbors"] == 2
+    assert panel["i"]["skeleton_fractal_dimension"] == one["skeleton_fractal_dimension"] and 0.8 < one["skeleton_fractal_dimension"] < 2
+    assert out["skeleton"].count() <= out["field"].count() + 12
+
+
+def test_whole_analysis_under_a_mask(spark):
+    """Masked columns go first: from the vessel, the chip and the hull; one sprout gets shorter, and edges under it go."""
+    from filigree.plans.analysis import analyse, off_mask
+
+    a = grid_volume()
+    mask = spark.createDataFrame([(y, x) for y in range(40, 61) for x in range(10, 31)], "y int, x int")
+    out = analyse(packed(spark, ("i", a)), a.shape, mask, voxel=(3.0, 2.0, 2.0), margin=2, ratio=10.0, sigma=0.1)
+    one = out["global_metrics"].first()
+    assert one["chip_volume"] == (a.size - 21 * 21 * 24) * 12.0 and one["vessel_volume"] == (int(a.sum()) - 7 * 7 * 21) * 12.0
+    kept = a.copy()
+    kept[:, 40:61, 10:31] = 0
+    points, planes = np.argwhere(kept), volume.hull_planes(np.argwhere(kept))
+    columns = np.argwhere(np.ones((24, 21, 21))) + (0, 40, 10)
+    inside = int((columns @ planes[:, :3].T <= planes[:, 3] + 1e-9).all(1).sum())
+    assert inside > 0 and one["convex_hull_volume"] == pytest.approx(volume.hull_volume(points * (3.0, 2.0, 2.0)) - inside * 12)
+    lengths = sorted(e["path_length"] for e in out["branch_metrics"].collect() if e["edge_kind"] == "attached_sprout")
+    assert len(lengths) == 8 and one["total_vessel_length"] == pytest.approx(560, rel=0.03)
+    line = spark.createDataFrame([("i", 1, 2, [(0, 1, 1), (0, 50, 20)]), ("i", 3, 4, [(0, 1, 1), (0, 61, 20)]), ("j", 1, 2, [(0, 50, 20)])], f"image_id string, u long, v long, pts {schemas.POINTS}")
+    assert [(r["image_id"], r["u"]) for r in off_mask(line, mask.withColumn("image_id", F.lit("i"))).orderBy("image_id").collect()] == [("i", 3), ("j", 1)]
+
+
+def test_pruning_by_halves(spark):
+    """The thinner half is the tip's, whatever its outermost samples are; removable edges at tips go one after another."""
+    from filigree.plans.analysis import pruned
+
+    pts = [{"z": 0, "y": 0, "x": i} for i in range(100)]
+    thin = [1.0] * 30 + [0.0] * 20 + [2.0] * 50  # the left half is thinner; its end is half as wide as the other end
+    chain = [("i", k, k + 1, 10.0, pts, [1.0] * 100) for k in range(300, 520)]
+    rows = [("a", 1, 2, 99.0, pts, thin), ("b", 1, 2, 99.0, pts, [0.1] * 50 + [2.0] * 50), *chain]
+    e = spark.createDataFrame(rows, f"image_id string, u long, v long, weight double, pts {schemas.POINTS}, areas array<double>")
+    assert {r["image_id"] for r in pruned(e.filter("image_id <> 'i'")).collect()} == {"b"}
 
 
 def test_hull_without_mask(spark):
@@ -289,6 +365,7 @@ def test_hull_without_mask(spark):
     mask = spark.createDataFrame([("c", 1, 1), ("c", 9, 9)], schemas.MASK_2D)
     assert volume.hulls_without_mask(cube, mask, (3, 10, 10), (1, 1, 1)).first()["convex_hull_volume"] == pytest.approx(2 * 4 * 4 - 3)
     assert volume.hulls_without_mask(cube.limit(2), mask, (3, 10, 10), (1, 1, 1)).first()["convex_hull_volume"] == 300 - 6
+    assert volume.hulls_without_mask(cube.limit(0), mask, (3, 10, 10), (1, 1, 1)).first()["convex_hull_volume"] == 300 - 6
 
 
 def test_chains_keep_their_points(spark):
