@@ -57,4 +57,5 @@ def spacing(description: Column | str) -> Column:
 
 
 def significance(p: Column | str) -> Column:
-    return -F.log10(F.greatest(col(p), F.lit(1e-300)))
+    """-log10 of p, which counts as 1e-300 at least; NULL for none."""
+    return F.when(col(p).isNotNull(), -F.log10(F.greatest(col(p), F.lit(1e-300))))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from filigree.functions.labels import significance
 from filigree.functions.stats import safe_divide
 from filigree.sources.workers import importable
 
@@ -192,3 +193,31 @@ def importance(loadings: list[list[float]], shares: list[float], classes: int) -
     if classes == 2:
         return [sum(x * s for x, s in zip(p, shares, strict=True)) for p in pairs]
     return [math.sqrt(sum((x * s) ** 2 for x, s in zip(p, shares, strict=True))) for p in pairs]
+
+
+def oriented(scores: DataFrame, group: str, component: str = "pc1") -> DataFrame:
+    """One row (high, low): the groups with the greatest and the least mean of a component, the least name on ties."""
+    m = scores.groupBy(group).agg(F.avg(component).alias("_m")).filter("_m IS NOT NULL")
+    return m.agg(F.min_by(group, F.struct(-F.col("_m"), F.col(group))).alias("high"), F.min_by(group, F.struct(F.col("_m"), F.col(group))).alias("low"))
+
+
+def scored(features: DataFrame, importance: str, p: str) -> DataFrame:
+    """With score: the size of a feature's importance (a loading, say) times -log10 of its p."""
+    return features.withColumn("score", F.abs(F.col(importance)) * significance(p))
+
+
+def ranked(features: DataFrame, by: str, n: int, ascending: bool = False, name: str = "feature") -> DataFrame:
+    """The first n features by a column, NULL last, with their rank from 1; equal ones (to 9 digits) by name."""
+    key = F.round(by, 9)
+    order = [key.asc_nulls_last() if ascending else key.desc_nulls_last(), F.col(name)]
+    top = features.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def significant(features: DataFrame, p: str = "p", below: float = 0.05, fallback: int = 5, name: str = "feature") -> DataFrame:
+    """Features with p below the level, by p; if there are none, the first `fallback` by p. significant tells which it was."""
+    hits = features.filter(F.col(p) < below).withColumn("significant", F.lit(True))
+    some = features.agg(F.coalesce(F.bool_or(F.col(p) < below), F.lit(False)).alias("_some"))
+    rest = ranked(features, p, fallback, True, name).drop("rank").withColumn("_k", F.lit(1)).join(some.withColumn("_k", F.lit(1)), "_k").filter("NOT _some")
+    out = hits.unionByName(rest.drop("_k", "_some").withColumn("significant", F.lit(False)))
+    return out.withColumn("score", significance(p)).withColumn("rank", F.row_number().over(Window.orderBy(p, name)))  # features, not rows

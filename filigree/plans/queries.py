@@ -101,12 +101,35 @@ def _(fx):
     return rounded(metrics.subset_statistics(n, ["degree"], "kind", "all_nodes").select("image_id", "subset", "mean", "std", "median"), 5, "mean", "std")
 
 
-@query("q10_curated_panel")
+_BOXES = voxels.box_scales(min(SHAPE))
+_SHAPES = f"b AS (SELECT s AS scale, count(*) AS mass FROM (SELECT DISTINCT z, y, x FROM vox), (SELECT unnest({_BOXES}) AS s) GROUP BY s, floor(z / s), floor(y / s), floor(x / s)), c AS (SELECT scale, count(*) AS n, var_pop(mass) / (avg(mass) * avg(mass)) AS l FROM b GROUP BY 1 HAVING count(*) >= 2), f AS (SELECT 'MACHINERY' AS image_id, regr_slope(ln(n), -ln(scale)) AS skeleton_fractal_dimension, avg(l) AS skeleton_lacunarity FROM c)"
+_CURATED_STATS = {c: c.split("_", 1) for c in CURATED_PANEL if c.split("_")[0] in ("median", "spread") and "_only_" not in c}
+_CURATED_METRICS = {"length": "path_length", "median_cs_area": "median_cs_area", "tortuosity": "tortuosity", "orientation": "orientation_to_device_axis"}
+
+
+def _curated_sql() -> str:
+    """Each curated column: an aggregate of a metric over branches or all edges, the shape of MACHINERY's voxels, or NULL."""
+    out = []
+    for name in CURATED_PANEL:
+        if name in _CURATED_STATS:
+            agg, rest = _CURATED_STATS[name]
+            subset = "sprout_and_branch" if rest.startswith("sprout_and_branch") else "branch"
+            column, test = _CURATED_METRICS[rest.removeprefix(subset + "_")], "true" if subset == "sprout_and_branch" else "edge_kind = 'branch'"
+            value = f"median({column}) FILTER ({test})" if agg == "median" else f"quantile_cont({column}, 0.9) FILTER ({test}) - quantile_cont({column}, 0.1) FILTER ({test})"
+        elif name.startswith("skeleton_"):
+            value = f"max(f.{name})"
+        else:
+            value = "NULL::DOUBLE"
+        out.append(f"round({value}, 4) AS {name}")
+    return "+" + _SHAPES + " SELECT met.image_id, " + ", ".join(out) + " FROM met LEFT JOIN f ON f.image_id = met.image_id GROUP BY 1"
+
+
+@query("q10_curated_panel", _curated_sql(), "met", "vox")
 def _(fx):
     edges = metrics.named(_edge_stats(fx))
-    f = voxels.fractal(fx.voxels().withColumn("image_id", F.lit("MACHINERY")), voxels.box_scales(min(SHAPE)))
+    f = voxels.fractal(fx.voxels().select(F.lit("MACHINERY").alias("image_id"), "z", "y", "x").distinct(), _BOXES)
     more = cohort.long(f, ["image_id"], ["fractal_dimension", "lacunarity"], "name", "value").withColumn("name", F.concat(F.lit("skeleton_"), "name"))
-    return metrics.curated_panel(edges.unionByName(more)).select("image_id", *CURATED_PANEL)
+    return rounded(metrics.curated_panel(edges.unionByName(more)).select("image_id", *CURATED_PANEL), 4, *CURATED_PANEL)
 
 
 _SCALES = [2, 4, 8, 16, 32]
@@ -381,8 +404,23 @@ def _(fx):
 
 @query("q51_top_discriminating")
 def _(fx):
-    k = cohort.kruskal(_long(fx), "experiment").withColumn("score", labels.significance("p"))
-    return k.orderBy(F.col("score").desc(), "feature").limit(5)
+    return cohort.significant(cohort.kruskal(_long(fx), "experiment"), "p")
+
+
+@query("q63_class_orientation", "+m AS (SELECT experiment, avg(f1) AS m FROM fea GROUP BY 1) SELECT arg_max(experiment, struct_pack(a := m, b := -experiment)) AS high, arg_min(experiment, struct_pack(a := m, b := experiment)) AS low FROM m", "fea")
+def _(fx):
+    return cohort.oriented(fx.features(1).withColumnRenamed("f1", "pc1"), "experiment")
+
+
+@query("q64_top_by_score", "+r AS (SELECT feature, abs(avg(value)) AS importance, 1 / (1 + sum(value * value)) AS p FROM flong GROUP BY 1) SELECT feature, round(importance, 6) AS importance, round(p, 9) AS p, round(importance * -log10(p), 5) AS score, row_number() OVER (ORDER BY round(importance * -log10(p), 9) DESC, feature) AS rank FROM r QUALIFY rank <= 5", "flong")
+def _(fx):
+    t = _long(fx).groupBy("feature").agg(F.abs(F.avg("value")).alias("importance"), (1 / (1 + F.sum(F.col("value") * F.col("value")))).alias("p"))
+    return rounded(rounded(rounded(cohort.ranked(cohort.scored(t, "importance", "p"), "score", 5), 6, "importance"), 9, "p"), 5, "score")
+
+
+@query("q65_named_conditions", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%small%' AND lower(p_name) LIKE '%red%' THEN 'a' WHEN lower(p_name) LIKE '%small%' OR lower(p_name) LIKE '%tiny%' THEN 'b' ELSE 'NA' END AS condition FROM part")
+def _(fx):
+    return fx.table("part").select("p_partkey", labels.by_keywords("p_name", [(("small", "red"), "a"), (("small",), "b"), (("tiny",), "b")]).alias("condition"))
 
 
 @query(
@@ -427,7 +465,7 @@ def _(fx):
     return t.select("n_nationkey", F.expr("c[0].x AS x0"), F.expr("c[0].y AS y0"), F.expr("c[2].x AS x2"), F.expr("c[2].y AS y2"), F.expr("e[0].x AS ex"), F.expr("e[0].y AS ey"))
 
 
-@query("q58_hysteresis_keep")
+@query("q58_hysteresis_keep", "+p AS (SELECT y, x, max(value) AS value FROM fld GROUP BY 1, 2), w AS (SELECT * FROM p WHERE value > 60000), k AS (SELECT y, x FROM w WHERE value > 90000 UNION SELECT w.y, w.x FROM k JOIN w ON abs(w.y - k.y) <= 1 AND abs(w.x - k.x) <= 1) SELECT 0 AS image_no, y, x FROM k", "fld")
 def _(fx):
     f = voxels.projection(fx.field()).select(F.lit(0).alias("image_no"), "y", "x", "value")
     return graph.hysteresis(f, 60_000, 90_000, 100, 200 * 100)

@@ -17,9 +17,9 @@ from filigree.sources.workers import importable
 def discovered(spark: SparkSession, folder: str, forced: str | None = None, is_forced: bool = False, merged_only: bool = False) -> DataFrame:
     """(file_path, image_index, mask_mode, image_name) of the image files right in a folder, by path.
 
-    A file listing only: no bytes are read. A missing folder raises.
+    A file listing only, endings in any case: no bytes are read. A missing folder raises.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{lif,tif,tiff,LIF,TIF,TIFF}").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[lL][iI][fF],[tT][iI][fF],[tT][iI][fF][fF]}").load(folder).select("path")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     jobs = files.select(F.col("path").alias("file_path"), F.lit(0).alias("image_index"), mask_mode(name, F.lit(""), F.lit(forced).cast("string"), F.lit(is_forced)).alias("mask_mode"), name.alias("image_name"))
     return (jobs.filter(F.contains(F.lower("image_name"), F.lit("merged"))) if merged_only else jobs).orderBy("file_path")

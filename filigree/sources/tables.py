@@ -33,8 +33,10 @@ def cohort(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
     wanted = files.filter(family(F.col("path")) == kind)
-    header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root, wholetext=True)
-    heads = header.select(F.col("_metadata.file_path").alias("path"), F.split_part("value", F.lit("\n"), F.lit(1)).alias("header")).join(wanted, "path", "left_semi")
+    # the line at a file's first byte: files aren't read as one string, whatever their size
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value").filter("at = 0")
+    heads = first.groupBy("path").agg(F.min_by("value", "n").alias("header")).join(wanted, "path", "left_semi")
     groups = heads.groupBy("header").agg(F.collect_set("path").alias("paths")).collect()
     out = None
     for _, paths in groups:

@@ -185,10 +185,10 @@ def test_corners(spark):
 
 
 def test_jobs(spark, tmp_path):
-    for name in ("b_merged.tif", "a.LIF", "c.txt", "Marina bead.tiff"):
+    for name in ("b_merged.Tif", "a.LIF", "c.txt", "Marina bead.tiff"):
         (tmp_path / name).write_bytes(b"x")  # Spark passes over empty files
     found = jobs.discovered(spark, str(tmp_path)).collect()
-    assert [r["image_name"] for r in found] == ["Marina bead.tiff", "a.LIF", "b_merged.tif"] and found[0]["mask_mode"] == "light"
+    assert [r["image_name"] for r in found] == ["Marina bead.tiff", "a.LIF", "b_merged.Tif"] and found[0]["mask_mode"] == "light"
     assert jobs.discovered(spark, str(tmp_path), merged_only=True).count() == 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
         jobs.discovered(spark, str(tmp_path / "none")).collect()
@@ -373,3 +373,12 @@ def test_chains_keep_their_points(spark):
     e = spark.createDataFrame(rows, f"image_id string, u long, v long, weight double, pts {schemas.POINTS}")
     row = graph.contracted(e).first()
     assert [tuple(p) for p in row["pts"]] in ([(0, 0, 0), (0, 0, 1), (0, 0, 2)], [(0, 0, 2), (0, 0, 1), (0, 0, 0)]) and row["weight"] == 2
+
+
+def test_feature_rankings(spark):
+    t = spark.createDataFrame([("a", 0.01, 2.0), ("b", 0.2, -9.0), ("c", 0.001, 1.0), ("d", None, 5.0), ("e", 0.01, -2.0)], "feature string, p double, importance double")
+    assert [(r["feature"], r["rank"], r["significant"]) for r in cohort.significant(t).collect()] == [("c", 1, True), ("a", 2, True), ("e", 3, True)]
+    assert [(r["feature"], r["significant"]) for r in cohort.significant(t, below=1e-9, fallback=2).collect()] == [("c", False), ("a", False)]
+    assert cohort.significant(t.limit(0)).collect() == []
+    assert [r["feature"] for r in cohort.ranked(cohort.scored(t, "importance", "p"), "score", 3).orderBy("rank").collect()] == ["b", "a", "e"]
+    assert tuple(cohort.oriented(spark.createDataFrame([("x", 1.0), ("y", 3.0), ("x", 2.0), ("z", 3.0)], "g string, pc1 double"), "g").first()) == ("y", "x")
