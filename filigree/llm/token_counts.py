@@ -3,8 +3,10 @@
 Three machines stack up:
 
 * a chunk map cuts a text into pieces that no pre-token crosses; what a piece of a long text contributes is
-  (open left fragment, count inside, open right fragment), and these compose associatively, so that the pieces of a long
-  text can be counted apart and joined by a parallel prefix scan;
+  (open left fragment, count inside, open right fragment). That is a map of states: whatever state a chunk is entered in
+  ends with its left fragment, and the state it is left in is its right fragment. Maps compose associatively, so that the
+  chunks of a long text are dealt to all tasks, and their maps put together by a parallel prefix scan: first those of each
+  run of chunks, in as many tasks as there are runs, then the runs';
 * the pre-tokenizer, a regular expression over character classes;
 * for the bytes of a pre-token, a deterministic transducer. BPE has the property that the encoding of a prefix is the
   encoding of a shorter prefix plus one token, and that a sequence of tokens is an encoding if each neighbouring pair is.
@@ -15,6 +17,7 @@ Three machines stack up:
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -23,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from filigree.llm import _words
-from filigree.llm._scratch import arrow_map
+from filigree.llm._scratch import arrow_map, stored
 
 #: White space in the pre-tokenizer's pattern (Unicode White_Space), and the pattern itself: fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -215,21 +219,90 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
+#: Code points from which on a text is cut, in a chunk, and chunks whose maps are composed at once.
+LONG, CHUNK, RUN = 1 << 18, 1 << 16, 64
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text", key: str = "doc_id", long: int = LONG, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
     """`key`, n_bytes, n_tokens and over_limit (n_tokens > limit) for each row; a null text is empty and has no tokens.
 
-    tokenizer: the path of a byte-level BPE file, the same on all executors. One pass over the text, no shuffle.
+    tokenizer: the path of a byte-level BPE file, the same on all executors. Repeated rows and rows with a null key are
+    counted each by itself; only key and text are read. One pass over the text: texts of up to `long` code points are
+    counted where they are, and only longer ones are shuffled, by chunk.
     """
     kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "n_bytes", "n_tokens", "tag", "at", "part"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for batch in batches:
             _, bounds = _words.buffers(batch.column(1))
-            n = np.array([own.count(x.as_py() or "") for x in batch.column(1)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(n), pa.array(n > limit)], names=["key", "n_bytes", "n_tokens", "over_limit"])
-
-    return arrow_map(docs.select(key, text), count, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
+            sizes, short, n, cut = np.diff(bounds), [], [], []
+            for i, x in enumerate(batch.column(1)):
+                x = x.as_py() or ""
+                if len(x) <= long:
+                    short.append(i)
+                    n.append(own.count(x))
+                else:
+                    cut.append((i, x))
+            take = pa.array(short, pa.int64())
+            m = len(short)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(sizes).take(take), pa.array(n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())], names=names)
+            for i, x in cut:
+                tag = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+                for a in range(0, len(x), 16 * chunk):
+                    parts = [x[b : b + chunk] for b in range(a, min(a + 16 * chunk, len(x)), chunk)]
+                    m = len(parts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * m)), pa.array([int(sizes[i])] * m), pa.nulls(m, pa.int64()), pa.array([tag] * m), pa.array(np.arange(m) + a // chunk), pa.array(parts, pa.string())], names=names)
+
+    maps = ["key", "n_bytes", "tag", "at", "copies", "closed", "left", "inside", "right"]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(tokenizer)
+        for batch in batches:
+            for i in range(batch.num_rows):  # a chunk at a time: fragments may be long
+                left, inside, right = own.chunk(batch.column(4)[i].as_py())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([1]), pa.array([False]), pa.array([left]), pa.array([inside], pa.int64()), pa.array([right])], names=maps)
+
+    def composed(last: bool):
+        def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Maps come sorted by text and place; repeated rows have each map several times."""
+            own, current, head, held, places, copies = counter(tokenizer), None, None, [], [], 0
+
+            def close() -> Iterator[pa.RecordBatch]:
+                if current is None:
+                    return
+                left, inside, right = own.scan(held)
+                if last:
+                    inside = own.pieces(left) if inside is None else own.pieces(left) + inside + own.pieces(right)
+                    left = right = ""
+                yield pa.RecordBatch.from_arrays([*head, pa.array([places[0] // run]), pa.array([copies]), pa.array([last]), pa.array([left]), pa.array([inside], pa.int64()), pa.array([right])], names=maps)
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    group = tuple(batch.column(j)[i].as_py() for j in (0, 2)) + (() if last else (batch.column(3)[i].as_py() // run,))
+                    if current != group:
+                        yield from close()
+                        current, head, held, places, copies = group, [batch.column(j).slice(i, 1) for j in (0, 1, 2)], [], [], 0
+                    place, many = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+                    if not places or places[-1] != place:
+                        places.append(place)
+                        held.append(tuple(batch.column(j)[i].as_py() for j in (6, 7, 8)))
+                        copies = copies if len(places) > 1 else many
+                    elif len(places) == 1:
+                        copies += many
+            yield from close()
+
+        return compose
+
+    counted = stored(arrow_map(docs.select(key, text), count, f"key {kind}, n_bytes long, n_tokens long, tag long, at long, part string"), "counts")
+    schema = f"key {kind}, n_bytes long, tag long, at long, copies long, closed boolean, left string, inside long, right string"
+    chunks = arrow_map(counted.filter("at IS NOT NULL").select("key", "n_bytes", "tag", "at", "part").repartition("key", "tag", "at"), mapped, schema)
+    runs = arrow_map(chunks.repartition("key", "tag", F.floor(F.col("at") / run)).sortWithinPartitions("key", "tag", "at"), composed(False), schema)
+    whole = arrow_map(runs.repartition("key", "tag").sortWithinPartitions("key", "tag", "at"), composed(True), schema)
+    found = whole.select("key", "n_bytes", F.col("inside").alias("n_tokens"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
+    out = counted.filter("at IS NULL").select("key", "n_bytes", "n_tokens").unionByName(found)
+    return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

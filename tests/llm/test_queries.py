@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.llm import ngram_join
+from filigree.llm import ngram_join, token_counts
 from filigree.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -115,17 +115,22 @@ def test_op3_edits(spark, awkward_dir):
     assert all(len(x) == 1 for x in prints.values())
 
 
-def test_op4_counts(spark, awkward_dir):
+@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize("tables", ["awkward_dir", "null_dir"])
+def test_op4_counts(spark, request, tables, cut):
+    """cut: texts of over 100 characters by chunks of 37, five maps at once; repeated rows stay repeated."""
     from tokenizers import Tokenizer
 
-    folder, rows = awkward_dir
+    folder, rows = request.getfixturevalue(tables)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = {r[0]: r[1] or "" for r in rows}
-    out = run(spark, "op4_token_counts", folder)
-    assert len(out) == len(rows)
-    for r in out:
-        n = len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
-        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 1024)
+    sizes = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows]
+    if cut:
+        docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NULL OR length(text) < 5000")
+        sizes = [x for x, r in zip(sizes, rows, strict=True) if len(r[1] or "") < 5000]
+        out = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), long=100, chunk=37, run=5).collect()
+    else:
+        out = run(spark, "op4_token_counts", folder)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in out) == Counter((i, b, n, n > 1024) for i, b, n in sizes)
 
 
 def test_op5_mix(spark, awkward_dir):
