@@ -205,5 +205,23 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
     return first.unionByName(verified(rest.join(stars, ["a", "b"], "left_anti")))
 
 
+def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`key`, class_id (the least key that verified links reach, the row's own included) and n_links of each row.
+
+    n_links: its links among those that near_pairs returns, which connect a class and aren't all of its pairs. Rows without
+    words, and rows with a null key, are classes of their own. Rows with equal keys are one document.
+    """
+    links = stored(near_pairs(docs, threshold, text=text, key=key), "links")
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "_node")
+    counts = links.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = docs.select(F.col(key).alias("_key"))
+    out = rows.join(roots, F.col("_key") == F.col("_node"), "left").join(counts, F.col("_key") == F.col("_end"), "left")
+    return out.select(F.col("_key").alias(key), F.coalesce("root", "_key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
     return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

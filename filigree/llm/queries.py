@@ -10,6 +10,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op3_near_duplicates": fingerprints.op3_near_duplicates,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,

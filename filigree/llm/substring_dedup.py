@@ -5,8 +5,8 @@ Fixed-block anchors. Each window of 50 words holds a whole one of the non-overla
 1. the blocks of every document are indexed, in a bit table of bounded size that any task can probe;
 2. every rolling 25-word window of every document probes it; what passes meets by hash, and windows that two documents
    share are anchors (what passed in error meets nothing);
-3. anchors extend: the 50-word windows around them are hashed, meet by hash, and those that also start in a smaller
-   doc_id are removed, neighbours together, so that whole maximal repeats go.
+3. anchors extend: the 50-word windows around them are hashed to 128 bits, meet by hash, and those that also start in a
+   smaller doc_id are removed, neighbours together, so that whole maximal repeats go.
 
 Only positions near anchors and hashes are shuffled, and the texts of documents that have anchors. Texts of equal words are
 one from the start. A passage of any number of documents doesn't gather in one task: each task settles what its own
@@ -35,6 +35,8 @@ SEGMENTS = 256
 #: Windows that a task holds before it settles them.
 HELD = 1 << 20
 NULL = -(2**63)
+#: Base of the second hash of windows. Together with the first one, 128 bits: at 10**13 windows, 64 would let strangers meet.
+ALSO_BASE = 0xA0761D6478BD642F
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -55,6 +57,9 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, _words.Words, list[bytes
         yield a, _words.words(data, bounds[a : b + 1]), [bytes(view[bounds[i] : bounds[i + 1]]) for i in range(a, b)]
 
 
+SURVEY = ["key", "n_words", "sha", "cls", "segment", "blocks"]
+
+
 def _survey(docs: DataFrame) -> DataFrame:
     """(key, n_words, sha, cls) of each row, and rows (segment, blocks) with hashes of blocks."""
 
@@ -65,7 +70,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                 n = np.diff(words.offsets).astype(np.int64)
                 names = [_class(x) for x in texts]
                 m = len(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(n), pa.array([x for x, _ in names]), pa.array([x for _, x in names], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(n), pa.array([x for x, _ in names]), pa.array([x for _, x in names], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=SURVEY)
                 fresh = np.zeros(m, bool)
                 for i in np.flatnonzero(n >= WINDOW):
                     fresh[i] = names[i][1] not in known
@@ -78,9 +83,8 @@ def _survey(docs: DataFrame) -> DataFrame:
                     cuts = np.searchsorted(found >> U(56), np.arange(SEGMENTS + 1))
                     full = np.flatnonzero(np.diff(cuts))
                     k = len(full)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(full, pa.int32()), pa.array([found[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(full, pa.int32()), pa.array([found[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=SURVEY)
 
-    NAMES = ["key", "n_words", "sha", "cls", "segment", "blocks"]
     return arrow_map(docs, read, "key long, n_words long, sha string, cls long, segment int, blocks binary")
 
 
@@ -118,7 +122,8 @@ def _index(survey: DataFrame):
 
 
 #: A row without pos has what its task settled: all positions in more. Other rows have their first position in pos.
-MET = "meet long, cls long, rank long, pos int, more binary"
+MET = "meet long, cls long, rank long, pos int, more binary, also long"
+NAMES = [x.split()[0] for x in MET.split(", ")]
 
 
 class _Meeting:
@@ -129,8 +134,9 @@ class _Meeting:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, hashes: np.ndarray, cls: int, rank: int, pos: np.ndarray) -> bool:
-        self.parts.append((hashes, cls, rank, pos))
+    def add(self, hashes: np.ndarray, also: np.ndarray, cls: int, rank: int, pos: np.ndarray) -> bool:
+        """also: a second hash, by which windows are told apart that share the first."""
+        self.parts.append((hashes, cls, rank, pos, also))
         self.held += len(hashes)
         return self.held >= HELD
 
@@ -138,14 +144,14 @@ class _Meeting:
         if not self.parts:
             return
         sizes = [len(x[0]) for x in self.parts]
-        hashes, pos = np.concatenate([x[0] for x in self.parts]), np.concatenate([x[3] for x in self.parts]).astype(np.int32)
+        hashes, also, pos = np.concatenate([x[0] for x in self.parts]), np.concatenate([x[4] for x in self.parts]), np.concatenate([x[3] for x in self.parts]).astype(np.int32)
         cls, rank = (np.repeat(np.array([x[i] for x in self.parts], np.int64), sizes) for i in (1, 2))
         self.parts, self.held = [], 0
-        gone, meets = _resolve(hashes, cls, rank, self.ranked)
+        gone, meets = _resolve(hashes, also, cls, rank, self.ranked)
         yield from _packed(cls[gone], rank[gone], pos[gone])
         # a class meets with one row for each hash, whatever its positions: a text that repeats itself has many
-        meets = meets[np.lexsort((pos[meets], cls[meets], hashes[meets]))]
-        first = np.flatnonzero(np.append(True, (np.diff(hashes[meets]) != 0) | (np.diff(cls[meets]) != 0))) if len(meets) else meets
+        meets = meets[np.lexsort((pos[meets], cls[meets], also[meets], hashes[meets]))]
+        first = np.flatnonzero(np.append(True, (np.diff(hashes[meets]) != 0) | (np.diff(also[meets]) != 0) | (np.diff(cls[meets]) != 0))) if len(meets) else meets
         sizes = np.diff(np.append(first, len(meets)))
         for a in range(0, len(first), 100_000):
             at, many = meets[first[a : a + 100_000]], sizes[a : a + 100_000] > 1
@@ -153,13 +159,13 @@ class _Meeting:
             for i in np.flatnonzero(many).tolist():
                 j = first[a + i]
                 more[i] = pos[meets[j + 1 : j + sizes[a + i]]].astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(cls[at]), pa.array(rank[at]), pa.array(pos[at]), pa.array(more, pa.binary())], names=["meet", "cls", "rank", "pos", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(cls[at]), pa.array(rank[at]), pa.array(pos[at]), pa.array(more, pa.binary()), pa.array(also[at].view(np.int64))], names=NAMES)
 
 
-def _resolve(hashes: np.ndarray, cls: np.ndarray, rank: np.ndarray, ranked: bool) -> tuple[np.ndarray, np.ndarray]:
+def _resolve(hashes: np.ndarray, also: np.ndarray, cls: np.ndarray, rank: np.ndarray, ranked: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of windows: those known to be shared (ranked: with a smaller rank), and those that others must still meet."""
-    order = np.argsort(hashes, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    order = np.lexsort((also, hashes))
+    first = np.flatnonzero(np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(also[order]) != 0))) if len(order) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(order)))
     value = (rank if ranked else cls)[order]
     least = np.repeat(np.minimum.reduceat(value, first), sizes) if len(order) else value
@@ -181,7 +187,7 @@ def _packed(cls: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> Iterator[pa.R
     first = np.flatnonzero(np.append(True, np.diff(cls) != 0))
     ends = np.append(first[1:], len(cls))
     packs = [np.unique(pos[a:b]).astype("<i4").tobytes() for a, b in zip(first, ends, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(cls[first]), pa.array(rank[first]), pa.nulls(len(first), pa.int32()), pa.array(packs, pa.binary())], names=["meet", "cls", "rank", "pos", "more"])
+    yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(cls[first]), pa.array(rank[first]), pa.nulls(len(first), pa.int32()), pa.array(packs, pa.binary()), pa.nulls(len(first), pa.int64())], names=NAMES)
 
 
 def _met(windows: DataFrame, ranked: bool) -> DataFrame:
@@ -197,8 +203,8 @@ def _met(windows: DataFrame, ranked: bool) -> DataFrame:
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        hashes, cls, rank = (rows.column(i).to_numpy() for i in range(3))
-        gone, _ = _resolve(hashes, cls, rank, ranked)
+        hashes, cls, rank, also = (rows.column(i).to_numpy() for i in (0, 1, 2, 5))
+        gone, _ = _resolve(hashes, also, cls, rank, ranked)
         found = rows.select(["cls", "pos", "more"]).take(pa.array(gone)).rename_columns(["cls", "pos", "pack"])
         yield from found.to_batches(100_000)
 
@@ -224,7 +230,7 @@ def _probe(docs: DataFrame, index, bits: int) -> DataFrame:
                         continue
                     known.add(name)
                     pos = np.flatnonzero(passed[offsets[i] : offsets[i + 1]])
-                    if len(pos) and meeting.add(hashes[offsets[i] + pos], name, 0, pos):
+                    if len(pos) and meeting.add(hashes[offsets[i] + pos], np.zeros(len(pos), U), name, 0, pos):
                         yield from meeting.settle()
         yield from meeting.settle()
 
@@ -278,7 +284,8 @@ def _extend(docs: DataFrame, anchors: DataFrame, ranks: DataFrame) -> DataFrame:
                     at, n = words.offsets[i], words.offsets[i + 1] - words.offsets[i]
                     pos = np.flatnonzero(_covered(_starts(single[a + i], packs[a + i]), WINDOW - BLOCK, 0, n - WINDOW + 1))
                     own = _words.rolling(hashes, _words.WORD_BASE, at + pos, at + pos + WINDOW)
-                    if meeting.add(own, names[a + i], ranked[a + i], pos):
+                    also = _words.rolling(hashes, ALSO_BASE, at + pos, at + pos + WINDOW)
+                    if meeting.add(own, also, names[a + i], ranked[a + i], pos):
                         yield from meeting.settle()
         yield from meeting.settle()
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,73 @@ def test_op3_edits(spark, awkward_dir):
     assert all(len(x) == 1 for x in prints.values())
 
 
+def test_op3_by_brute_force(spark, awkward_dir):
+    """Signatures shingle by shingle in plain Python, likeness from them, and classes from all pairs."""
+    from filigree.llm import _words, fingerprints
+
+    folder, rows = awkward_dir
+    mask = 0xFFFFFFFF
+
+    def signature(text):
+        w = [x.encode() for x in words(text.translate(FOLD))]
+        grams = [b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))] if w else []
+        shingles = set()
+        for g in set(grams):
+            data = np.frombuffer(g, np.uint8)
+            one = _words.words(data, np.array([0, len(data)]))
+            shingles.add(int(one.shingles(one.hashes(fold=True), 5)[0][0]) >> 32)
+        if not w:
+            return [0] * 129
+        return [1, *(min((x * int(a) + int(b)) & mask for x in shingles) & 0xFF for a, b in zip(fingerprints.MULTIPLY, fingerprints.ADD, strict=True))]
+
+    def likeness(a, b):
+        if a[0] != b[0]:
+            return 0.0
+        if not a[0]:
+            return 1.0
+        same = sum(x == y for x, y in zip(a[1:], b[1:], strict=True)) / 128
+        return min(max((same - 1 / 256) / (1 - 1 / 256), 0), 1)
+
+    ordered = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: r[0])
+    following = {i: t for (i, _), (_, t) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    once = {i for i, _ in ordered if sum(i == j for j, _ in ordered) == 1}
+    for r in run(spark, "op3_fingerprints", folder):
+        text = dict(ordered)[r["doc_id"]]
+        if len(text) > 5000 or r["doc_id"] not in once or len(following[r["doc_id"]]) > 5000:
+            continue
+        half = len(text) // 2
+        own, new, after = (signature(x) for x in (text, text[: len(text) - half] + following[r["doc_id"]][:half], following[r["doc_id"]]))
+        assert r["fingerprint"] == bytes(own).hex() and r["edited_fingerprint"] == bytes(new).hex()
+        assert abs(r["near_edited"] - likeness(own, new)) < 1e-12 and abs(r["near_next"] - likeness(own, after)) < 1e-12
+
+
+def test_op3_near_duplicates(spark, null_dir):
+    """Of all links by brute force at least nine in ten lie within classes, and classes join nothing that isn't linked."""
+    folder, rows = null_dir
+    sets = {}
+    for i, text, _ in rows:
+        w = words((text or "").translate(FOLD))
+        if i is not None:
+            sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    out = run(spark, "op3_near_duplicates", folder)
+    found = {r["doc_id"]: r["class_id"] for r in out}
+    assert len(links) > 100 and sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
+    assert all(c is None if i is None else root(c) == root(i) for i, c in found.items())
+    linked = {x for link in links for x in link}
+    assert all((r["n_links"] > 0) <= (r["doc_id"] in linked) for r in out)
+
+
 @pytest.mark.parametrize("cut", [False, True])
 @pytest.mark.parametrize("tables", ["awkward_dir", "null_dir"])
 def test_op4_counts(spark, request, tables, cut):
@@ -159,7 +227,6 @@ def test_op6_scores(spark, awkward_dir):
 
 
 def test_op8_packing(spark, awkward_dir):
-    import numpy as np
     from tokenizers import Tokenizer
 
     folder, rows = awkward_dir
