@@ -29,14 +29,12 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of the n-gram join connect, one row stays: the least doc_id, null before others, then the least hash of the text."""
-    docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text"))
+    docs = docs.select(*COLUMNS).withColumns({"_id": F.to_json(F.struct("doc_id")), "_hash": F.xxhash64("text")})
     # ids may be null or repeated: with the hash, each text of an id has a place of its own in its class
-    found = stored(ngram_join.classes(docs.select(F.struct("doc_id", "_hash").alias("row"), "text"), k=5, num=80, key="row"), "classes")
-    kept = found.filter(F.col("row") == F.col("component_id")).select(F.col("row.doc_id").alias("_doc"), F.col("row._hash").alias("_text")).distinct()
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_doc"]) & (docs["_hash"] == kept["_text"]), "left_semi").drop("_hash")
-    if found.count() > found.select("row").distinct().count():  # repeated rows: of equal ones, one stays
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    found = ngram_join.classes(docs.select(F.struct("doc_id", "_hash").alias("row"), "text"), k=5, num=80, key="row")
+    kept = found.filter(F.col("row") == F.col("component_id")).select(F.to_json(F.struct("row.doc_id")).alias("_id"), F.col("row._hash").alias("_hash")).distinct()
+    # of repeated rows one stays: they are in one task already, after the join on the same columns
+    return docs.join(kept.hint("merge"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
