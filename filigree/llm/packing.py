@@ -11,6 +11,7 @@ no two pieces want the same gap, and each round's updated gaps are those of one-
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import re
 import zlib
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.llm import _words
@@ -153,34 +154,116 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return rows, opened
 
 
+def _ready(parts: DataFrame, order: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """parts as (row, length, o0, o1, ...): the caller's columns in one, so that their names don't matter; and these names."""
+    names, keep = [f"o{i}" for i in range(len(order))], [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    rows = parts.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("length").cast("long").alias("length"), *(F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)))
+    return rows, names, keep
+
+
 def pack(parts: DataFrame, capacity: int, order: list[str]) -> DataFrame:
-    """parts (any columns, with a long `length` of 1 to capacity) with sequence_id and offset.
+    """parts (any columns, with a `length` of 1 to capacity) with sequence_id and offset.
 
-    order: columns that settle which of equally long pieces goes where; rows equal in these are interchangeable.
+    order: columns that settle which of equally long pieces goes where; rows equal in these are interchangeable, and
+    repeated rows are pieces of their own. A length that is null or out of bounds raises. Columns sequence_id and offset of
+    parts give way to the results.
     """
-    ranked = running(parts.withColumn("_one", F.lit(1).cast("long")), "length", order, "_one", "_rank").drop("_one")
+    rows, names, keep = _ready(parts, order)
+    ranked = running(rows.withColumn("one", F.lit(1).cast("long")), "length", names, "one", "rank").select("row", "length", "rank")
     counts = {x[0]: x[1] for x in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
-    if any(not 0 < x <= capacity for x in counts):
+    if any(x is None or not 0 < x <= capacity for x in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    rows, _ = plan(counts, capacity)
-    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    shared = parts.sparkSession.sparkContext.broadcast(table)
-    names = ranked.columns
-    at, rank = names.index("length"), names.index("_rank")
-    keep = [i for i, x in enumerate(names) if x != "_rank"]
+    found, _ = plan(counts, capacity)
+    shared = parts.sparkSession.sparkContext.broadcast(np.array(sorted(found), np.int64).reshape(-1, 5))  # bounded by the capacity
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         starts = table[:, 0] << 48 | table[:, 1]
         for batch in batches:
-            length, number = batch.column(at).to_numpy(), batch.column(rank).to_numpy()
+            length, number = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             row = table[np.searchsorted(starts, length << 48 | number, "right") - 1] if len(length) else table[:0]
             nth = number - row[:, 1]
             sequence, slot = row[:, 2] + nth // np.maximum(row[:, 3], 1), nth % np.maximum(row[:, 3], 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(row[:, 4] + slot * length)], names=[*(names[i] for i in keep), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(row[:, 4] + slot * length)], names=["row", "sequence_id", "offset"])
+
+    out = arrow_map(ranked, place, f"row {ranked.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), "sequence_id", "offset")
+
 
-    schema = ", ".join(f"`{names[i]}` {ranked.schema[i].dataType.simpleString()}" for i in keep) + ", sequence_id long, offset long"
-    return arrow_map(ranked, place, schema)
+def pack_in_rounds(parts: DataFrame, capacity: int, order: list[str]) -> DataFrame:
+    """As pack(), by bulk-synchronous rounds over rows instead of classes.
+
+    A round: pieces longer than every gap open sequences, as many to one as the longest of them allow; all other pieces and
+    all gaps are range-sorted by size together, and each range is swept downwards: a piece takes the smallest gap at or
+    above it that is left, longer pieces first, and what is left of a gap is a gap again, further down the range or in
+    the next round. Until no piece is left. Nothing but counts and the greatest sizes reaches the driver.
+    """
+    rows, names, keep = _ready(parts, order)
+    kind = rows.schema["row"].dataType.simpleString()
+    own = f"row {kind}, size long, {', '.join(f'{n} {rows.schema[n].dataType.simpleString()}' for n in names)}, seq long, gap boolean"
+    left = stored(rows.select("row", F.col("length").alias("size"), *names), "left")
+    gaps, placed, opened = None, [], 0
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: list[tuple[int, int]] = []  # gaps at or above the place of the sweep, the smallest last
+        below: list[tuple[int, int]] = []  # what is left of gaps, further down
+        for batch in batches:
+            sizes, seqs, taken = batch.column(1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), []
+            for i, gap in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                size = sizes[i]
+                while below and -below[0][0] >= size:
+                    rest, seq = heapq.heappop(below)
+                    free.append((-rest, seq))
+                if gap:
+                    free.append((size, seqs[i]))
+                    taken.append(None)
+                elif free:
+                    rest, seq = free.pop()
+                    taken.append(seq)
+                    if rest > size:
+                        heapq.heappush(below, (size - rest, seq))
+                else:
+                    taken.append(None)
+            pieces = pa.array([not g for g in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(taken, pa.int64()), batch.column(batch.num_columns - 1)], schema=batch.schema).filter(pieces)
+        rest = [*free, *((-r, s) for r, s in below)]
+        for a in range(0, len(rest), 100_000):
+            some = rest[a : a + 100_000]
+            columns = [pa.nulls(len(some), t.type) for t in batch.schema]
+            columns[1], columns[-2], columns[-1] = pa.array([r for r, _ in some], pa.int64()), pa.array([s for _, s in some], pa.int64()), pa.array([True] * len(some))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    while True:
+        ends = left.agg(F.max("size"), F.min("size")).first()
+        if ends[0] is None:
+            break
+        if ends[0] > capacity or ends[1] < 1:
+            raise ValueError("lengths must be from 1 to the capacity")
+        most = 0 if gaps is None else gaps.agg(F.max("size")).first()[0] or 0
+        if ends[0] > most:  # these fit nowhere
+            each = capacity // ends[0]
+            alike = (F.col("size") > most) & (F.floor(F.lit(capacity) / F.col("size")) == each)
+            need = running(left.filter(alike).select("*", F.lit(0).cast("long").alias("all"), F.lit(1).cast("long").alias("one"), (-F.col("size")).alias("down")), "all", ["down", *names], "one", "rank")
+            need = stored(need.select("row", "size", *names, (F.lit(opened) + F.floor(F.col("rank") / each)).alias("seq")), "opened")
+            placed.append(need.select("row", "size", "seq", *names))
+            new = need.groupBy("seq").agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0").select("seq", "size")
+            opened = (need.agg(F.max("seq")).first()[0] or 0) + 1
+            gaps = new if gaps is None else gaps.unionByName(new)
+            left = left.filter(~alike)
+        holes = gaps.select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("row",)), "size", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names), "seq", F.lit(True).alias("gap"))
+        both = left.select("row", "size", *names, F.lit(None).cast("long").alias("seq"), F.lit(False).alias("gap")).unionByName(holes)
+        swept = stored(arrow_map(both.repartitionByRange(F.desc("size")).sortWithinPartitions(F.desc("size"), F.desc("gap"), *names), sweep, own), "swept")
+        placed.append(swept.filter("NOT gap AND seq IS NOT NULL").select("row", "size", "seq", *names))
+        left = swept.filter("NOT gap AND seq IS NULL").select("row", "size", *names)
+        gaps = swept.filter("gap").select("seq", "size")
+    if not placed:
+        placed = [left.select("row", "size", F.lit(0).cast("long").alias("seq"), *names)]
+    whole = placed[0]
+    for x in placed[1:]:
+        whole = whole.unionByName(x)
+    before = F.sum("size").over(Window.partitionBy("seq").orderBy(F.desc("size"), *names).rowsBetween(Window.unboundedPreceding, -1))
+    out = whole.withColumn("offset", F.coalesce(before, F.lit(0)))  # a window holds one sequence
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("seq").alias("sequence_id"), "offset")
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 4096) -> DataFrame:

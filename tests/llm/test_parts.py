@@ -379,3 +379,31 @@ def test_mixed_documents_keep_other_columns_and_repeated_rows(spark):
             if (r["doc_id"], r["source"]) == (i, source):
                 assert set(words(r["text"])) <= set(words(t))
         assert passes.get((i, source), 0) <= 3 * sum(x[0] == i and x[2] == source for x in rows)
+
+
+@pytest.mark.parametrize("way", [packing.pack, packing.pack_in_rounds])
+def test_packing_keeps_other_columns_and_repeated_rows(spark, way):
+    rng = random.Random(23)
+    rows = [(i, "x" * rng.choice([1, 3, 30, 33, 34, 50, 51, 60, 99, 100, rng.randint(1, 100)]), "s") for i in range(300)]
+    rows += [rows[0], rows[0], (None, "yyy", "s"), (None, "yyy", "s")]
+    docs = crowded(spark, rows).withColumn("length", F.length("text")).withColumn("offset", F.lit("gone"))
+    out = [r.asDict() for r in way(docs.repartition(5), 100, ["doc_id"]).collect()]
+    unharmed(out, rows)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted((str(i), t) for i, t, _ in rows)
+    places = {}
+    for r in out:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        end = 0
+        for offset, length in sorted(p):
+            assert offset == end
+            end += length
+        assert end <= 100
+    counts = {}
+    for _, t, _ in rows:
+        counts[len(t)] = counts.get(len(t), 0) + 1
+    best = packing.plan(counts, 100)[1]
+    assert len(places) == best if way is packing.pack else len(places) <= 1.05 * best + 1
+    assert way(docs.limit(0), 100, ["doc_id"]).collect() == []
+    with pytest.raises(ValueError):
+        way(docs, 20, ["doc_id"])
