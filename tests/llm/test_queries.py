@@ -226,6 +226,16 @@ def test_op6_scores(spark, awkward_dir):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_op6_held_out(spark):
+    """Against labels that the fit never sees: nine in ten toxic documents are found, and of clean ones one in a hundred at most isn't left alone."""
+    folder = "/root/testdata/sf0.1"
+    truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    out = [(truth[r["doc_id"]], r["predicted"]) for r in run(spark, "op6_toxicity", folder) if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [p for t, p in out if t], [p for t, p in out if not t]
+    assert len(toxic) > 20 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 def test_op8_packing(spark, awkward_dir):
     from tokenizers import Tokenizer
 
