@@ -25,15 +25,21 @@ def root(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the scratch folder; what is written there lives until release() or the end of the application."""
+    path = f"{root(spark)}/filigree/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table once and reads it back: cuts lineage, survives lost executors, and is small as Parquet.
 
     The table lives until release() or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{root(spark)}/filigree/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
