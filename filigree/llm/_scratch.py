@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from filigree.sources.scratch import release, root, stored
+from filigree.sources.scratch import folder, release, root, stored
 from filigree.sources.workers import importable, trimmed
 
-__all__ = ["arrow_map", "release", "root", "stored"]
+__all__ = ["arrow_map", "folder", "release", "root", "stored"]
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
