@@ -9,8 +9,19 @@ COLUMNS = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "sour
 CLASHES = ("key", "id", "n", "size", "tag", "first", "score", "drops", "_drops", "lines", "unit", "n_words", "length", "piece", "block", "cls", "rank", "component_id")
 
 
-def write(folder, rows, labels=(), extra=True, files=3):
-    """A documents table of (doc_id, text, source) in several files, with extra columns, and a labels table."""
+def vectors(seed=7):
+    """(vec_id, embedding): whole ones, ties between centroids, repeated rows, null ids, and rows that don't count."""
+    rng = random.Random(seed)
+    out = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(60)]
+    out += [(100 + i, [float(i % 3)] * 64) for i in range(30)]
+    out += [out[5], out[5], (None, out[7][1]), (None, out[8][1]), (None, [0.25] * 64)]
+    out += [(200, None), (201, []), (202, [1.0] * 63), (203, [1.0] * 65), (204, [None] + [1.0] * 63), (205, [float("nan")] + [1.0] * 63), (206, [float("-inf")] + [1.0] * 63), (207, [-0.0, 1e-30, -1e-30] + [0.5] * 61)]
+    rng.shuffle(out)
+    return out
+
+
+def write(folder, rows, labels=(), extra=True, files=3, embeddings=()):
+    """A documents table of (doc_id, text, source) in several files, with extra columns, a labels table and an embeddings table."""
     (folder / "documents.parquet").mkdir(parents=True)
     for i in range(files):
         part = rows[i::files]
@@ -20,6 +31,8 @@ def write(folder, rows, labels=(), extra=True, files=3):
             for name in CLASHES:
                 table = table.append_column(name, pa.array(["x"] * len(part), pa.string()))
         pq.write_table(table, folder / "documents.parquet" / f"part-{i}.parquet")
+    table = {"vec_id": pa.array([x[0] for x in embeddings], pa.int64()), "embedding": pa.array([x[1] for x in embeddings], pa.list_(pa.float32())), "label": pa.array([0] * len(embeddings), pa.int32())}
+    pq.write_table(pa.table(table | {name: pa.array(["x"] * len(embeddings), pa.string()) for name in ("v", "h", "cluster", "distance", "sums", "mean")}), folder / "embeddings.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([1] * len(labels), pa.int32()), "toxic": pa.array([x[1] for x in labels], pa.int32())}), folder / "labels.parquet")
     return str(folder)
 
@@ -57,13 +70,13 @@ def awkward(seed=5):
 @pytest.fixture(scope="session")
 def awkward_dir(tmp_path_factory):
     rows = awkward()
-    return write(tmp_path_factory.mktemp("awkward") / "t", rows, [(r[0], r[0] % 2) for r in rows] + [(None, 1), (1, None)]), rows
+    return write(tmp_path_factory.mktemp("awkward") / "t", rows, [(r[0], r[0] % 2) for r in rows] + [(None, 1), (1, None)], embeddings=vectors()), rows
 
 
 @pytest.fixture(scope="session")
 def null_dir(tmp_path_factory):
     rows = [*awkward(6), (None, "no id here, twice over", "src1"), (None, None, None), (None, "no id here, twice over", "src1")]
-    return write(tmp_path_factory.mktemp("nulls") / "t", rows, [(3, 1)]), rows
+    return write(tmp_path_factory.mktemp("nulls") / "t", rows, [(3, 1)], embeddings=vectors(8)), rows
 
 
 @pytest.fixture(scope="session")
