@@ -1,12 +1,12 @@
 """Token ids of documents in binary shards with an index of keys.
 
-    path/ids/part-00000….txt    a shard: 32-bit little-endian ids of its documents from the first byte on, then a footer
+    path/ids/part-00000….txt    a shard: little-endian ids of its documents from the first byte on, then a footer
     path/index                  blocks of the table of keys: which shards have a key
     path/shards                 of each shard: documents, ids, and ids of all shards before it
 
 Documents are range-partitioned by key, so that shards follow each other in ascending order of keys, and each shard is
 written by one task through Spark's text writer: a row's bytes are a document's ids, and the writer's line separator is the
-end id. So a shard is committed, retried and put on any file system as Spark does it, and any reader can map it as an array.
+end id. Ids take two bytes each where the vocabulary allows it, else four. So a shard is committed, retried and put on any file system as Spark does it, and any reader can map it as an array.
 A footer holds a minimal perfect hash function over the shard's keys; by a key's number, a fingerprint, where its ids
 start, and how many there are. The index holds such functions over all keys, cut into blocks by hash, and by number a
 fingerprint and the shards. So a key costs two probes, whatever the size of the table.
@@ -45,17 +45,20 @@ class Shard:
     """A shard's bytes (a buffer or a memory map), by key."""
 
     def __init__(self, content: bytes | memoryview):
-        self.content = memoryview(content)
-        size, magic = struct.unpack("<q8s", self.content[-20:-4])
-        if magic != MAGIC:
+        content = memoryview(content)
+        # the writer ends the footer with an end id, too
+        tail = next((len(content) - w for w in (2, 4) if content[len(content) - w - 8 : len(content) - w] == MAGIC), None)
+        if tail is None:
             raise ValueError("not a shard")
-        with pa.ipc.open_stream(self.content[-20 - size : -20]) as footer:
+        (size,) = struct.unpack("<q", content[tail - 16 : tail - 8])
+        with pa.ipc.open_stream(content[tail - 16 - size : tail - 16]) as footer:
             self.table = footer.read_all().combine_chunks()
         facts = self.table.schema.metadata
         self.number = int(facts[b"shard"])
+        #: The shard's ids, as they are in the file.
+        self.ids = np.frombuffer(content, facts[b"type"].decode(), int(facts[b"ids"]))
         self.find = Perfect([int(x) for x in facts[b"sizes"].split()], facts[b"bits"])
         self.fingerprints, self.starts, self.lengths = (self.table[c].to_numpy() for c in ("fingerprint", "start", "length"))
-        self.ids = int(facts[b"ids"])
 
     def at(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of digests start, and how many there are; -1 for keys that aren't here."""
@@ -69,16 +72,16 @@ class Shard:
     def get(self, key: object, nth: int = 0) -> np.ndarray | None:
         """The ids of the n-th document of a key here."""
         start, length = (int(x[0]) for x in self.at(digests([named(key, nth)])))
-        return None if start < 0 else np.frombuffer(self.content, "<u4", length, 4 * start)
+        return None if start < 0 else self.ids[start : start + length]
 
 
-def _footer(shard: int, keys: pa.Array, nth: list[int], lengths: np.ndarray) -> bytes:
+def _footer(shard: int, kind: str, keys: pa.Array, nth: list[int], lengths: np.ndarray) -> bytes:
     d = digests(map(named, keys.to_pylist(), nth))
     perfect = Perfect.of(d)
     order = np.argsort(perfect(d))
     starts = np.cumsum(lengths) - lengths
     table = pa.table({"key": keys, "nth": pa.array(nth, pa.int32()), "fingerprint": pa.array(fingerprints(d)[order]), "start": pa.array(starts[order]), "length": pa.array(lengths[order])})
-    facts = {"shard": str(shard), "ids": str(int(lengths.sum())), "sizes": " ".join(map(str, perfect.sizes)), "bits": perfect.packed}
+    facts = {"shard": str(shard), "type": kind, "ids": str(int(lengths.sum())), "sizes": " ".join(map(str, perfect.sizes)), "bits": perfect.packed}
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema.with_metadata(facts)) as out:
         out.write_table(table)
@@ -98,7 +101,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shard_bytes:
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    last = struct.pack("<I", end)
+    tokens = max(end, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values())
+    width = "<u2" if tokens < 1 << 16 else "<u4"
+    last = np.array([end], width).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, keys, nth, lengths = encoder(tokenizer), [], [], []
@@ -109,18 +114,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shard_bytes:
             data = memoryview(data)
             keys.append(batch.column(0))
             for i, k in enumerate(batch.column(0).to_pylist()):
-                ids = own.encode(bytes(data[bounds[i] : bounds[i + 1]]))
+                ids = np.frombuffer(own.encode(bytes(data[bounds[i] : bounds[i + 1]])), "<u4").astype(width)
                 count = count + 1 if k == before else 0
                 before = k
                 nth.append(count)
-                lengths.append(len(ids) // 4 + 1)
-                part.append(ids)
-                ready += len(ids)
+                lengths.append(len(ids) + 1)
+                part.append(ids.tobytes())
+                ready += ids.nbytes
                 if ready > AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], names=["ids"])
                     part, ready = [], 0
         if batch is not None:
-            part.append(_footer(TaskContext.get().partitionId(), pa.concat_arrays(keys), nth, np.array(lengths, np.int64)))
+            part.append(_footer(TaskContext.get().partitionId(), width, pa.concat_arrays(keys), nth, np.array(lengths, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], names=["ids"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("salt"))
@@ -135,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shard_bytes:
             some = np.flatnonzero(nth == 0)
             d = digests(map(named, shard.table["key"].take(pa.array(some)).to_pylist()))
             first = np.full(len(some), shard.number)
-            whole = [pa.array([v] + [None] * (len(some) - 1), pa.int64()) for v in (len(nth), shard.ids)]
+            whole = [pa.array([v] + [None] * (len(some) - 1), pa.int64()) for v in (len(nth), len(shard.ids))]
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].view(np.int64)), pa.array(first, pa.int32()), *whole], names=["a", "b", "shard", "documents", "ids"])
 
     keys = stored(arrow_map(_contents(spark, path), listed, "a long, b long, shard int, documents long, ids long"), "keys")
@@ -197,7 +202,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
 def documents(spark: SparkSession, path: str, kind: str = "long", ids: bool = False, key: str = "doc_id") -> DataFrame:
     """key, start (ids before it), n_tokens and ids_crc32 of every document in the files, and its ids, if wanted.
 
-    Each shard is read whole by a task, and each of its keys found by hash. kind: the keys' type.
+    Each shard is read whole by a task, and each of its keys found by hash. kind: the keys' type. Checksums and ids are of
+    32-bit numbers, whatever a shard holds.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +213,9 @@ def documents(spark: SparkSession, path: str, kind: str = "long", ids: bool = Fa
             starts, lengths = shard.at(d)
             if (starts < 0).any():
                 raise ValueError(f"shard {shard.number} is damaged")
+            whole = memoryview(shard.ids.astype("<u4"))
             for a in range(0, len(d), 4096):
-                parts = [shard.content[4 * s : 4 * (s + n)] for s, n in zip(starts[a : a + 4096].tolist(), lengths[a : a + 4096].tolist(), strict=True)]
+                parts = [whole[s : s + n] for s, n in zip(starts[a : a + 4096].tolist(), lengths[a : a + 4096].tolist(), strict=True)]
                 columns = [keys[a : a + 4096], pa.array(np.full(len(parts), shard.number), pa.int32()), pa.array(starts[a : a + 4096]), pa.array(lengths[a : a + 4096]), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(map(bytes, parts), pa.binary())] if ids else [])], names=["key", "shard", "at", "n_tokens", "ids_crc32", "ids"][: 5 + ids])
 
@@ -281,7 +288,7 @@ def fetched(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id"
                 for k in (x["key"] for x in some):
                     nth = 0
                     while (ids := shard.get(k, nth)) is not None:
-                        out.append((k, ids.tobytes()))
+                        out.append((k, ids.astype("<u4").tobytes()))
                         nth += 1
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.column(1).type.value_type.field(0).type), pa.array([x for _, x in out], pa.binary())], names=["key", "ids"])
 

@@ -74,12 +74,13 @@ def test_shards_are_raw_ids_with_keyed_access(spark, tmp_path):
     files = sorted(p for p in Path(path, "ids").glob("part-*") if p.stat().st_size)
     shards = [token_shards.Shard(np.memmap(p, np.uint8, "r")) for p in files]
     assert len(shards) > 5 and sum(any(k == 7 for k in s.table["key"].to_pylist()) for s in shards) > 1  # one key over several shards
-    raw = b"".join(bytes(s.content[: 4 * s.ids]) for s in shards)
+    assert all(s.ids.dtype == np.uint16 for s in shards)
+    raw = b"".join(np.fromfile(p, "<u2", len(s.ids)).astype("<u4").tobytes() for p, s in zip(files, shards, strict=True))
     ordered = token_shards.documents(spark, path, ids=True).orderBy("start").collect()
     assert raw == b"".join(r["ids"] for r in ordered)
     expected = dict(zip(texts, ids_of(texts.values()), strict=True))
     assert all(r["ids"] == expected[r["doc_id"]] for r in ordered if r["doc_id"] in texts)
-    assert any((ids := s.get(300)) is not None and ids.tobytes() == expected[300] for s in shards)
+    assert any((ids := s.get(300)) is not None and ids.astype("<u4").tobytes() == expected[300] for s in shards)
     assert all(s.get(1) is None and s.get("300 ") is None for s in shards)
     keys = spark.createDataFrame([(300,), (7,), (1,), (None,), (300,)], "doc_id long")
     found = {r["doc_id"]: (r["first_shard"], r["last_shard"]) for r in token_shards.located(spark, path, keys).collect()}
@@ -89,7 +90,8 @@ def test_shards_are_raw_ids_with_keyed_access(spark, tmp_path):
     assert got == Counter(zip([k for k, _ in texts_of], ids_of([t for _, t in texts_of]), strict=True))
 
 
-def test_shards_of_nothing_and_of_strings(spark, tmp_path):
+@pytest.mark.parametrize("end", [50256, 99_999])  # not text; of more than two bytes
+def test_shards_of_nothing_and_of_strings(spark, tmp_path, end):
     none = spark.createDataFrame([], "doc_id long, text string")
     token_shards.write(none, str(tmp_path / "a"), PATH)
     assert token_shards.documents(spark, str(tmp_path / "a")).count() == 0
@@ -97,9 +99,9 @@ def test_shards_of_nothing_and_of_strings(spark, tmp_path):
     assert token_shards.located(spark, str(tmp_path / "a"), keys).collect()[0]["first_shard"] is None
     assert token_shards.fetched(spark, str(tmp_path / "a"), keys).count() == 0
     docs = spark.createDataFrame([("b", "One two"), ("a\x00", ""), ("ä", None)], "name string, body string")
-    token_shards.write(docs, str(tmp_path / "b"), PATH, end=50256, text="body", key="name")  # an end id that isn't text
+    token_shards.write(docs, str(tmp_path / "b"), PATH, end=end, text="body", key="name")
     out = token_shards.documents(spark, str(tmp_path / "b"), "string", ids=True, key="name").orderBy("start").collect()
-    assert [(r["name"], bytes(r["ids"])) for r in out] == list(zip(["a\x00", "b", "ä"], ids_of(["", "One two", ""], 50256), strict=True))
+    assert [(r["name"], bytes(r["ids"])) for r in out] == list(zip(["a\x00", "b", "ä"], ids_of(["", "One two", ""], end), strict=True))
 
 
 def plain_clusters(rows, k=8, rounds=10):
