@@ -33,7 +33,7 @@ MAGIC = b"filigree"
 #: Keys of a block of the index, about.
 BLOCK = 4096
 #: Bytes of ids that a task hands on at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def named(key: object, nth: int = 0) -> bytes:
@@ -89,7 +89,7 @@ def _footer(shard: int, kind: str, keys: pa.Array, nth: list[int], lengths: np.n
     return data + struct.pack("<q8s", len(data), MAGIC)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shard_bytes: int = 32 << 20, text: str = "text", key: str = "doc_id") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shard_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id") -> None:
     """Writes every row's ids, the end id after each, in ascending order of keys, and the index.
 
     shard_bytes: bytes of text in a shard, about; there are as many shards as default parallelism, at least. A shard must
