@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHAPE = (8, 256, 256)
+SOLID = (8, 128, 128)
+STACK = (7, 48, 40)
 
 
 class Fixtures:
@@ -19,6 +21,15 @@ class Fixtures:
         t = self.table("lineitem").filter("l_quantity <= 10")
         return t.selectExpr("l_returnflag AS image_id", "l_linenumber AS z", "cast(l_partkey % 256 AS int) AS y", "cast(l_orderkey % 256 AS int) AS x").distinct()
 
+    def solid(self) -> DataFrame:
+        """Voxels of all items, in volumes of SOLID."""
+        return self.table("lineitem").selectExpr("l_returnflag AS image_id", "l_linenumber AS z", "cast(l_partkey % 128 AS int) AS y", "cast(l_orderkey % 128 AS int) AS x")
+
+    def stack(self) -> DataFrame:
+        """Intensities of all items, in stacks of STACK."""
+        t = self.table("lineitem").selectExpr("l_returnflag AS image_id", "l_linenumber - 1 AS z", "cast(l_partkey % 48 AS int) AS y", "cast(l_orderkey % 40 AS int) AS x", "l_extendedprice AS v")
+        return t.groupBy("image_id", "z", "y", "x").agg(F.round(F.avg("v"), 3).alias("value"))
+
     def edges(self) -> DataFrame:
         t = self.table("lineitem").filter("l_quantity <= 2")
         return t.groupBy(F.expr("cast(l_partkey % 2 AS string)").alias("image_id"), F.col("l_partkey").alias("u"), (F.col("l_orderkey") + 1000000).alias("v")).agg((F.min("l_extendedprice") / 1000).alias("weight"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions import geometry, labels, stats
-from filigree.operators import cohort, graph, metrics, runs, volume, voxels
+from filigree.operators import cohort, focus, graph, metrics, runs, tiles, volume, voxels
 from filigree.plans import analysis
-from filigree.plans.fixtures import SHAPE, Fixtures, with_views
+from filigree.plans.fixtures import SHAPE, SOLID, STACK, Fixtures, with_views
 from filigree.schemas import CURATED_PANEL
 from filigree.sources import jobs
+from filigree.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -485,3 +486,39 @@ def _(fx):
 def _(fx):
     e = fx.table("events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select("event_type", F.col("w.start").alias("day"), "n", "total")
+
+
+#: Several tiles and windows to a test volume.
+TILE, WINDOW, SHARE = (4, 48, 48), (4, 32, 32), (0.5, 0.25, 0.25)
+
+
+@query("q66_tiled_smooth_fill")
+def _(fx):
+    t = tiles.filled(tiles.smoothed(tiles.from_voxels(fx.solid(), SOLID, TILE), 0.7, TILE), TILE)
+    return tiles.voxels(t).groupBy("image_id", "z", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q67_tiled_components")
+def _(fx):
+    t = tiles.labelled(tiles.from_voxels(fx.solid(), SOLID, TILE), False, TILE)
+    return tiles.voxels(t).groupBy("image_id", F.col("value").cast("long").alias("component")).agg(F.count(F.lit(1)).alias("voxels"))
+
+
+def contrast():
+    """A stand-in for a trained model: what is brighter than the window's mean, and the more so the nearer to its end."""
+    import numpy as np
+
+    return lambda a: np.clip((a - a.mean()) / 1e5 + 0.5 * np.arange(a.size).reshape(a.shape) / a.size, 0, 1)
+
+
+@query("q68_blended_windows")
+def _(fx):
+    t = tiles.from_voxels(fx.stack(), STACK, (3, 24, 24), "value")
+    t = tiles.blended(t, "contrast", contrast, WINDOW, SHARE, "gaussian", 2, 0.0, (3, 24, 24))
+    return tiles.voxels(t).select("image_id", "z", "y", "x", F.round("value", 9).alias("value"))
+
+
+@query("q69_refocused_stack")
+def _(fx):
+    planes = stored(tiles.from_voxels(fx.stack(), STACK, (1, *STACK[1:]), "value"), "planes")
+    return tiles.voxels(focus.refocused(planes, focus.surfaces(planes, 5, 12)))

@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 
 from filigree.operators import volume
-from filigree.plans.fixtures import Fixtures
-from filigree.plans.queries import ORACLE_SQL, QUERIES
+from filigree.plans.fixtures import SOLID, STACK, Fixtures
+from filigree.plans.queries import ORACLE_SQL, QUERIES, SHARE, WINDOW, contrast
+from tests.test_focus import plain_refocus, plain_surface
+from tests.test_tiles import flood, plain_blend
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -194,7 +196,43 @@ def hull(fx, found):
     return good
 
 
+def whole(df, shape, value=None):
+    """Each image's array."""
+    out = {}
+    for r in df.collect():
+        a = out.setdefault(r["image_id"], np.zeros(shape))
+        a[r["z"], r["y"], r["x"]] = r[value] if value else 1
+    return out
+
+
+def smooth_fill(fx, found):
+    want = {}
+    for image, a in whole(fx.solid(), SOLID).items():
+        n = volume.filled(volume.smoothed(a > 0, 0.7)).sum(axis=2)
+        want |= {(image, z, y): (k,) for (z, y), k in np.ndenumerate(n) if k}
+    return near(rows(found, "image_id", "z", "y"), want)
+
+
+def connected(fx, found):
+    want = {}
+    for image, a in whole(fx.solid(), SOLID).items():
+        number, n = np.unique(flood(a > 0, False), return_counts=True)
+        want |= {(image, k): (m,) for k, m in zip(number.tolist(), n.tolist(), strict=True) if k}
+    return near(rows(found, "image_id", "component"), want)
+
+
+def blend(fx, found):
+    got, want = whole(found, STACK, "value"), whole(fx.stack(), STACK, "value")
+    return got.keys() == want.keys() and all(np.allclose(got[k], plain_blend(a, contrast(), WINDOW, SHARE, "gaussian", 2, 0.0), rtol=0, atol=2e-9) for k, a in want.items())
+
+
+def bent_flat(fx, found):
+    got, want = whole(found, STACK, "value"), whole(fx.stack(), STACK, "value")
+    return got.keys() == want.keys() and all(np.array_equal(got[k], plain_refocus(a, plain_surface(a, 5, 12))) for k, a in want.items())
+
+
 BRUTE = {
+    "q66_tiled_smooth_fill": smooth_fill, "q67_tiled_components": connected, "q68_blended_windows": blend, "q69_refocused_stack": bent_flat,
     "q31_focus_plane_lsq": surface, "q32_leaf_peel_fixpoint": peel, "q33_contract_degree2": contract, "q34_branch_only_graph": lambda fx, found: contract(fx, found, False),
     "q38_skeleton_nn": along, "q47_pca_scores": scores, "q47a_pca_importance": importance, "q51_top_discriminating": discriminating, "q60_hull_volume": hull,
 }
