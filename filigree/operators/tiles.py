@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators import volume
 from filigree.operators.components import components
-from filigree.sources.scratch import stored
+from filigree.sources.scratch import discard, stored
 from filigree.sources.workers import importable
 
 SCHEMA = "image_id string, shape array<int>, low array<int>, size array<int>, dtype string, data binary"
@@ -163,11 +163,14 @@ def mapped(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], reach:
     return _sent(tiles, targets).groupBy(*KEYS).applyInPandas(run, SCHEMA)
 
 
-def retiled(tiles: DataFrame, tile: tuple | None = None) -> DataFrame:
-    """The same volumes in tiles of another size; without one, in whole planes. Every tile must be there."""
+def retiled(tiles: DataFrame, tile: tuple | Callable[[list[int]], tuple] | None = None) -> DataFrame:
+    """The same volumes in tiles of another size, or of one that depends on the shape; without one, in whole planes.
+
+    Every tile must be there.
+    """
 
     def of(shape) -> tuple:
-        return tile or (1, *(int(n) for n in shape[1:]))
+        return tile([int(n) for n in shape]) if callable(tile) else tile or (1, *(int(n) for n in shape[1:]))
 
     def targets(row):
         shape = [int(n) for n in row["shape"]]
@@ -365,6 +368,87 @@ def hysteresis(tiles: DataFrame, low: float = 0.2, high: float = 0.5, tile: tupl
     return _chosen(tiles, lambda a: a > low, lambda a, row: a > high, tile, True)
 
 
+def _each(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A kernel on each tile by itself; nothing is shuffled."""
+    importable(tiles.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                yield pd.DataFrame([packed(row["image_id"], row["shape"], row["low"], kernel(unpacked(row)))])
+
+    return tiles.mapInPandas(run, SCHEMA)
+
+
+def count(tiles: DataFrame) -> int:
+    """Of all voxels that are set."""
+    importable(tiles.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [sum(int(np.count_nonzero(unpacked(r))) for r in pdf.to_dict("records"))]})
+
+    return tiles.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def distance(tiles: DataFrame, sampling: tuple | None = None, tile: tuple = TILE) -> DataFrame:
+    """Exact Euclidean distance of each set voxel to the nearest unset one of the whole volume; infinite if there is none.
+
+    Axis by axis as on one array: tiles are cut anew so that lines along an axis are whole, and as many of them together as a
+    tile has voxels. Four shuffles of the volume.
+    """
+    sampling = sampling or (1.0, 1.0, 1.0)
+    found = _each(tiles, lambda a: np.where(a.astype(bool), np.inf, 0.0))
+    for axis in range(3):
+
+        def slab(shape: list[int], axis: int = axis) -> tuple:
+            side = max(1, math.isqrt(math.prod(tile) // shape[axis]))
+            return tuple(n if i == axis else min(n, side) for i, n in enumerate(shape))
+
+        def pass_(a: np.ndarray, axis: int = axis) -> np.ndarray:
+            moved = np.moveaxis(a, axis, -1)
+            return np.moveaxis(volume.lowered(np.ascontiguousarray(moved).reshape(-1, a.shape[axis]), float(sampling[axis])).reshape(moved.shape), -1, axis)
+
+        found = _each(retiled(found, slab), pass_)
+    return retiled(_each(found, np.sqrt), tile)
+
+
+def thinned(tiles: DataFrame, tile: tuple = TILE) -> DataFrame:
+    """Centrelines, voxel by voxel those of the whole volume: rounds of thinning with what a round can reach around each tile.
+
+    Tiles must have even sides (voxels go by the parity of their place). A round is a shuffle of the volume; there are as many
+    as the thickest part has layers. A count of voxels reaches the driver.
+    """
+    if any(t % 2 for t in tile):
+        raise ValueError("tiles for thinning have even sides")
+
+    def once(a: np.ndarray) -> np.ndarray:
+        wide = np.pad(a.astype(bool), 1)
+        volume.thinned_once(wide)
+        return wide[1:-1, 1:-1, 1:-1]
+
+    left, before = _kept(tiles), None
+    while True:
+        new = stored(mapped(left, once, (volume.THINNING_REACH,) * 3, tile), "thinned")
+        now = count(new)
+        if left is not tiles:
+            discard(left)
+        if now == before or not now:
+            return new
+        left, before = new, now
+
+
+def projected(tiles: DataFrame) -> DataFrame:
+    """Which columns (image_id, y, x) have a set voxel, as tiles of one plane."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        flat = functools.reduce(np.logical_or, (unpacked(r).any(axis=0) for r in pdf.to_dict("records")))
+        return pd.DataFrame([packed(row["image_id"], [1, *row["shape"][1:]], [0, *row["low"][1:]], flat[None])])
+
+    return tiles.withColumn("key", F.slice("low", 2, 2)).groupBy(*KEYS).applyInPandas(run, SCHEMA)
+
+
 _loaded: dict[str, Callable] = {}
 
 

@@ -121,20 +121,26 @@ def distance(mask: np.ndarray, sampling: tuple | None = None) -> np.ndarray:
             after = np.minimum.accumulate(np.where(lines == 0, at, np.inf)[:, ::-1], axis=1)[:, ::-1]
             best = (step * np.minimum(at - before, after - at)) ** 2
         else:
-            best, active = lines.copy(), np.arange(len(lines))
-            for d in range(1, n):
-                cost = (step * d) ** 2
-                active = active[best[active].max(axis=1) > cost]
-                if not len(active):
-                    break
-                own, f = best[active], lines[active]
-                np.minimum(own[:, d:], f[:, :-d] + cost, out=own[:, d:])
-                np.minimum(own[:, :-d], f[:, d:] + cost, out=own[:, :-d])
-                best[active] = own
+            best = lowered(lines, step)
         out = np.moveaxis(best.reshape(np.moveaxis(out, axis, -1).shape), -1, axis)
     return np.sqrt(out)
 
 
+def lowered(lines: np.ndarray, step: float) -> np.ndarray:
+    """The least of f(q) + (step (p - q))^2 over q, for each p of each line (row)."""
+    best, active = lines.copy(), np.arange(len(lines))
+    for d in range(1, lines.shape[1]):
+        cost = (step * d) ** 2
+        active = active[best[active].max(axis=1) > cost]
+        if not len(active):
+            break
+        own, f = best[active], lines[active]
+        np.minimum(own[:, d:], f[:, :-d] + cost, out=own[:, d:])
+        np.minimum(own[:, :-d], f[:, d:] + cost, out=own[:, :-d])
+        best[active] = own
+    return best
+
+
 def median(a: np.ndarray, size: int = 7) -> np.ndarray:
     half = size // 2
     wide = np.pad(a, half, mode="symmetric")
@@ -181,24 +187,32 @@ def thinned(mask: np.ndarray) -> np.ndarray:
     Voxels whose coordinates have equal parities don't touch, so all that may go of one of these eight kinds go at once.
     """
     a = np.pad(mask.astype(bool), 1)
-    steps = _NEAR @ np.array([a.shape[1] * a.shape[2], a.shape[2], 1])
-    flat = a.reshape(-1)
-    changed = True
-    while changed:
-        changed = False
-        for side in np.flatnonzero(_SIX):
-            places = np.flatnonzero(flat)
-            places = places[~flat[places + steps[side]]]
-            z, y, x = np.unravel_index(places, a.shape)
-            kind = (z & 1) * 4 + (y & 1) * 2 + (x & 1)
-            for k in range(8):
-                own = places[kind == k]
-                gone = own[_simple(flat[own[:, None] + steps])]
-                flat[gone] = False
-                changed |= len(gone) > 0
+    while thinned_once(a):
+        pass
     return a[1:-1, 1:-1, 1:-1]
 
 
+#: How far away a round of thinning can make a difference: six sides of eight kinds, each of which looks at neighbours.
+THINNING_REACH = 48
+
+
+def thinned_once(a: np.ndarray) -> bool:
+    """One round over all six sides, in place; a has a layer of unset voxels around it. Whether any voxel went."""
+    steps = _NEAR @ np.array([a.shape[1] * a.shape[2], a.shape[2], 1])
+    flat, changed = a.reshape(-1), False
+    for side in np.flatnonzero(_SIX):
+        places = np.flatnonzero(flat)
+        places = places[~flat[places + steps[side]]]
+        z, y, x = np.unravel_index(places, a.shape)
+        kind = (z & 1) * 4 + (y & 1) * 2 + (x & 1)
+        for k in range(8):
+            own = places[kind == k]
+            gone = own[_simple(flat[own[:, None] + steps])]
+            flat[gone] = False
+            changed |= len(gone) > 0
+    return changed
+
+
 def _simple(on: np.ndarray) -> np.ndarray:
     """For neighbourhoods (rows of the 26 around a voxel), whether the voxel can go: it isn't an end or alone, and there is
     one object (26 neighbours) and one background part (6 neighbours, of the 18 that share a face or edge) around it."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.functions import geometry
-from filigree.operators import cohort, graph, metrics, volume, voxels
+from filigree.operators import cohort, graph, metrics, tiles, volume, voxels
 from filigree.operators.runs import resampled
 from filigree.sources.scratch import stored
 from filigree.sources.workers import importable
@@ -49,6 +51,28 @@ def skeletons(volumes: DataFrame, mask: DataFrame | None = None, voxel: tuple =
     return found.withColumn("area", F.when(~F.isnan("area"), F.col("area")))
 
 
+def tiled_skeletons(cells: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, sigma: float = 3.0, tile: tuple = tiles.TILE) -> DataFrame:
+    """As skeletons(), of voxels (image_id, z, y, x) and over tiles: for volumes that no task could hold."""
+    cells = cells.select(IMAGE, "z", "y", "x")
+    raw = stored(tiles.from_voxels(cells if mask is None else cells.join(mask.select(IMAGE, "y", "x"), [IMAGE, "y", "x"], "left_anti"), shape, tile), "raw")
+    solid = stored(tiles.filled(tiles.smoothed(raw, sigma, tile), tile), "solid")
+    thin, deep = tiles.thinned(solid, tile), tiles.distance(solid, tuple(voxel), tile)
+    flat = tiles.voxels(tiles.distance(stored(tiles.projected(raw), "projected"), tuple(voxel), (1, *tile[1:])))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = {r["kind"]: tiles.unpacked(r) for r in pdf.to_dict("records")}
+        z, y, x = np.nonzero(a["solid"])
+        low = pdf["low"].iloc[0]
+        return pd.DataFrame({IMAGE: pdf[IMAGE].iloc[0], **{c: (i + k).astype(np.int32) for c, i, k in zip("zyx", (z, y, x), low, strict=True)}, "in_skeleton": a["thin"][z, y, x], "deep": a["deep"][z, y, x]})
+
+    kinds = {"solid": solid, "thin": thin, "deep": deep}
+    both = functools.reduce(DataFrame.unionByName, (t.select(IMAGE, "low", "size", "dtype", "data", F.lit(k).alias("kind")) for k, t in kinds.items()))
+    found = both.groupBy(IMAGE, "low").applyInPandas(run, f"{IMAGE} string, z int, y int, x int, in_skeleton boolean, deep double")
+    found = found.join(flat.select(IMAGE, "y", "x", F.col("value").alias("flat")), [IMAGE, "y", "x"], "left")
+    area = F.lit(float(np.pi)) * F.coalesce("flat", F.lit(0.0)) * F.col("deep")
+    return found.select(IMAGE, "z", "y", "x", "in_skeleton", F.when(F.col("in_skeleton") & ~F.isnan(area) & (area < float("inf")), area).alias("area"))
+
+
 def with_areas(edges: DataFrame, field: DataFrame) -> DataFrame:
     """Edges with the field's values along their points, in order; 0 off the centreline."""
     v = edges.select(IMAGE, "u", "v", F.posexplode("pts").alias("pos", "p")).select(IMAGE, "u", "v", "pos", "p.z", "p.y", "p.x")
@@ -86,8 +110,10 @@ def of_each(mask: DataFrame, images: DataFrame) -> DataFrame:
     return images.withColumn("_all", F.lit(1)).join(mask.select("y", "x").distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
 
 
-def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, axis: str | None = None, margin: int = geometry.BORDER, shortest: float = 25.0, ratio: float = 0.20, sigma: float = 3.0) -> dict[str, DataFrame]:
-    """Tables by name: voxels, field (areas on the centreline), raw_edges, nodes, edges, skeleton (the clean graph's voxels),
+def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, voxel: tuple = geometry.VOXEL, axis: str | None = None, margin: int = geometry.BORDER, shortest: float = 25.0, ratio: float = 0.20, sigma: float = 3.0, tile: tuple = tiles.TILE) -> dict[str, DataFrame]:
+    """From volumes (a row each), or from voxels (image_id, z, y, x), which are cut into tiles of any number.
+
+    Tables by name: voxels, field (areas on the centreline), raw_edges, nodes, edges, skeleton (the clean graph's voxels),
     branch_metrics, junction_metrics, those of the graph without sprouts (branch_only_...), global_metrics, panel, curated.
 
     Columns under a plane mask ([image_id,] y, x) are emptied first; they count in neither the chip's nor the hull's volume,
@@ -97,7 +123,8 @@ def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | N
     axis = axis or ("x" if shape[2] >= shape[1] else "y")
     images = volumes.select(F.col(IMAGE).cast("string").alias(IMAGE)).distinct()
     cut = None if mask is None else stored(of_each(mask, images), "mask")
-    cells = stored(skeletons(volumes, cut, voxel, sigma), "cells")
+    found = skeletons(volumes, cut, voxel, sigma) if "data" in volumes.columns else tiled_skeletons(volumes, shape, cut, voxel, sigma, tile)
+    cells = stored(found, "cells")
     solid, field = cells.select(IMAGE, "z", "y", "x"), cells.filter("in_skeleton").select(IMAGE, "z", "y", "x", "area")
     nodes, raw = graph.from_skeleton(field.select(IMAGE, "z", "y", "x"))
     inner = graph.contracted(pruned(with_areas(raw, field), shortest, ratio)).filter(~geometry.near_border("pts", shape[1] - 1, shape[2] - 1, margin))

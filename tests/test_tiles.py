@@ -98,6 +98,8 @@ def test_fields(spark, noise, name, tiled, plain):
         ("smoothed", lambda t: tiles.smoothed(t, 1.0, TILE), lambda a: volume.smoothed(a, 1.0)),
         ("filled", lambda t: tiles.filled(t, TILE), volume.filled),
         ("near distance", lambda t: tiles.near_distance(t, 4, TILE), lambda a: np.minimum(volume.distance(a), 4)),
+        ("distance", lambda t: tiles.distance(t, (2.0, 1.0, 0.5), TILE), lambda a: volume.distance(a, (2.0, 1.0, 0.5))),
+        ("projected", tiles.projected, lambda a: a.any(axis=0)[None]),
         ("labelled", lambda t: tiles.labelled(t, True, TILE), lambda a: flood(a, True)),
         ("labelled by faces", lambda t: tiles.labelled(t, False, TILE), lambda a: flood(a, False)),
     ],
@@ -127,6 +129,19 @@ def test_tiles_of_another_size(spark, noise):
         assert all(np.array_equal(got[k], a) for k, a in noise.items())
 
 
+def test_thinned(spark, masks):
+    """Also where tiles lie further apart than a round reaches."""
+    rng = np.random.default_rng(9)
+    arrays = {"box": masks["box"], "none": masks["none"], "long": volume.smoothed(rng.random((8, 260, 14)) > 0.55, 1.2)}
+    tile = (6, 50, 8)
+    got = arrays_of(tiles.thinned(cut(spark, arrays, tile), tile))
+    for k, a in arrays.items():
+        assert np.array_equal(got[k], volume.thinned(a)), k
+    assert 0 < got["long"].sum() < arrays["long"].sum() / 3
+    with pytest.raises(ValueError, match="even"):
+        tiles.thinned(cut(spark, arrays), TILE)
+
+
 def test_from_voxels_and_back(spark):
     rows = [("a", 0, 0, 0, 2.0), ("a", 5, 8, 7, 3.0), ("a", 5, 8, 7, 9.0), ("a", 99, 0, 0, 1.0), ("a", -1, 0, 0, 1.0), ("a", None, 0, 0, 1.0), ("a", 6, 1, 1, None), ("b", 50, 1, 1, 1.0), (None, 1, 1, 1, 4.0)]
     df = spark.createDataFrame(rows, "image_id string, z int, y int, x int, value double")
@@ -187,3 +202,25 @@ def test_a_model_is_loaded_once_in_a_worker():
     for _ in range(3):
         tiles.loaded("once", lambda: calls.append(1) or (lambda a: a))
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_tiled_analysis_is_that_of_whole_volumes(spark, masked):
+    """Centreline, distances and areas, voxel by voxel; then every number of the whole analysis."""
+    from filigree.plans.analysis import analyse, skeletons, tiled_skeletons
+    from tests.test_engine import grid_volume
+
+    a = grid_volume().astype(bool)
+    at = np.argwhere(a)
+    cells = spark.createDataFrame([("i", *map(int, p)) for p in at], "image_id string, z int, y int, x int")
+    mask = spark.createDataFrame([("i", y, x) for y in range(40, 61) for x in range(10, 31)], "image_id string, y int, x int") if masked else None
+    voxel = (3.0, 2.0, 2.0)
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in skeletons(table(spark, {"i": a}), mask, voxel, 0.6).collect()}
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in tiled_skeletons(cells, a.shape, mask, voxel, 0.6, (8, 64, 64)).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and (got[k][1] is None) == (want[k][1] is None) for k in want)
+    assert all(got[k][1] == pytest.approx(want[k][1], rel=1e-12) for k in want if want[k][1] is not None) and any(v[0] for v in got.values())
+    if not masked:
+        one = analyse(table(spark, {"i": a}), a.shape, None, voxel, margin=2, ratio=10.0, sigma=0.6)["global_metrics"].first()
+        two = analyse(cells, a.shape, None, voxel, margin=2, ratio=10.0, sigma=0.6, tile=(8, 64, 64))["global_metrics"].first()
+        assert one.asDict().keys() == two.asDict().keys() and one["branches_per_volume"] > 0
+        assert all(two[k] == (v if isinstance(v, str) or v is None else pytest.approx(v)) for k, v in one.asDict().items())
