@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import volume
@@ -548,6 +548,22 @@ def three_planes(tiles: DataFrame, name: str, load: Callable[[], Callable[[np.nd
     return functools.reduce(DataFrame.unionByName, parts).withColumn("key", F.col("low")).groupBy(*KEYS).applyInPandas(mean, SCHEMA)
 
 
+def save(tiles: DataFrame, path: str, tile: tuple = TILE) -> None:
+    """Tiles as a table to read boxes from: by image, and by the tile's number along z and y; a repeated call replaces its images'."""
+    numbers = {f"i{c}": F.floor(F.col("low")[i] / t).cast("int") for i, (c, t) in enumerate(zip("zyx", tile, strict=True))}
+    out = tiles.withColumns(numbers).repartition("image_id", "iz", "iy").sortWithinPartitions("image_id", "iz", "iy", "ix")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image_id", "iz", "iy").parquet(path)
+
+
+def box(spark: SparkSession, path: str, low: tuple, high: tuple, tile: tuple = TILE, images: list[str] | None = None) -> DataFrame:
+    """The parts of saved tiles within a box (low included, high not): only the files and row groups of tiles that it touches are read."""
+    rows = spark.read.schema(f"{SCHEMA}, iz int, iy int, ix int").parquet(path)
+    for c, a, b, t in zip("zyx", low, high, tile, strict=True):
+        rows = rows.filter(F.col(f"i{c}").between(a // t, max(a, b - 1) // t))
+    rows = rows.filter(F.col("image_id").isin(images)) if images is not None else rows
+    return _sent(rows.select(*(c.split()[0] for c in SCHEMA.split(", "))), lambda row: [(tuple(low), (tuple(low), tuple(high)))]).drop("key")
+
+
 def whole(tiles: DataFrame) -> DataFrame:
     """Volumes in one row each, for those that fit (below 2 GB)."""
     importable(tiles.sparkSession)

@@ -325,6 +325,33 @@ def hulls(voxels: DataFrame, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
     return ends.groupBy("image_id").applyInPandas(run, "image_id string, convex_hull_volume double")
 
 
+def hull_cells(voxels: DataFrame) -> DataFrame:
+    """(image_id, z, y, x) of all cells within the convex hull of an image's voxels, its faces included; none without a hull.
+
+    Faces come from the voxels that end a row of x, one image to a task. A row of cells of the hull's box is cut by all faces
+    to one interval of x, with built-in functions, and only what is inside is made.
+    """
+    from pyspark.sql import functions as F
+
+    importable(voxels.sparkSession)
+    rows = voxels.groupBy("image_id", "z", "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("image_id", "z", "y", F.explode(F.array("a", "b")).alias("x"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["z", "y", "x"]].to_numpy(float)
+        faces = np.unique(np.round(hull_planes(p), 12), axis=0)
+        out = {"image_id": pdf.image_id.iloc[0], "faces": [dict(zip("zyxd", f, strict=True)) for f in faces.tolist()], **{f"{c}{i}": int(v) for i, e in enumerate((p.min(0), p.max(0))) for c, v in zip("zyx", e, strict=True)}}
+        return pd.DataFrame([out] if len(faces) else [], columns=["image_id", "faces", "z0", "y0", "x0", "z1", "y1", "x1"])
+
+    boxes = rows.groupBy("image_id").applyInPandas(run, "image_id string, faces array<struct<z:double,y:double,x:double,d:double>>, z0 int, y0 int, x0 int, z1 int, y1 int, x1 int")
+    cells = boxes.select("*", F.explode(F.sequence("z0", "z1")).alias("z")).select("*", F.explode(F.sequence("y0", "y1")).alias("y"))
+    room = lambda f: f["d"] + 1e-9 - f["z"] * F.col("z") - f["y"] * F.col("y")
+    first = F.array_max(F.transform(F.filter("faces", lambda f: f["x"] < 0), lambda f: room(f) / f["x"]))
+    last = F.array_min(F.transform(F.filter("faces", lambda f: f["x"] > 0), lambda f: room(f) / f["x"]))
+    level = F.forall(F.filter("faces", lambda f: f["x"] == 0), lambda f: room(f) >= 0)
+    cells = cells.filter(level).select("image_id", "z", "y", F.greatest(F.ceil(first).cast("int"), "x0").alias("a"), F.least(F.floor(last).cast("int"), "x1").alias("b"))
+    return cells.filter("a <= b").select("image_id", "z", "y", F.explode(F.sequence("a", "b")).alias("x"))
+
+
 def hulls_without_mask(voxels: DataFrame, mask: DataFrame, shape: tuple, voxel: tuple = (2.0, 2.0, 2.0)) -> DataFrame:
     """Hull volumes less the masked columns' voxels within the hull, at least 0; without a hull, the chip's volume.
 

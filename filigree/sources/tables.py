@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import io
+import zipfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -69,6 +72,52 @@ def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataF
     return files.mapInPandas(run, "path string, shape array<int>, dtype string, data binary")
 
 
+def read_zipped_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> tuple[DataFrame, DataFrame]:
+    """The arrays of zipped files, a row each (path, member, shape, dtype, data), and a ledger (name, status, message) of the files.
+
+    Members are listed by the archive's directory, stored or deflated; what isn't an array of plain numbers, and a file that
+    isn't an archive, is told in the ledger and never ends the read. Spark reads the bytes, wherever they are.
+    """
+    importable(spark)
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                row = {"path": name, "member": None, "shape": None, "dtype": None, "data": None, "message": None}
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        for member in archive.namelist():
+                            try:
+                                a = np.load(io.BytesIO(archive.read(member)), allow_pickle=False)
+                                found = {"member": member.removesuffix(".npy"), "shape": list(a.shape), "dtype": str(a.dtype), "data": np.ascontiguousarray(a).tobytes()}
+                                yield pd.DataFrame([row | found])
+                            except (ValueError, EOFError, zipfile.BadZipFile, zlib.error) as error:
+                                yield pd.DataFrame([row | {"member": member, "message": f"{type(error).__name__}: {error}"}])
+                except zipfile.BadZipFile as error:
+                    yield pd.DataFrame([row | {"message": f"{type(error).__name__}: {error}"}])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+    both = files.mapInPandas(run, "path string, member string, shape array<int>, dtype string, data binary, message string")
+    ledger = both.groupBy(F.col("path").alias("name")).agg(F.concat_ws("; ", F.sort_array(F.collect_list(F.concat_ws(": ", "member", "message")))).alias("all"), F.count("message").alias("n"))
+    ledger = ledger.select("name", F.when(F.col("n") > 0, "FAILED").otherwise("OK").alias("status"), F.when(F.col("n") > 0, F.array_join(F.filter(F.split("all", "; "), lambda m: F.contains(m, F.lit(": "))), "; ")).alias("message"))
+    return both.filter("message IS NULL").drop("message"), ledger
+
+
+#: The endings of an output folder's files, and what each holds.
+KINDS = {
+    "original": "_cropped_stack_aligned.npy", "translation": "_vessel_translation_aligned.npy", "segmentation": "_clean_segmentation.npy", "skeleton": "_skeleton.npy",
+    "organoid_mask": "_organoid_mask.npy", "holes": "_holes.npy", "clean_graph": "_clean_graph.pkl", "branch_metrics": "_branch_metrics.csv",
+}
+
+
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, kind, path): the known files of each output folder; the first by name where a folder has several of a kind."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    kind = functools.reduce(lambda a, b: a.when(F.col("path").endswith(b[1]), b[0]), list(KINDS.items())[1:], F.when(F.col("path").endswith(KINDS["original"]), "original"))
+    named = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), kind.alias("kind"), "path").filter("kind IS NOT NULL")
+    return named.groupBy("folder", "kind").agg(F.min("path").alias("path"))
+
+
 ARTEFACTS = ("branch_metrics", "junction_metrics", "analysis_metrics", "all_morphological_params")
 
 
