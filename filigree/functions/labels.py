@@ -21,6 +21,35 @@ def by_keywords(text: Column | str, rules: Sequence[tuple[Sequence[str], str]],
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
+#: The rules by which image names tell conditions, in order, by the name of the set.
+CONDITIONS: dict[str, list[tuple[tuple[str, ...], str]]] = {
+    "two conditions": [(("static",), "static"), (("resevoir",), "resevoir"), (("reservoir",), "resevoir"), (("flow",), "flow")],
+    "valves": [
+        (("static",), "static"), (("resevoir",), "resevoir"), (("reservoir",), "resevoir"),
+        (("valve 1",), "high_flow"), (("valve 2",), "high_flow"), (("valve 7",), "high_flow"), (("valve 8",), "high_flow"),
+        (("valve 3",), "low_flow"), (("valve 4",), "low_flow"), (("valve 5",), "low_flow"), (("valve 6",), "low_flow"),
+    ],
+    "media": [(("_ws_",), "WS"), (("_wp_",), "WP"), (("_ww_",), "WW")],
+    "donors": [(("iris",), "iris"), (("poppy",), "poppy"), (("tulip",), "tulip"), (("bloom",), "bloom"), (("rose",), "rose"), (("daisy",), "daisy")],
+    "sex of donors": [(("bloom",), "female"), (("poppy",), "female"), (("rose",), "female"), (("iris",), "male"), (("daisy",), "male"), (("tulip",), "male")],
+    "batches": [(("270325.2",), "vehicle"), (("270325",), "dexa")],
+}
+
+
+def condition(name: Column | str, rules: str) -> Column:
+    """The condition of an image by one of the sets of rules; NA where none applies."""
+    return by_keywords(name, CONDITIONS[rules])
+
+
+def short_number(value: Column | str) -> Column:
+    """Four significant digits as text, halves away from 0; NA for what isn't a finite number."""
+    x = col(value).try_cast("double")
+    size = F.floor(F.log10(F.abs(x))).cast("int")
+    plain = F.when(x == 0, "0").when(size.between(-4, 3), F.regexp_replace(F.format_string("%.8f", F.round(x * F.pow(F.lit(10.0), 3 - size)) / F.pow(F.lit(10.0), 3 - size)), r"\.?0+$", ""))
+    scientific = F.regexp_replace(F.format_string("%.3e", x), r"\.?0+e", "e")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "NA").otherwise(F.coalesce(plain, scientific))
+
+
 def mask_mode(file: Column | str, image: Column | str, forced: Column | None = None, is_forced: Column | None = None) -> Column:
     """light, dark or NULL (no mask) by keywords of the names; a forced value wins, also a forced NULL."""
     own = by_keywords(F.concat_ws(" ", col(file), col(image)), [(("marina", "bead"), "light"), (("marina",), "dark")], "")

@@ -32,6 +32,28 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*(c for c in columns if not counts[c])).dropna("any", subset=kept or None)
 
 
+#: Columns of a cohort table that aren't features.
+NOT_FEATURES = ("experiment", "image_name", "source_file", "image_index", "chip_volume_um3", "convex_hull_volume_um3", "vessel_volume_um3", "source_folder")
+
+
+def feature_matrix(df: DataFrame, by: str = "experiment") -> tuple[DataFrame, list[str]]:
+    """Rows with all features, and their names: without ids and sizes, columns that are all NULL, and rows that lack a feature."""
+    own = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in NOT_FEATURES and f.name != by]
+    rows = complete(df.select(*(c for c in (by, "image_name") if c in df.columns), *own), own)
+    return rows, [c for c in own if c in rows.columns]
+
+
+def first_of(df: DataFrame, *names: str) -> str | None:
+    """The first of several names that a table has as a column."""
+    return next((n for n in names if n in df.columns), None)
+
+
+def distinct_counts(df: DataFrame, image: str = "image_name", group: str = "experiment") -> DataFrame:
+    """Images and rows of each experiment, and of all of them (experiment NULL, with `whole` true)."""
+    out = df.groupBy(group, image).agg(F.count(F.lit(1)).alias("_n")).rollup(group).agg(F.count(image).alias("images"), F.sum("_n").alias("rows"), F.grouping(group).cast("boolean").alias("whole"))
+    return out.select(group, "images", F.coalesce("rows", F.lit(0)).alias("rows"), "whole")
+
+
 def long(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     return df.unpivot(ids, columns, name, value)
 

@@ -401,15 +401,11 @@ def distance(tiles: DataFrame, sampling: tuple | None = None, tile: tuple = TILE
     found = _each(tiles, lambda a: np.where(a.astype(bool), np.inf, 0.0))
     for axis in range(3):
 
-        def slab(shape: list[int], axis: int = axis) -> tuple:
-            side = max(1, math.isqrt(math.prod(tile) // shape[axis]))
-            return tuple(n if i == axis else min(n, side) for i, n in enumerate(shape))
-
         def pass_(a: np.ndarray, axis: int = axis) -> np.ndarray:
             moved = np.moveaxis(a, axis, -1)
             return np.moveaxis(volume.lowered(np.ascontiguousarray(moved).reshape(-1, a.shape[axis]), float(sampling[axis])).reshape(moved.shape), -1, axis)
 
-        found = _each(retiled(found, slab), pass_)
+        found = _each(retiled(found, _slab(axis, tile)), pass_)
     return retiled(_each(found, np.sqrt), tile)
 
 
@@ -438,6 +434,81 @@ def thinned(tiles: DataFrame, tile: tuple = TILE) -> DataFrame:
         left, before = new, now
 
 
+def _slab(axis: int, tile: tuple) -> Callable[[list[int]], tuple]:
+    """Tiles that are whole along an axis, with about as many voxels as a tile."""
+
+    def of(shape: list[int]) -> tuple:
+        side = max(1, math.isqrt(math.prod(tile) // shape[axis]))
+        return tuple(n if i == axis else min(n, side) for i, n in enumerate(shape))
+
+    return of
+
+
+def resized(tiles: DataFrame, factors: tuple, tile: tuple = TILE) -> DataFrame:
+    """Volumes with so many times as many voxels along each axis, rounded half to even, at least one: by cubic splines, smoothed
+    before where an axis shrinks, within the values' range, and of their type.
+
+    Axis by axis, over tiles that are whole along it; the range comes from one aggregate.
+    """
+    tiles = _kept(tiles)
+
+    def ends(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                a = unpacked(row)
+                yield pd.DataFrame({"image_id": [row["image_id"]], "least": [float(a.min())], "most": [float(a.max())], "kind": [row["dtype"]]})
+
+    found = _each(tiles, lambda a: a.astype(np.float64))
+    for axis, factor in enumerate(factors):
+
+        def run(batches, axis: int = axis, factor: float = factor):
+            for pdf in batches:
+                for row in pdf.to_dict("records"):
+                    shape = [int(n) for n in row["shape"]]
+                    shape[axis] = volume.resized_shape((shape[axis],), (factor,))[0]
+                    yield pd.DataFrame([packed(row["image_id"], shape, row["low"], volume.recut(unpacked(row), shape[axis], axis))])
+
+        found = retiled(found, _slab(axis, tile)).mapInPandas(run, SCHEMA)
+
+    def clipped(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                yield pd.DataFrame([packed(row["image_id"], row["shape"], row["low"], np.clip(unpacked(row), row["least"], row["most"]).astype(row["kind"]))])
+
+    bounds = tiles.mapInPandas(ends, "image_id string, least double, most double, kind string").groupBy("image_id").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("kind").alias("kind"))
+    cells = retiled(found, tile).withColumn("_image", F.to_json(F.struct("image_id")))
+    return cells.join(bounds.withColumn("_image", F.to_json(F.struct("image_id"))).drop("image_id"), "_image").drop("_image").mapInPandas(clipped, SCHEMA)
+
+
+def margins_cut(tiles: DataFrame, low: tuple, high: tuple, tile: tuple = TILE) -> DataFrame:
+    """Volumes without so many voxels before and behind along each axis, moved to the origin; what would have none left has no row."""
+    importable(tiles.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                shape = [int(n) - a - b for n, a, b in zip(row["shape"], low, high, strict=True)]
+                first = [max(int(p), a) for p, a in zip(row["low"], low, strict=True)]
+                last = [min(int(p) + int(s), int(n) - b) for p, s, n, b in zip(row["low"], row["size"], row["shape"], high, strict=True)]
+                if min(shape) > 0 and all(f < e for f, e in zip(first, last, strict=True)):
+                    part = unpacked(row)[tuple(slice(f - p, e - p) for f, e, p in zip(first, last, row["low"], strict=True))]
+                    yield pd.DataFrame([packed(row["image_id"], shape, [f - a for f, a in zip(first, low, strict=True)], part)])
+
+    return retiled(tiles.mapInPandas(run, SCHEMA), tile)
+
+
+def fitted_masks(planes: DataFrame, height: int, width: int) -> DataFrame:
+    """Plane masks (tiles of one plane an image) brought to a size: see volume.fitted_mask."""
+    importable(planes.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                yield pd.DataFrame([packed(row["image_id"], [1, height, width], [0, 0, 0], volume.fitted_mask(unpacked(row)[0], height, width)[None])])
+
+    return planes.mapInPandas(run, SCHEMA)
+
+
 def projected(tiles: DataFrame) -> DataFrame:
     """Which columns (image_id, y, x) have a set voxel, as tiles of one plane."""
 

@@ -175,6 +175,70 @@ def resized(a: np.ndarray, factors: tuple) -> np.ndarray:
     return out
 
 
+_POLE = np.sqrt(3.0) - 2  # of the cubic spline's filter
+
+
+def spline(a: np.ndarray, axis: int) -> np.ndarray:
+    """Coefficients of the cubic spline through the values along an axis, mirrored at its ends (Unser, 1999)."""
+    c = np.moveaxis(a, axis, 0).astype(np.float64) * 6
+    n = len(c)
+    if n == 1:
+        return a.astype(np.float64)
+    mirror = np.concatenate([c, c[-2:0:-1]])
+    powers = _POLE ** np.arange(len(mirror))
+    c[0] = np.tensordot(powers, mirror, (0, 0)) / (1 - _POLE ** len(mirror))
+    for i in range(1, n):
+        c[i] += _POLE * c[i - 1]
+    c[-1] = _POLE / (_POLE**2 - 1) * (_POLE * c[-2] + c[-1])
+    for i in range(n - 2, -1, -1):
+        c[i] = _POLE * (c[i + 1] - c[i])
+    return np.moveaxis(c, 0, axis)
+
+
+def recut(a: np.ndarray, m: int, axis: int) -> np.ndarray:
+    """m values along an axis, at the centres of as many equal cells, by a cubic spline; smoothed before where it shrinks."""
+    n, out = a.shape[axis], a.astype(np.float64)
+    half = max(0.0, (n / m - 1) / 2)
+    if half > 0:
+        r = int(4 * half + 0.5)
+        k = np.exp(-0.5 * (np.arange(-r, r + 1) / half) ** 2)
+        out = sum(w * np.take(out, _mirrored(np.arange(n) + d, n), axis) for w, d in zip(k / k.sum(), range(-r, r + 1), strict=True))
+    if n == m:
+        return out
+    c, at = spline(out, axis), (np.arange(m) + 0.5) * n / m - 0.5
+    low = np.floor(at).astype(int)
+    t = (at - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+    weights = ((1 - t) ** 3 / 6, (4 - 6 * t**2 + 3 * t**3) / 6, (1 + 3 * t + 3 * t**2 - 3 * t**3) / 6, t**3 / 6)
+    return sum(w * np.take(c, _mirrored(low + d, n), axis) for w, d in zip(weights, (-1, 0, 1, 2), strict=True))
+
+
+def _mirrored(i: np.ndarray, n: int) -> np.ndarray:
+    """Places of an axis continued by its mirror image, the end values not repeated."""
+    if n == 1:
+        return np.zeros_like(i)
+    i = np.abs(i) % (2 * n - 2)
+    return np.where(i < n, i, 2 * n - 2 - i)
+
+
+def cubic(a: np.ndarray, shape: tuple) -> np.ndarray:
+    """An array of another shape by cubic splines, within the values' range and of their type (whole numbers are cut off)."""
+    out = a
+    for axis, m in enumerate(shape):
+        out = recut(out, m, axis)
+    return np.clip(out, a.min(), a.max()).astype(a.dtype)
+
+
+def fitted_mask(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A plane mask brought to a size, cut at one half, then padded with nothing or cropped to it; nothing of an empty plane."""
+    if mask.ndim != 2 or not mask.size:
+        return np.zeros((height, width), bool)
+    shape = resized_shape(mask.shape, (height / mask.shape[0], width / mask.shape[1]))
+    out = np.zeros((height, width), bool)
+    found = cubic(mask.astype(np.float32), shape)[:height, :width] > 0.5
+    out[: found.shape[0], : found.shape[1]] = found
+    return out
+
+
 _NEAR = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)])
 _TOUCH = (np.abs(_NEAR[:, None] - _NEAR[None]).max(axis=2) == 1).astype(np.float32)
 _FACE = (np.abs(_NEAR[:, None] - _NEAR[None]).sum(axis=2) == 1).astype(np.float32)

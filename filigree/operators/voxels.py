@@ -159,6 +159,23 @@ def union_masks(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def common_mask(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The cells that both masks (of the same columns) have."""
+    return a.join(b.select(*a.columns).distinct(), a.columns, "left_semi").distinct()
+
+
+def mask_less(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The cells of a mask that another hasn't."""
+    return a.join(b.select(*a.columns).distinct(), a.columns, "left_anti").distinct()
+
+
+def complement(mask: DataFrame, images: DataFrame, height: int, width: int) -> DataFrame:
+    """The cells (image_id, y, x) of each image's plane that a mask hasn't."""
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = images.select(IMAGE).distinct().withColumn("y", axis(height)).withColumn("x", axis(width))
+    return every.join(mask.select(IMAGE, "y", "x").distinct(), [IMAGE, "y", "x"], "left_anti")
+
+
 def largest_component(labelled: DataFrame, label: str = "label") -> DataFrame:
     """Of each image the label with most rows; of equally large ones the least."""
     sizes = labelled.groupBy(IMAGE, label).agg(F.count(F.lit(1)).alias("area"))

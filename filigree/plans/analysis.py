@@ -168,6 +168,27 @@ def analyse(volumes: DataFrame, shape: tuple[int, int, int], mask: DataFrame | N
     }
 
 
+def stopped(images: DataFrame, mask: DataFrame, pixels: int, votes: DataFrame, cells: DataFrame | None = None, shape: tuple | None = None, strong: int = 2, most: float = 0.75) -> DataFrame:
+    """(image_id, category, body) of images that the pipeline stops for, each with the first of four reasons, in the order of its stages.
+
+    organoid_too_large: over 40 % of the plane's pixels are masked. no_valid_z_range: no plane has a vote. no_strong_vote_planes: none has
+    more than `strong` votes. all_slices_trimmed (where voxels `cells` and their shape are given): each slice is filled to more than
+    `most`; body lists the slices. images: (image_id) of all jobs.
+    """
+    large = voxels.coverage_guard(mask, pixels, 0.4).filter("too_large").select(IMAGE, F.lit(1).alias("n"), F.lit("organoid_too_large").alias("category"), F.format_string("Masked: %.1f%% of the image.", F.col("fraction") * 100).alias("body"))
+    any_vote = votes.filter(F.col("votes") > 0).select(IMAGE).distinct()
+    none = images.select(IMAGE).join(any_vote, IMAGE, "left_anti").select(IMAGE, F.lit(2).alias("n"), F.lit("no_valid_z_range").alias("category"), F.lit("No plane has a vote.").alias("body"))
+    weak = any_vote.join(votes.filter(F.col("votes") > strong).select(IMAGE).distinct(), IMAGE, "left_anti").select(IMAGE, F.lit(3).alias("n"), F.lit("no_strong_vote_planes").alias("category"), F.format_string("No plane has more than %d votes.", F.lit(strong)).alias("body"))
+    parts = [large, none, weak]
+    if cells is not None:
+        fill = cells.groupBy(IMAGE, "z").agg((F.count(F.lit(1)) / (shape[1] * shape[2])).alias("fill"))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "fill"))), lambda s: F.format_string("slice %4d: %.4f", s["z"], s["fill"])), "\n")
+        over = fill.groupBy(IMAGE).agg(F.count_if(F.col("fill") > most).alias("over"), lines.alias("body")).filter(F.col("over") == shape[0])  # slices of an image
+        parts.append(over.select(IMAGE, F.lit(4).alias("n"), F.lit("all_slices_trimmed").alias("category"), "body"))
+    every = cohort.union_all(parts).join(images.select(IMAGE).distinct(), IMAGE, "left_semi")
+    return every.groupBy(IMAGE).agg(F.min_by(F.struct("category", "body"), "n").alias("r")).select(IMAGE, "r.category", "r.body")
+
+
 def guarded(cells: DataFrame, votes: DataFrame, mask: DataFrame, pixels: int) -> DataFrame:
     """(image_id, category) of images that the analysis stops for: the mask is too large, or no run of strong votes."""
     from filigree.operators import runs

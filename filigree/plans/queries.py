@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions import geometry, labels, stats
-from filigree.operators import cohort, focus, graph, metrics, runs, tiles, volume, voxels
+from filigree.operators import cohort, crop, focus, graph, metrics, runs, tiles, volume, voxels
 from filigree.plans import analysis
 from filigree.plans.fixtures import SHAPE, SOLID, STACK, Fixtures, with_views
 from filigree.schemas import CURATED_PANEL
@@ -522,3 +522,20 @@ def _(fx):
 def _(fx):
     planes = stored(tiles.from_voxels(fx.stack(), STACK, (1, *STACK[1:]), "value"), "planes")
     return tiles.voxels(focus.refocused(planes, focus.surfaces(planes, 5, 12)))
+
+
+@query("q70_tiled_skeletons")
+def _(fx):
+    return analysis.tiled_skeletons(fx.solid(), SOLID, None, sigma=0.7, tile=TILE).select("image_id", "z", "y", "x", "in_skeleton", F.round("area", 6).alias("area"))
+
+
+@query("q71_hull_cells")
+def _(fx):
+    return volume.hull_cells(fx.solid()).groupBy("image_id", "z", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q72_crop_without_necks")
+def _(fx):
+    p = fx.table("part").selectExpr("cast(p_partkey % 3 AS string) AS image_id", "cast(p_partkey % 97 AS int) AS y", "p_size + cast(p_partkey % 97 / 3 AS int) AS x").distinct()
+    found = crop.without_necks(p).select("image_id", "angle", F.posexplode("corners").alias("corner", "p"))
+    return rounded(found.select("image_id", "angle", "corner", "p.x", "p.y"), 6, "angle", "x", "y")

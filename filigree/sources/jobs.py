@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -97,6 +99,48 @@ def curated(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'curated' AND inner_corners IS NOT NULL")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a run needs; checked() tells what is wrong with it."""
+
+    source: str
+    output: str
+    translation_model: str
+    segmentation_model: str
+    device_width_um: float
+    skip: str | None = None
+    channel: int = 0
+    merged_only: bool = False
+
+    def checked(self, spark: SparkSession) -> list[str]:
+        """Messages for a missing source or model, an empty output and a width that isn't above 0; none if the run can start.
+
+        Paths are looked up by Spark, wherever they are; a skip folder that doesn't exist counts as none.
+        """
+
+        def exists(path: str) -> bool:
+            try:
+                spark.read.format("binaryFile").load(path).select("path").schema  # noqa: B018, resolves the path, reads nothing
+                return bool(path)
+            except AnalysisException:
+                return False
+
+        tests = {
+            "the source folder must exist": bool(self.source) and exists(self.source), "an output folder is needed": self.output not in ("", "."), "the device's width must be above 0": self.device_width_um > 0,
+            "the translation model must exist": bool(self.translation_model) and exists(self.translation_model), "the segmentation model must exist": bool(self.segmentation_model) and exists(self.segmentation_model),
+        }
+        return [message for message, good in tests.items() if not good]
+
+
+def finished(jobs: DataFrame, done: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
+    """The jobs, once all are curated or skipped, after the callback has had them; None before."""
+    if not may_finish(jobs).first()["done"]:
+        return None
+    if done:
+        done(jobs)
+    return jobs
+
+
 def may_finish(jobs: DataFrame) -> DataFrame:
     """One row: whether every job is curated or skipped, and how many have each status."""
     return jobs.agg(F.bool_and(F.col("status").isin("curated", "skip")).alias("done"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "curated", "skip", "failed")))

@@ -11,6 +11,7 @@ import pytest
 from filigree.operators import volume
 from filigree.plans.fixtures import SOLID, STACK, Fixtures
 from filigree.plans.queries import ORACLE_SQL, QUERIES, SHARE, WINDOW, contrast
+from tests.test_outputs import plain_crop
 from tests.test_focus import plain_refocus, plain_surface
 from tests.test_tiles import flood, plain_blend
 
@@ -231,7 +232,43 @@ def bent_flat(fx, found):
     return got.keys() == want.keys() and all(np.array_equal(got[k], plain_refocus(a, plain_surface(a, 5, 12))) for k, a in want.items())
 
 
+def thin(fx, found):
+    want = {}
+    for image, a in whole(fx.solid(), SOLID).items():
+        solid = volume.filled(volume.smoothed(a > 0, 0.7))
+        thin, deep, flat = volume.thinned(solid), volume.distance(solid, (2.0, 2.0, 2.0)), volume.distance((a > 0).any(axis=0), (2.0, 2.0))
+        for z, y, x in np.argwhere(solid).tolist():
+            want[image, z, y, x] = (thin[z, y, x], np.pi * flat[y, x] * deep[z, y, x] if thin[z, y, x] else math.nan)
+    got = rows(found, "image_id", "z", "y", "x")
+    return near({k: v[:1] for k, v in got.items()}, {k: v[:1] for k, v in want.items()}) and all(np.allclose(got[k][1], want[k][1], atol=1e-6, equal_nan=True) for k in want)
+
+
+def hull_rows(fx, found):
+    want = {}
+    for image, a in whole(fx.solid(), SOLID).items():
+        at = np.argwhere(a)
+        planes, cells = volume.hull_planes(at), np.argwhere(np.ones(SOLID))
+        inside = cells[(cells @ planes[:, :3].T <= planes[:, 3] + 1e-9).all(1)]
+        for (z, y), n in zip(*np.unique(inside[:, :2], axis=0, return_counts=True), strict=True):
+            want[image, int(z), int(y)] = (int(n),)
+    return near(rows(found, "image_id", "z", "y"), want)
+
+
+def cropped(fx, found):
+    cells, want = defaultdict(set), {}
+    for r in fx.table("part").selectExpr("p_partkey AS k", "p_size AS s").collect():
+        cells[str(r["k"] % 3)].add((r["k"] % 97, r["s"] + r["k"] % 97 // 3))
+    for image, at in cells.items():
+        mask = np.zeros(np.array(list(at)).max(axis=0) + 1, bool)
+        mask[tuple(np.array(list(at)).T)] = True
+        angle, corners = plain_crop(mask, mask)
+        want |= {(image, i): (angle, *p) for i, p in enumerate(corners)}
+    got = {k: (v[0], *v[1:]) for k, v in rows(found, "image_id", "corner").items()}
+    return got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
+
+
 BRUTE = {
+    "q70_tiled_skeletons": thin, "q71_hull_cells": hull_rows, "q72_crop_without_necks": cropped,
     "q66_tiled_smooth_fill": smooth_fill, "q67_tiled_components": connected, "q68_blended_windows": blend, "q69_refocused_stack": bent_flat,
     "q31_focus_plane_lsq": surface, "q32_leaf_peel_fixpoint": peel, "q33_contract_degree2": contract, "q34_branch_only_graph": lambda fx, found: contract(fx, found, False),
     "q38_skeleton_nn": along, "q47_pca_scores": scores, "q47a_pca_importance": importance, "q51_top_discriminating": discriminating, "q60_hull_volume": hull,
