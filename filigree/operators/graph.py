@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,8 +140,13 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
     """For each node (with `sprout`): distances to the nearest other junction and tip, and how many lie within the radius.
 
     Distances stay NULL and counts 0 where there is no other node of the kind; where an image has one kind only, nodes
-    see their own kind only. An image's nodes are dealt to tasks by shares of about `share`, each of which meets all nodes of
-    the image, a block of bounded memory at a time: a large image is many tasks. Node numbers are unique in an image.
+    see their own kind only. Node numbers are unique in an image.
+
+    An image's nodes are dealt to tasks by shares of about `share`, a block of distances of bounded memory at a time. Up to
+    27 shares each meet all nodes of the image. Larger images are cut into cells of the radius, and a share meets its
+    cell and the 26 around it; what is nearest there is nearest, if it is no further than a cell is wide. Nodes that find
+    nothing so near look again in cells four times as wide, and so on until a cell holds the image: few do, and how many is all
+    that the driver sees, with the widest extent.
     """
     importable(nodes.sparkSession)
 
@@ -170,12 +177,41 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
     kind = nodes.schema[IMAGE].dataType.simpleString()
     schema = f"{IMAGE} {kind}, node_id long, degree long, sprout boolean, dist_nearest_junction double, num_junction_neighbors long, dist_nearest_endpoint double, num_endpoint_neighbors long"
     n = nodes.select(IMAGE, "node_id", "z", "y", "x", "degree", "sprout")
-    parts = n.groupBy(IMAGE).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_parts"))
-    cut = n.join(parts, IMAGE)
-    own = cut.withColumn("_part", F.pmod(F.xxhash64("node_id"), "_parts").cast("int")).drop("_parts")
-    every = cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "degree")
-    every = every.toDF(*(f"o_{c}" for c in every.columns))  # names of their own: both sides stem from one table
-    return own.groupBy(IMAGE, "_part").cogroup(every.groupBy(f"o_{IMAGE}", "o__part")).applyInPandas(near, schema)
+    sizes = n.groupBy(IMAGE).agg((F.count(F.lit(1)) > 27 * share).alias("_large"))
+
+    def met(own: DataFrame, every: DataFrame, side: float) -> DataFrame:
+        cells = [F.when(F.col("_large"), F.floor(F.col(c) * float(s) / side)).otherwise(0).cast("long").alias(f"_c{c}") for c, s in zip("zyx", voxel, strict=True)]
+        keys = ["_cz", "_cy", "_cx"]
+        own, every = own.select("*", *cells), every.select("*", *cells)
+        parts = own.groupBy(IMAGE, *keys).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_parts"))
+        own = own.join(parts, [IMAGE, *keys]).withColumn("_part", F.pmod(F.xxhash64("node_id"), "_parts").cast("int"))
+        steps = F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip("zyx", o, strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))
+        around = every.withColumn("_o", F.explode(F.when(F.col("_large"), steps).otherwise(F.array(F.struct(*(F.lit(0).alias(c) for c in "zyx"))))))
+        around = around.withColumns({f"_c{c}": F.col(f"_c{c}") + F.col(f"_o.{c}") for c in "zyx"}).join(parts, [IMAGE, *keys])
+        around = around.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(IMAGE, "node_id", "z", "y", "x", "sprout", *keys, "_part")
+        around = around.toDF(*(f"o_{c}" for c in around.columns))  # names of their own: both sides stem from one table
+        own = own.select(IMAGE, "node_id", "z", "y", "x", "degree", "sprout", *keys, "_part")
+        return own.groupBy(IMAGE, *keys, "_part").cogroup(around.groupBy(*(f"o_{c}" for c in (IMAGE, *keys, "_part")))).applyInPandas(near, schema)
+
+    cut = n.join(sizes, IMAGE)
+    extent = cut.filter("_large").groupBy(IMAGE).agg(F.greatest(*((F.max(c) - F.min(c)) * float(s) for c, s in zip("zyx", voxel, strict=True))).alias("e")).agg(F.max("e")).first()[0]
+    found = met(cut, cut, radius)
+    if extent is None:  # no large image
+        return found
+    found, side, better = stored(found, "near"), radius, []
+    kinds = ["dist_nearest_junction", "dist_nearest_endpoint"]
+    unsure = lambda df, side: df.join(sizes.filter("_large"), IMAGE, "left_semi").filter(" OR ".join(f"{k} IS NULL OR {k} > {side!r}" for k in kinds)).select(IMAGE, "node_id")
+    left = stored(unsure(found, side), "unsure")
+    while side < extent and left.take(1):
+        side *= 4
+        again = stored(met(cut.join(left, [IMAGE, "node_id"], "left_semi"), cut, side), "near")
+        better.append(again.select(IMAGE, "node_id", *kinds, F.lit(len(better)).alias("_n")))
+        left = stored(unsure(again, side), "unsure")
+    if not better:
+        return found
+    last = reduce(DataFrame.unionByName, better).groupBy(IMAGE, "node_id").agg(F.max_by(F.struct(*kinds), "_n").alias("_last"))
+    out = found.join(last, [IMAGE, "node_id"], "left")
+    return out.withColumns({k: F.when(F.col("_last").isNotNull(), F.col(f"_last.{k}")).otherwise(F.col(k)) for k in kinds}).select(*found.columns)
 
 
 def along_skeleton(edges: DataFrame, nodes: DataFrame) -> DataFrame:

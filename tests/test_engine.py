@@ -293,6 +293,31 @@ def packed(spark, *named):
     return spark.createDataFrame(rows, volume.SCHEMA)
 
 
+def test_neighbours_by_cells(spark):
+    """Large images by cells: clusters, a node far from all, an image of one kind; against all distances."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for image, n in (("big", 400), ("tips", 120), ("small", 20)):
+        centre = rng.integers(0, 400, (6, 3))
+        at = centre[rng.integers(0, 6, n)] + rng.integers(-9, 10, (n, 3))
+        at[0] = (3000, 10, 10)  # on its own
+        rows += [(image, 1000 + i, *map(int, p), 1, bool(image == "tips" or rng.random() < 0.3)) for i, p in enumerate(at)]
+    df = spark.createDataFrame(rows, "image_id string, node_id long, z int, y int, x int, degree long, sprout boolean")
+    got = {(r["image_id"], r["node_id"]): r for r in graph.neighbours(df, radius=25.0, share=4).collect()}
+    assert len(got) == len(rows)
+    for image in ("big", "tips", "small"):
+        own = [r for r in rows if r[0] == image]
+        p, tip = np.array([r[2:5] for r in own]) * 2.0, np.array([r[6] for r in own])
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        for i, r in enumerate(own):
+            for name, kind in (("junction", ~tip), ("endpoint", tip)):
+                x = d[i][kind]
+                best = x.min() if len(x) and np.isfinite(x.min()) else None
+                assert got[image, r[1]][f"dist_nearest_{name}"] == (None if best is None else pytest.approx(best)), (image, r[1], name)
+                assert got[image, r[1]][f"num_{name}_neighbors"] == (x <= 25.0).sum()
+
+
 def test_whole_analysis(spark):
     """By hand: 4 junctions, 8 sprouts, and without sprouts a ring of 280 voxels in 3 edges (the last node can't go)."""
     from filigree.plans.analysis import analyse
