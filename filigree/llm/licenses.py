@@ -175,7 +175,8 @@ def passages(docs: DataFrame, texts: dict[str, str] = TEMPLATES, percent: int =
 
     first is the number of the run's first word from 0, among the runs of a-z, A-Z and 0-9 of the whole text. Of a
     template's matches the one with the greatest Dice comes first, then the shortest, then the first; others that share a
-    word with it go, and so on with the rest. Null and empty texts have none. Rows stay as they are; nothing is shuffled.
+    word with it go, and so on with the rest. Null and empty texts have none. Rows, repeated ones and those with null ids too,
+    stay as they are but for a column of that name, which gives way; nothing is shuffled.
     """
     kind = "array<struct<first:int,words:int,license:string,dice:double>>"
     known = {k: sorted(" ".join(g) for g in grams) for k, v in texts.items() if (grams := _pairs_of(v))}
@@ -199,8 +200,10 @@ def passages(docs: DataFrame, texts: dict[str, str] = TEMPLATES, percent: int =
     out = F.sort_array(_let(pairs(F.col("_words")), within))
     # words are made once, before any lambda
     words = F.when(has_telling(F.col(text), telling_words(texts, percent)), normalised(F.col(text)))
-    table = docs.withColumn("_words", words)
-    return table.withColumn("passages", F.coalesce(out, F.array()).cast(kind)).drop("_words")
+    kept = [c for c in docs.columns if c != "passages"]
+    table = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), words.alias("_words"))
+    table = table.select("_row", F.coalesce(out, F.array()).cast(kind).alias("_found"))
+    return table.select(*(F.col("_row").getField(c).alias(c) for c in kept), F.col("_found").alias("passages"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
