@@ -130,7 +130,8 @@ def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             rows = [np.frombuffer(b"".join(map(bytes.fromhex, x)), np.uint8).reshape(len(x), ENTRIES + 1) for x in (mine, after)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_row(texts, rows[0], following, rows[1])], names=["key", *names[4:]])
 
-    dealt = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, F.xxhash64(text))
+    # by the text's hash too: rows of one key, or without one, spread over tasks
+    dealt = docs.select(key, text).repartitionByRange(F.col(key), F.xxhash64(text)).sortWithinPartitions(key, F.xxhash64(text))
     rows = stored(arrow_map(dealt, walk, f"key {kind}, part int, border int, text string, {COLUMNS}"), "fingerprints")
     heads = rows.filter("border = 1").select("part", F.col("text").alias("following"), F.col("fingerprint").alias("after"))
     parts = sorted(x[0] for x in heads.select("part").collect())  # one number for each partition
