@@ -22,6 +22,8 @@ from filigree.sources.workers import trim
 
 #: Labelled rows that the fit reads at most (a third of them toxic, if there are so many), and features it keeps at most.
 SAMPLE, FEATURES = 12_000, 4096
+#: Bytes of the training sample's texts, at most.
+BYTES = 256 << 20
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 STOP, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -178,8 +180,19 @@ def held_out(key: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows that aren't held out, a third of them toxic if there are so many.
+def _within(rows: list, most: int) -> list:
+    """Rows (id, label, bytes) in their order, without those that would take the sum of bytes beyond a bound."""
+    out, held = [], 0
+    for row in rows:
+        if held + (row[2] or 0) <= most:
+            out.append(tuple(row)[:2])
+            held += row[2] or 0
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Fits on at most `sample` labelled rows that aren't held out, a third of them toxic if there are so many, with texts of at
+    most `most` bytes in all: a text that would go beyond that is left out of the sample, as the driver couldn't hold it.
 
     Which rows is settled by a hash of their ids; classes are weighted back to their shares among the documents' labels. Null ids,
     labels other than 0 and 1, and labels without a document don't count; the greatest of several labels does.
@@ -191,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(positive).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample - positive))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = docs.sparkSession.createDataFrame([tuple(x) for x in chosen.collect()], f"doc_id {kind}, toxic int")  # at most `sample` rows
+    # of an id's rows all texts are learned from, so their bytes count together
+    bytes_ = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    rows = bytes_.orderBy(order, "doc_id").collect()  # at most `sample` rows
+    ids = docs.sparkSession.createDataFrame(_within(rows, most), f"doc_id {kind}, toxic int")
     table = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").select("text", "toxic").toArrow()
     y = table.column("toxic").to_numpy().astype(np.int64)
     n = np.bincount(y, minlength=2)

@@ -285,6 +285,9 @@ def test_licence_passages_wrapped_and_embedded(spark):
     assert sum((i, name) not in lines for i, name in enumerate(named) if i % 3 == 0) >= 8
     assert len(found[36]) == 9
     assert all(r["passages"] == [] for r in licenses.passages(docs, {}).collect())
+    own = licenses.passages(docs.selectExpr("doc_id", "text", "'mine' AS _words", "'old' AS passages", "'r' AS _row", "'f' AS _found"))
+    assert {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in own.collect()} == found
+    assert {tuple(r) for r in own.select("_words", "_row", "_found").collect()} == {("mine", "r", "f")}
 
 
 def test_passages_in_many_tasks(spark):
@@ -407,3 +410,24 @@ def test_packing_keeps_other_columns_and_repeated_rows(spark, way):
     assert way(docs.limit(0), 100, ["doc_id"]).collect() == []
     with pytest.raises(ValueError):
         way(docs, 20, ["doc_id"])
+
+
+def test_the_training_sample_is_bounded_in_bytes(spark):
+    """A text that is too long for the sample is left out of it; the others are learned from as before."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("fine", "good", "day", "tree")) for _ in range(30)) + (" vile." if i % 3 == 0 else "."), i % 3 == 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in rows] + [(999, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    long = docs.unionByName(spark.createDataFrame([(999, "vile " * 100_000)], docs.schema))
+    a, b = toxicity.train(docs, labels), toxicity.train(long, labels, most=100_000)
+    assert np.array_equal(a.hashes, b.hashes) and np.allclose(a.weights, b.weights, rtol=0.05)  # but for the classes' shares
+    assert toxicity._within([(1, 0, 60), (2, 1, 50), (3, 0, 40), (4, 0, None)], 100) == [(1, 0), (3, 0), (4, 0)]
+
+
+def test_rows_without_ids_spread_over_tasks(spark):
+    """All ids null: texts are dealt by their hashes; pairs of a key's texts are as they were."""
+    docs = spark.range(4000).selectExpr("cast(NULL AS long) AS doc_id", "concat('some words of text number ', id) AS text")
+    with_edits = fingerprints.with_edits(docs)
+    assert with_edits.count() == 4000
+    dealt = docs.repartitionByRange(4, F.col("doc_id"), F.xxhash64("text"))
+    assert dealt.groupBy(F.spark_partition_id()).count().count() == 4
