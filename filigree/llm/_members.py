@@ -23,3 +23,9 @@ def members(df: DataFrame, column: str):
 def may_have(table: np.ndarray, number: int) -> bool:
     slot = (number & 0xFFFFFFFFFFFFFFFF) >> 64 - BITS
     return bool(table[slot >> 3] >> (slot & 7) & 1)
+
+
+def may_have_each(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """may_have() of each of an array of unsigned 64-bit numbers."""
+    slot = numbers >> np.uint64(64 - BITS)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from filigree.llm import _words
 from filigree.llm._graph import components
+from filigree.llm._members import may_have_each, members
 from filigree.llm._scratch import arrow_map, stored
 from filigree.llm._words import U, Words
 
@@ -145,18 +146,23 @@ def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pairs (a, b, jaccard), a < b, verified: links that connect all documents whose Jaccard is enough and that share a bucket.
 
-    Equal signatures in a band of `rows_per_band` entries put documents in a bucket. Each member is first held against the
+    Documents with equal sets are one class: the least key stands for it, and has a pair with each other one. Equal
+    signatures in a band of `rows_per_band` entries put classes in a bucket. Each member is first held against the
     bucket's least key; the pairs that pass connect documents. Then, in each bucket, the members outside its largest connected
     part are held against all members that they aren't connected with. Two documents that nothing connects yet include one
     of those, so no link is lost; within a part not all pairs are listed. A bucket of near copies gives about as many pairs
     as it has members, one of texts that are all unlike each other gives the square of it to verify. Jaccard is exact, on the
-    hashed sets of five-word shingles. Rows without words or with a null key have no pairs.
+    hashed sets of five-word shingles. Rows without words or with a null key have no pairs. Of a key given with several
+    texts each counts, and a pair's greatest Jaccard does.
+
+    Only bands that two classes share, and sets of documents that are in a pair to verify, are shuffled: bit tables of bounded
+    size, broadcast, keep the others back.
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in _words.each(batch.column(1)):
+            for a, _, words in _words.each(batch.column(1)):
                 entries, n = signatures(words)
                 full = np.flatnonzero(n)
                 grouped = entries[full].astype(U).reshape(len(full), ENTRIES // rows_per_band, rows_per_band)
@@ -164,16 +170,21 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
                 for i in range(rows_per_band):
                     keys = _words.mix(keys * U(_words.WORD_BASE) + grouped[:, :, i])
                 hashes, offsets = words.shingles(words.hashes(fold=True), SHINGLE)
-                sizes = np.array([len(np.unique(hashes[offsets[i] : offsets[i + 1]])) for i in full], np.int64)
-                at = np.repeat(full + a, grouped.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(sizes, grouped.shape[1]))], names=["key", "band", "size"])
+                sets = [np.unique(hashes[offsets[i] : offsets[i + 1]]) for i in full]
+                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + a)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["key", "size", "digest", "bands"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in _words.each(batch.column(1)):
-                hashes, offsets = words.shingles(words.hashes(fold=True), SHINGLE)
-                found = [np.unique(hashes[i:j]).tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["key", "grams"])
+            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            row = np.repeat(np.arange(batch.num_rows), bands.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(bands.reshape(-1))], names=["key", "size", "band"])
+
+    def shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), U).reshape(batch.num_rows, -1)
+            row, column = np.nonzero(may_have_each(filters.value, bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(bands[row, column].view(np.int64))], names=["key", "size", "band"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,25 +196,44 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, rows_per_band: int = 4,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
-    grams = arrow_map(docs, sets, f"key {kind}, grams binary")
-    members = stored(arrow_map(docs, bands, f"key {kind}, band long, size long").distinct(), "bands")
+    rows = stored(arrow_map(docs, features, f"key {kind}, size long, digest binary, bands binary"), "features")
+    firsts = rows.groupBy("digest").agg(F.min("key").alias("a"))
+    copies = rows.select("digest", F.col("key").alias("b")).join(firsts, "digest").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    classes = stored(rows.groupBy("digest").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")).select("key", "size", "bands"), "classes")
+    banded = f"key {kind}, size long, band long"
+    least = arrow_map(classes, every_band, banded).groupBy("band").agg(F.min(F.struct("key", "size")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    least = stored(least.select("band", F.col("m.key").alias("a"), F.col("m.size").alias("other")), "least")
+    filters = members(least, "band")
+    # what the table lets pass in error is dropped by this join
+    shared = stored(arrow_map(classes, shared_bands, banded).join(least.select("band"), "band", "left_semi").distinct(), "bands")
     alike = F.least("size", "other") / F.greatest("size", "other") >= threshold  # sizes bound Jaccard
 
     def verified(pairs: DataFrame) -> DataFrame:
+        wanted = members(pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.xxhash64("key").alias("h")), "h")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(may_have_each(wanted.value, batch.column(2).to_numpy().view(U))))
+                for a, b, words in _words.each(batch.column(1)):
+                    hashes, offsets = words.shingles(words.hashes(fold=True), SHINGLE)
+                    found = [np.unique(hashes[i:j]).tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["key", "grams"])
+
+        grams = arrow_map(docs.select("key", "text", F.xxhash64("key").alias("h")), sets, f"key {kind}, grams binary")
         both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-        return arrow_map(both.select("a", "b", "x", "y"), verify, f"a {kind}, b {kind}, jaccard double").filter(F.col("jaccard") >= threshold)
+        found = arrow_map(both.select("a", "b", "x", "y"), verify, f"a {kind}, b {kind}, jaccard double").filter(F.col("jaccard") >= threshold)
+        return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
-    least = members.groupBy("band").agg(F.min(F.struct("key", "size")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    least = least.select("band", F.col("m.key").alias("a"), F.col("m.size").alias("other"))
-    stars = stored(members.join(least, "band").filter("a < key").filter(alike).select("a", F.col("key").alias("b")).distinct(), "stars")
+    stars = stored(shared.join(least, "band").filter("a < key").filter(alike).select("a", F.col("key").alias("b")).distinct(), "stars")
     first = stored(verified(stars), "pairs")
 
     parts = components(first.select("a", "b"))
-    rooted = stored(members.join(least.select("band"), "band").join(parts, members["key"] == parts["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
+    rooted = stored(shared.join(parts, shared["key"] == parts["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
     largest = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
     outside = rooted.join(largest, "band").filter("root <> main").select("band", F.col("key").alias("_key"), F.col("size").alias("other"), F.col("root").alias("_root"))
     rest = rooted.join(outside, "band").filter("root <> _root").filter(alike).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
-    return first.unionByName(verified(rest.join(stars, ["a", "b"], "left_anti")))
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    return first.unionByName(verified(rest)).unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
