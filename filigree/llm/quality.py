@@ -4,7 +4,8 @@ Each task measures each rule's cost and rejection rate on a sample of its own ro
 rules in the order of rejections per cost, each on the documents that all rules before it have let pass. A cost is what
 a rule adds to what is measured already: measures that are returned anyway are free, and those that an earlier rule has
 made as well. No pass over the table goes before, and a source whose texts differ gets an order of its own. The order changes
-the time, never the verdict.
+the time, never the verdict. Rules on letters, bullets, ellipses, long words and a word that takes over have measures of
+their own, which are made only of the documents that are left when their turn comes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 UPPERCASE = np.zeros(256, bool)
 UPPERCASE[65:91] = True
+#: Bytes of letters, as far as that is told without a language: A-Z, a-z and all of other scripts.
+LETTER = UPPERCASE.copy()
+LETTER[97:123] = LETTER[128:] = True
 
 
 class Texts:
@@ -74,9 +78,8 @@ class Texts:
     def n_upper(self) -> np.ndarray:
         return self.by_document(UPPERCASE[self.words.data])
 
-    @cached_property
-    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines with a word, and distinct ones of these, of each document."""
+    def line_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where lines with a word start and end, and their documents."""
         w = self.words
         breaks = np.flatnonzero(w.data == 10)
         starts = np.union1d(breaks + 1, w.bounds[:-1])
@@ -85,8 +88,13 @@ class Texts:
         ends = np.minimum(ends, w.bounds[np.searchsorted(w.bounds, starts, "right")])
         full = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
         starts, ends = starts[full], ends[full]
-        doc = np.searchsorted(w.bounds, starts, "right") - 1
-        keys = _words.rolling(_words._table[w.data], _words.BYTE_BASE, starts, ends)
+        return starts, ends, np.searchsorted(w.bounds, starts, "right") - 1
+
+    @cached_property
+    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and distinct ones of these, of each document."""
+        starts, ends, doc = self.line_spans()
+        keys = _words.rolling(_words._table[self.words.data], _words.BYTE_BASE, starts, ends)
         _, first = np.unique(_words.mix(keys + doc.astype(U) * U(_words.WORD_BASE)), return_index=True)
         return np.bincount(doc, minlength=len(self)), np.bincount(doc[first], minlength=len(self))
 
@@ -98,6 +106,61 @@ class Texts:
     def n_dup_lines(self) -> np.ndarray:
         return (self._lines[0] - self._lines[1]).astype(np.int64)
 
+    @cached_property
+    def _marked_lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of each document whose first word begins with a bullet, and those whose last word ends in an ellipsis."""
+        w = self.words
+        starts, ends, doc = self.line_spans()
+        at, last = w.starts[np.searchsorted(w.starts, starts)], w.ends[np.searchsorted(w.starts, ends) - 1]
+        data = np.concatenate((np.zeros(3, np.uint8), w.data, np.zeros(3, np.uint8)))  # the three bytes around any place are there
+
+        def reads(place: np.ndarray, mark: str) -> np.ndarray:
+            found = np.ones(len(place), bool)
+            for i, byte in enumerate(mark.encode()):
+                found &= data[place + 3 + i] == byte
+            return found
+
+        bullet = reads(at, "-") | reads(at, "*") | (reads(at, "•") & (last >= at + 3))
+        ellipsis = (reads(last - 3, "...") | reads(last - 3, "…")) & (last >= at + 3)
+        return tuple(np.bincount(doc[x], minlength=len(self)).astype(np.int64) for x in (bullet, ellipsis))
+
+    @cached_property
+    def n_bullets(self) -> np.ndarray:
+        return self._marked_lines[0]
+
+    @cached_property
+    def n_ellipses(self) -> np.ndarray:
+        return self._marked_lines[1]
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each document's words."""
+        return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[self.words.offsets])
+
+    @cached_property
+    def n_lettered(self) -> np.ndarray:
+        """Words with a letter."""
+        w = self.words
+        sums = np.concatenate(([0], np.cumsum(LETTER[w.data], dtype=np.int64)))
+        return self.by_word(sums[w.ends] > sums[w.starts])
+
+    @cached_property
+    def longest_word(self) -> np.ndarray:
+        """Code points of the longest word."""
+        w, out = self.words, np.zeros(len(self), np.int64)
+        some = np.flatnonzero(np.diff(w.offsets))
+        if len(some):
+            out[some] = np.maximum.reduceat(_words.characters(w.data, w.starts, w.ends), w.offsets[some])
+        return out
+
+    @cached_property
+    def n_top_word(self) -> np.ndarray:
+        """How often the commonest word is there."""
+        w, out = self.words, np.zeros(len(self), np.int64)
+        doc = np.repeat(np.arange(len(self)), np.diff(w.offsets))
+        _, first, counts = np.unique(_words.mix(w.hashes() + doc.astype(U) * U(_words.WORD_BASE)), return_index=True, return_counts=True)
+        np.maximum.at(out, doc[first], counts)
+        return out
+
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         w = self.words
@@ -131,6 +194,11 @@ RULES = (
     Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 12 * t.n_words)),
     Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
     Rule("shouting", lambda t: 2 * t.n_upper > t.word_chars),
+    Rule("letters", lambda t: 2 * t.n_lettered < t.n_words),
+    Rule("bullets", lambda t: 10 * t.n_bullets > 9 * t.n_lines),
+    Rule("ellipses", lambda t: 10 * t.n_ellipses > 3 * t.n_lines),
+    Rule("long_word", lambda t: t.longest_word > 500),
+    Rule("one_word", lambda t: 2 * t.n_top_word > t.n_words),
 )
 
 
@@ -277,11 +345,17 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         len(l) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+         len(l) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS n_lettered,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(-|\*|\x{2022})'))) AS n_bullets,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipses,
+         coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word, coalesce(list_max(map_values(list_histogram(w))), 0) AS n_top_word
   FROM w LEFT JOIN c USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND word_chars BETWEEN 2 * n_words AND 12 * n_words
-       AND NOT (2 * n_dup_lines > n_lines) AND NOT (2 * n_upper > word_chars) AS kept
+       AND NOT (2 * n_dup_lines > n_lines) AND NOT (2 * n_upper > word_chars)
+       AND NOT (2 * n_lettered < n_words) AND NOT (10 * n_bullets > 9 * n_lines) AND NOT (10 * n_ellipses > 3 * n_lines)
+       AND NOT longest_word > 500 AND NOT (2 * n_top_word > n_words) AS kept
 FROM b
 """

@@ -188,6 +188,64 @@ def test_cascade_is_ordered_by_added_cost(monkeypatch):
     assert len(quality.sampled(quality.Texts(w), 10)) == 10
 
 
+def _plain_measures(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x.strip(" \t\n\v\f\r") for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    return (
+        sum(bool(re.search(r"[A-Za-z\x80-\U0010FFFF]", x)) for x in found),
+        sum(x.startswith(("-", "*", "•")) for x in lines),
+        sum(x.endswith(("...", "…")) for x in lines),
+        max(map(len, found), default=0),
+        max((found.count(x) for x in set(found)), default=0),
+    )
+
+
+MARKED = ["", " \n ", "-", "...", "…", "•", "\xe2", "..", "a..\n.b", "- a\n * b...\n\t• c … \r\nd•", "1 2 3 4 x", "12 34\n中文 56", "x" * 600 + " y", "é" * 501, "no no no yes", "..\n.", "-\n*\n•\n\n", "…\n…a", "\x0b- a\x0c\n b...\x0c"]
+
+
+def test_rules_with_measures_of_their_own():
+    rng = random.Random(3)
+    texts = MARKED + ["".join(rng.choice("-*•….. \n\tab1é") for _ in range(rng.randrange(60))) for _ in range(400)]
+    for _, _, w in _words.each(pa.array(texts), 1 << 10):
+        t = quality.Texts(w)
+        got = list(zip(*(x.tolist() for x in (t.n_lettered, t.n_bullets, t.n_ellipses, t.longest_word, t.n_top_word)), strict=True))
+        data = bytes(w.data)
+        assert got == [_plain_measures(data[a:b].decode()) for a, b in zip(w.bounds, w.bounds[1:], strict=False)]
+
+
+def test_rules_alone_reject(spark):
+    fine = " ".join(f"word{i} and" if i % 4 == 0 else f"word{i}" for i in range(40)) + "."
+    lines = [f"line{i} is{i} of{i} some words" for i in range(12)]
+    cases = {
+        "fine": fine,
+        "letters": " ".join(str(i * 7919) for i in range(30)) + " but few words have letters",
+        "bullets": "\n".join("- " + x for x in lines),
+        "ellipses": "\n".join(x + "..." * (i % 2) for i, x in enumerate(lines)),
+        "long_word": fine + " " + "x" * 501,
+        "one_word": " ".join(f"buy buy w{i}" for i in range(30)),
+    }
+    docs = spark.createDataFrame(list(cases.items()), "doc_id string, text string")
+    for order in (True, False):
+        out = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality(docs, order=order).collect()}
+        assert out == {k: (False, k == "fine") for k in cases}
+    for name in set(cases) - {"fine"}:
+        assert {r["doc_id"] for r in quality.passing(docs, [x for x in quality.RULES if x.name == name]).collect()} == set(cases) - {name}
+
+
+def test_measures_are_made_of_what_is_left_only():
+    """In its turn, a rule with a measure of its own sees fewer rows than there are."""
+    seen = []
+
+    def dear(t):
+        seen.append(len(t))
+        return np.zeros(len(t), bool)
+
+    for _, _, w in _words.each(pa.array(["a b c"] * 10 + ["12 34"] * 90)):
+        quality.verdicts(quality.Texts(w), [quality.Rule("letters", lambda t: t.n_lettered == 0), quality.Rule("dear", dear)], np.ones(100, bool))
+    assert seen == [10]
+
+
 def test_passing_rows_are_those_of_quality(spark, awkward_dir):
     docs = spark.read.parquet(f"{awkward_dir[0]}/documents.parquet")
     kept = sorted(r["doc_id"] for r in quality.quality(docs).collect() if r["kept"])
