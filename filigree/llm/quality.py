@@ -48,18 +48,33 @@ class Texts:
         return out
 
     def take(self, rows: np.ndarray) -> Texts:
+        """Some of the documents, in this order, with the measures made so far; no word is looked for again."""
         if len(rows) == len(self):
             return self
         w = self.words
-        parts = [w.data[w.bounds[i] : w.bounds[i + 1]] for i in rows]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
-        return Texts(_words.words(np.concatenate(parts) if parts else w.data[:0], bounds))
+        sizes, counts = w.bounds[rows + 1] - w.bounds[rows], w.offsets[rows + 1] - w.offsets[rows]
+        bounds, offsets = (np.concatenate(([0], np.cumsum(x))).astype(np.int64) for x in (sizes, counts))
+        at = np.arange(offsets[-1]) + np.repeat(w.offsets[rows] - offsets[:-1], counts)
+        shift = np.repeat(w.bounds[rows] - bounds[:-1], counts)
+        data = np.concatenate([w.data[w.bounds[i] : w.bounds[i + 1]] for i in rows]) if len(rows) else w.data[:0]
+        out = Texts(Words(data, bounds, w.starts[at] - shift, w.ends[at] - shift, offsets))
+        for name, x in self.__dict__.items():
+            if name == "word_hashes":
+                out.word_hashes = x[at]
+            elif name != "words":
+                out.__dict__[name] = tuple(y[rows] for y in x) if isinstance(x, tuple) else x[rows]
+        return out
 
     def by_document(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each document are flagged."""
         sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return np.diff(sums[self.words.bounds])
 
+    @cached_property
+    def word_hashes(self) -> np.ndarray:
+        """Of words, not of documents."""
+        return self.words.hashes()
+
     @cached_property
     def n_words(self) -> np.ndarray:
         return np.diff(self.words.offsets).astype(np.int64)
@@ -157,7 +172,7 @@ class Texts:
         """How often the commonest word is there."""
         w, out = self.words, np.zeros(len(self), np.int64)
         doc = np.repeat(np.arange(len(self)), np.diff(w.offsets))
-        _, first, counts = np.unique(_words.mix(w.hashes() + doc.astype(U) * U(_words.WORD_BASE)), return_index=True, return_counts=True)
+        _, first, counts = np.unique(_words.mix(self.word_hashes + doc.astype(U) * U(_words.WORD_BASE)), return_index=True, return_counts=True)
         np.maximum.at(out, doc[first], counts)
         return out
 
@@ -167,7 +182,7 @@ class Texts:
         first, offsets = w.windows(w.starts, 5)
         if not len(first):
             return np.zeros(len(self), np.int64)
-        keys = _words.rolling(w.hashes(), _words.WORD_BASE, first, first + 5)
+        keys = _words.rolling(self.word_hashes, _words.WORD_BASE, first, first + 5)
         keys = _words.mix(keys + np.repeat(np.arange(len(self), dtype=U), np.diff(offsets)) * U(_words.WORD_BASE))
         order = np.argsort(keys)
         ranked = keys[order]
@@ -230,58 +245,35 @@ def ordered(texts: Texts, rules: Sequence[Rule]) -> list[Rule]:
             break
         out.append(left.pop(best))
         _, texts, rejected = rates[best]
-        texts = _kept(texts, np.flatnonzero(~rejected))
+        texts = texts.take(np.flatnonzero(~rejected))
     return out + left
 
 
-def _kept(texts: Texts, rows: np.ndarray) -> Texts:
-    """Some of the texts, with their measures."""
-    out = texts.take(rows)
-    if out is not texts:
-        out.__dict__.update({k: tuple(x[rows] for x in v) if isinstance(v, tuple) else v[rows] for k, v in texts.__dict__.items() if k != "words"})
-    return out
-
-
 def sampled(texts: Texts, rows: int = 256) -> Texts:
     """At most so many of the texts, at even distances, with their measures."""
-    return _kept(texts, np.unique(np.linspace(0, len(texts) - 1, min(rows, len(texts))).astype(np.int64))) if len(texts) else texts
+    return texts.take(np.unique(np.linspace(0, len(texts) - 1, min(rows, len(texts))).astype(np.int64))) if len(texts) else texts
 
 
 def verdicts(texts: Texts, rules: Sequence[Rule], alive: np.ndarray) -> np.ndarray:
-    """Which of the rows `alive` all rules let pass; each rule sees only what is left."""
+    """Which of the rows `alive` all rules let pass; each rule sees only what is left.
+
+    A view of what is left costs a copy, so one is made when a fifth of the bytes have gone.
+    """
     rows = np.flatnonzero(alive)
-    left = texts.take(rows)
+    left, at = texts, rows
     for rule in rules:
         if not len(rows):
             break
-        keep = np.flatnonzero(~rule.rejects(left))
-        if len(keep) < len(rows):
-            rows = rows[keep]
-            if len(keep) < 0.8 * len(left):  # below that, new views cost more than they save
-                left = left.take(keep)
-            else:
-                left = _Rows(left, keep)
+        sizes = np.diff(left.words.bounds)
+        if sizes[at].sum() < 0.8 * sizes.sum():
+            left, at = left.take(at), np.arange(len(at))
+        keep = ~rule.rejects(left)[at]
+        rows, at = rows[keep], at[keep]
     out = np.zeros(len(texts), bool)
     out[rows] = True
     return out
 
 
-class _Rows:
-    """Some rows of texts whose measures are there already."""
-
-    def __init__(self, texts, rows: np.ndarray):
-        self.texts, self.rows = texts, rows
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def __getattr__(self, name: str):
-        return getattr(self.texts, name)[self.rows]
-
-    def take(self, rows: np.ndarray):
-        return self.texts.take(self.rows[rows])
-
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -302,7 +294,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
                 measures = [pa.array(getattr(t, m)) for m in MEASURES]
                 bad = failed(t)
                 if own is None:  # what the base rule rejects doesn't come to the others
-                    own = ordered(sampled(_kept(t, np.flatnonzero(~bad)), sample), rules)
+                    own = ordered(sampled(t.take(np.flatnonzero(~bad)), sample), rules)
                 columns = [batch.column(0).slice(a, b - a), *measures, pa.array(bad), pa.array(verdicts(t, own, ~bad))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *MEASURES, "base_failed", "kept"])
 
