@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.llm import _words
@@ -237,8 +238,8 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: st
 def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, prefixes: DataFrame, k: int, num: int, den: int, weights, text: str, chunk: int) -> DataFrame:
     """(node, root): the components of all links within blocks.
 
-    A block of up to `chunk` n-grams is one task. A larger one is cut: each chunk is joined by itself, and so are the heads
-    of the chunks' largest components, which in a group of near copies makes one component of most sets. What may be
+    A block of up to `chunk` n-grams is one task. A larger one is cut: each chunk is joined by itself, and so are, in
+    rounds, the heads of the chunks' largest components, which in a group of near copies makes one component of most sets. What may be
     missing are links between these components. Two ways find all of them, and each block takes the one that copies less:
 
     * by chunks: the sets outside the block's largest component are joined with every chunk. A link between two components
@@ -294,7 +295,7 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, prefixes:
         return counts.groupBy(*by).agg(F.min_by("root", F.struct(-F.col("c"), F.col("root"))).alias("main"))
 
     heads = largest(marked(own), "block", "part").select("block", F.col("main").alias("id"))
-    met = stored(_tasks(large.join(heads, ["block", "id"], "left_semi"), F.lit(-1), F.col("id"), num, den), "links")
+    met = _head_links(light.select("block", "id", "n").join(heads, ["block", "id"], "left_semi"), large, num, den, chunk)
     labels = stored(marked(own.unionByName(met)), "labels")
 
     sides = labels.join(largest(labels, "block"), "block")
@@ -321,6 +322,33 @@ def _block_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, prefixes:
     return stars.unionByName(components(own.unionByName(met).unionByName(rest).unionByName(more)))
 
 
+def _head_links(heads: DataFrame, large: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
+    """Links (a, b) of the chunks' heads (block, id, n), joined in groups of about `chunk` n-grams.
+
+    A block's heads are dealt to groups by their running sum of n-grams. Of a group, the head of its largest component goes
+    on to the next round, until a block has one group. A group has at least two heads, so rounds are no more than the
+    logarithm of a block's chunks. Links between other heads are found as those of all components are.
+    """
+    found = []
+    order = Window.partitionBy("block").orderBy("id")  # a row a chunk, without its n-grams
+    while True:
+        # of two rising numbers the lesser rises, too: groups of about `chunk` n-grams, and no more of them than pairs
+        before = F.floor((F.sum("n").over(order) - F.col("n")) / chunk)
+        pair = F.floor((F.row_number().over(order) - 1) / 2)
+        dealt = stored(heads.withColumn("part", F.least(before, pair).cast("int")), "heads")
+        met = stored(_tasks(large.select("block", "id", "grams").join(dealt.select("block", "id", "part"), ["block", "id"]), F.col("part"), F.col("id"), num, den), "links")
+        found.append(met)
+        several = dealt.groupBy("block").agg(F.max("part").alias("last")).filter("last > 0").select("block")
+        if several.isEmpty():
+            break
+        stars = met.select(F.col("b").alias("id"), F.col("a").alias("root"))
+        marked = dealt.join(several, "block", "left_semi").join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        counts = marked.groupBy("block", "part", "root").agg(F.count(F.lit(1)).alias("c"))
+        mains = counts.groupBy("block", "part").agg(F.min_by("root", F.struct(-F.col("c"), F.col("root"))).alias("id"))
+        heads = dealt.select("block", "id", "n").join(mains.select("block", "id"), ["block", "id"], "left_semi")
+    return reduce(DataFrame.unionByName, found)
+
+
 def _by_postings(posted, chunked):
     """Whether a block goes by postings: n-grams that each way copies."""
     return posted < chunked

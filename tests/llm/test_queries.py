@@ -99,6 +99,35 @@ def test_op2_links(spark, awkward_dir, chunk, posted, monkeypatch):
     assert len({root(i) for i in sets}) < len(sets) - 20
 
 
+def test_op2_heads_meet_in_rounds(spark):
+    """Heads of many chunks: no task gets all of them, and links between distant chunks are found."""
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.choice(1 << 40, 120, replace=False)).astype(np.uint64)
+    sets = [(1, i, np.sort(np.append(base, np.uint64((1 << 41) + i)))) for i in range(60)]
+    sets += [(2, 100 + i, np.sort(rng.choice(1 << 40, 50, replace=False)).astype(np.uint64)) for i in range(9)] + [(3, 200, base)]
+    large = spark.createDataFrame([(b, i, g.tobytes()) for b, i, g in sets], "block long, id long, grams binary")
+    heads = spark.createDataFrame([(b, i, len(g)) for b, i, g in sets], "block long, id long, n long")
+    groups = []
+    tasks = ngram_join._tasks
+
+    def watched(some, part, *rest):
+        groups.append([r[0] for r in some.groupBy("block", part).agg(F.sum(F.length("grams") / 8)).select("sum((length(grams) / 8))").collect()])
+        return tasks(some, part, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "_tasks", watched)
+        links = ngram_join._head_links(heads, large, 85, 100, 500).collect()
+    assert len(groups) > 2 and max(map(max, groups)) <= 500 + 3 * 121
+    up = {i: i for _, i, _ in sets}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert {root(i) for _, i, _ in sets} == {0, *range(100, 109), 200}
+
+
 def test_op3_edits(spark, awkward_dir):
     folder, rows = awkward_dir
     ordered = sorted(rows, key=lambda r: r[0])
