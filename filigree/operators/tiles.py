@@ -50,25 +50,26 @@ def from_voxels(voxels: DataFrame, shape: tuple[int, int, int], tile: tuple = TI
     """All tiles of each image of (image_id, z, y, x): boolean, or the doubles of a column, 0 where no voxel is.
 
     Voxels outside the shape, and rows with a null place, don't count; of repeated voxels the greatest value does. An image
-    with rows has all its tiles, also those without voxels; a null value is 0.
+    with rows has all its tiles, also those without voxels; a null value is 0. Repeated voxels are one before tiles are built,
+    so that no task holds more rows than a tile has voxels.
     """
     importable(voxels.sparkSession)
     corner = F.array(*(F.floor(F.col(c) / t).cast("int") * t for c, t in zip("zyx", tile, strict=True)))
     inside = functools.reduce(lambda a, b: a & b, [(F.col(c) >= 0) & (F.col(c) < n) for c, n in zip("zyx", shape, strict=True)])
     rows = voxels.select("image_id", *(F.col(c).cast("int").alias(c) for c in "zyx"), (F.col(value).cast("double") if value else F.lit(1.0)).alias("v"))
-    rows = rows.withColumn("key", corner)
+    once = rows.filter(inside).groupBy("image_id", *"zyx").agg(F.max(F.when(~F.isnan("v"), F.col("v"))).alias("v")).withColumn("key", corner)
     every = F.explode(F.array(*(F.array(*map(F.lit, low)) for low in grid(shape, tile))))
     none = rows.select("image_id").distinct().select("image_id", *(F.lit(None).cast("int").alias(c) for c in "zyx"), F.lit(None).cast("double").alias("v"), every.alias("key"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.array(pdf["key"].iloc[0])
         a = np.zeros(np.minimum(tile, np.array(shape) - low))
-        known = pdf[pdf["z"].notna()].sort_values("v", na_position="first")
+        known = pdf[pdf["z"].notna()]
         if len(known):
             a[tuple((known[c].to_numpy(int) - k) for c, k in zip("zyx", low, strict=True))] = known["v"].fillna(0.0)
         return pd.DataFrame([packed(pdf["image_id"].iloc[0], shape, low, a if value else a > 0)])
 
-    return rows.filter(inside).unionByName(none).groupBy(*KEYS).applyInPandas(build, SCHEMA)
+    return once.unionByName(none).groupBy(*KEYS).applyInPandas(build, SCHEMA)
 
 
 def cut(volumes: DataFrame, tile: tuple = TILE) -> DataFrame:

@@ -154,6 +154,15 @@ def test_from_voxels_and_back(spark):
     assert empty.count() == tiles.labelled(empty, tile=TILE).count() == tiles.filled(empty, TILE).count() == 0
 
 
+def test_repeated_voxels_are_one_before_they_reach_python(spark):
+    rows = [("a", 0, 0, 0, v) for v in (float("nan"), 2.0, None, -1.0)] + [("a", 1, 1, 1, float("nan")), ("a", 2, 2, 2, -3.0)]
+    made = tiles.from_voxels(spark.createDataFrame(rows, "image_id string, z int, y int, x int, value double"), (7, 9, 8), TILE, "value")
+    assert {tuple(r) for r in tiles.voxels(made).collect()} == {("a", 0, 0, 0, 2.0), ("a", 2, 2, 2, -3.0)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert any("Aggregate [image_id" in line and all(f"{c}#" in line for c in "zyx") for line in below.splitlines())
+
+
 def plain_blend(a, predict, roi, overlap, kind, rounds, fill):
     wide = [(max(0, (r - n) // 2), max(0, r - n - (r - n) // 2)) for n, r in zip(a.shape, roi, strict=True)]
     padded = np.pad(a, wide, constant_values=fill)
