@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
+import math
 from collections import defaultdict
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from filigree.operators.components import components as _components
 from filigree.sources.scratch import discard, stored
@@ -136,6 +138,151 @@ def hysteresis(field: DataFrame, low: float, high: float, width: int, image_span
     return marked.join(strong, ["image_no", "label"], "left_semi").select("image_no", "y", "x")
 
 
+#: Voxels of the tiles that a dense image's places are dealt by, and how far (in voxels) the nearest is first looked for in an array.
+PLACES, STEPS = (32, 128, 128), 5
+#: Pairs up to which two tiles' places are compared one by one; beyond, a transform counts them.
+PAIRS = 50_000_000
+
+
+def _smooth(n: int) -> int:
+    """The least number from n on that only 2, 3 and 5 divide: lengths whose transforms are fast."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
+def _blocks(n: int, m: int) -> list[slice]:
+    """Rows of an n by m table of distances, in blocks that stay in the cache."""
+    step = max(1, 200_000 // max(m, 1))
+    return [slice(a, min(a + step, n)) for a in range(0, n, step)] if m else []
+
+
+def _squares(p: np.ndarray, q: np.ndarray, voxel: tuple) -> np.ndarray:
+    g = np.zeros((len(p), len(q)))
+    for axis in range(3):
+        off = np.subtract.outer(p[:, axis], q[:, axis]) * float(voxel[axis])
+        off *= off
+        g += off
+    return g
+
+
+def _within(p: np.ndarray, q: np.ndarray, weights: np.ndarray, voxel: tuple, radius: float) -> np.ndarray:
+    """For each place of p, by column of weights, the sum over the places of q within the radius.
+
+    Of few pairs by distance; else as a convolution of q's box with a ball. Sums are whole numbers far below 2^52, so the
+    transform's rounding errors are far below one half.
+    """
+    away = [max(abs(int(a)), abs(int(b))) * float(s) for a, b, s in zip(q.max(axis=0) - p.min(axis=0), p.max(axis=0) - q.min(axis=0), voxel, strict=True)]
+    if sum(a * a for a in away) <= radius * radius:
+        return np.tile(weights.sum(axis=0), (len(p), 1))
+    out = np.zeros((len(p), weights.shape[1]), np.int64)
+    if len(p) * len(q) <= PAIRS:
+        for at in _blocks(len(p), len(q)):
+            out[at] = np.rint((_squares(p[at], q, voxel) <= radius * radius).astype(np.float64) @ weights.astype(np.float64))
+        return out
+    low, first = q.min(axis=0), p.min(axis=0)
+    own, wide = p.max(axis=0) - first + 1, q.max(axis=0) - low + 1
+    size = tuple(_smooth(int(n)) for n in own + wide - 1)
+    # the ball's place k holds the offset p - q of first - low - (wide - 1) + k
+    axes = [((f - b - (w - 1) + np.arange(n)) * float(s)) ** 2 for f, b, w, n, s in zip(first, low, wide, own + wide - 1, voxel, strict=True)]
+    ball = np.fft.rfftn((axes[0][:, None, None] + axes[1][None, :, None] + axes[2][None, None, :] <= radius * radius).astype(np.float64), size, (0, 1, 2))
+    at = tuple((p - first + wide - 1).T)
+    for i in range(weights.shape[1]):
+        box = np.zeros(tuple(wide))
+        box[tuple((q - low).T)] = weights[:, i]
+        out[:, i] = np.rint(np.fft.irfftn(np.fft.rfftn(box, size, (0, 1, 2)) * ball, size, (0, 1, 2))[at])
+    return out
+
+
+def _nearest(p: np.ndarray, tiles: list[np.ndarray], voxel: tuple) -> np.ndarray:
+    """For each place of p the squared distance to the nearest other place of the tiles; infinite where there is none.
+
+    Most are within some steps, where an array of the places around is looked up step by step, nearest first; what is left
+    meets the tiles, nearest first, as long as they may hold something nearer.
+    """
+    best = np.full(len(p), np.inf)
+    low, high = p.min(axis=0) - STEPS, p.max(axis=0) + STEPS
+    on = np.zeros(tuple(high - low + 1), bool)
+    for q in tiles:
+        inside = q[((q >= low) & (q <= high)).all(axis=1)]
+        on[tuple((inside - low).T)] = True
+    reach = STEPS * min(map(float, voxel))
+    steps = np.array([o for o in itertools.product(range(-STEPS, STEPS + 1), repeat=3) if any(o)])
+    length = ((steps * np.array(voxel, float)) ** 2).sum(axis=1)
+    left, flat, width = np.arange(len(p)), on.reshape(-1), np.array([on.shape[1] * on.shape[2], on.shape[2], 1])
+    at = (p - low) @ width
+    for i in np.argsort(length, kind="stable"):
+        if length[i] > reach * reach or not len(left):
+            break
+        hit = flat[at[left] + int(steps[i] @ width)]
+        best[left[hit]] = length[i]
+        left = left[~hit]
+    gaps = [(np.maximum(0, np.maximum(q.min(axis=0) - p.max(axis=0), p.min(axis=0) - q.max(axis=0))) * np.array(voxel, float)) for q in tiles]
+    for gap, q in sorted(zip([float((g * g).sum()) for g in gaps], tiles, strict=True), key=lambda t: t[0]):
+        open_ = left[best[left] > gap]
+        for block in _blocks(len(open_), len(q)):
+            rows = open_[block]
+            g = _squares(p[rows], q, voxel)
+            g[g == 0] = np.inf  # the place itself
+            best[rows] = np.minimum(best[rows], g.min(axis=1))
+    return best
+
+
+def _dense_neighbours(nodes: DataFrame, voxel: tuple, radius: float, tile: tuple) -> DataFrame:
+    """What neighbours() finds within the radius, of images whose nodes lie so close that pairs of nodes are too many.
+
+    Nodes of one place are one row, with how many of each kind; a tile's places are packed into one row, which goes to all tiles
+    within the radius. There a tile is counted as a whole, by pairs, or by convolution, whichever is less work: what a
+    pair of tiles costs is bounded, whatever the number of nodes.
+    """
+    kind = nodes.schema[IMAGE].dataType.simpleString()
+    corner = F.array(*(F.floor(F.col(c) / t).cast("int") for c, t in zip("zyx", tile, strict=True)))
+    places = nodes.groupBy(IMAGE, *"zyx").agg(F.count_if(~F.col("sprout")).alias("junctions"), F.count_if("sprout").alias("tips")).withColumn("tile", corner)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {c: pdf[c].to_numpy(np.int64).tobytes() for c in (*"zyx", "junctions", "tips")}
+        return pd.DataFrame([{IMAGE: pdf[IMAGE].iloc[0], "tile": list(pdf["tile"].iloc[0]), **row}])
+
+    packed = stored(places.groupBy(IMAGE, "tile").applyInPandas(pack, f"{IMAGE} {kind}, tile array<int>, z binary, y binary, x binary, junctions binary, tips binary"), "places")
+    reach = [math.ceil(radius / float(s) / t) for s, t in zip(voxel, tile, strict=True)]
+    known = packed.select(IMAGE, "tile")
+    goals = known
+    for i, r in enumerate(reach):  # to the tiles around that there are
+        goals = goals.withColumn(f"_{i}", F.explode(F.sequence(F.lit(-r), F.lit(r))))
+    goals = goals.withColumn("goal", F.array(*(F.col("tile")[i] + F.col(f"_{i}") for i in range(3)))).select(IMAGE, "tile", "goal")
+    goals = goals.join(known.withColumnRenamed("tile", "goal"), [IMAGE, "goal"], "left_semi")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        read = lambda row, *names: np.stack([np.frombuffer(row[c], np.int64) for c in names], axis=1)
+        own = next(r for r in rows if tuple(r["tile"]) == tuple(r["goal"]))
+        p = read(own, *"zyx")
+        out, kinds = np.zeros((len(p), 2), np.int64), ([], [])
+        for row in rows:
+            q, n = read(row, *"zyx"), read(row, "junctions", "tips")
+            out += _within(p, q, n, voxel, radius)
+            for i in range(2):
+                if n[:, i].any():
+                    kinds[i].append(q[n[:, i] > 0])
+        d = [np.sqrt(_nearest(p, k, voxel)) if k else np.full(len(p), np.inf) for k in kinds]
+        found = pd.DataFrame({**dict(zip("zyx", p.T, strict=True)), "_cj": out[:, 0], "_ct": out[:, 1], "_dj": d[0], "_dt": d[1], "_nj": np.frombuffer(own["junctions"], np.int64), "_nt": np.frombuffer(own["tips"], np.int64)})
+        found.insert(0, IMAGE, rows[0][IMAGE])
+        return found.replace({np.inf: None})
+
+    met = packed.join(goals, [IMAGE, "tile"]).groupBy(IMAGE, "goal").applyInPandas(near, f"{IMAGE} {kind}, z long, y long, x long, _cj long, _ct long, _dj double, _dt double, _nj long, _nt long")
+    out = nodes.select(IMAGE, "node_id", *(F.col(c).cast("long").alias(c) for c in "zyx"), "degree", "sprout").join(met, [IMAGE, *"zyx"])
+    columns = []
+    for name, k, own in (("junction", "j", ~F.col("sprout")), ("endpoint", "t", F.col("sprout"))):
+        self_ = own.cast("long")  # a node of the kind doesn't count itself
+        columns += [F.when(F.col(f"_n{k}") > self_, 0.0).otherwise(F.col(f"_d{k}")).alias(f"dist_nearest_{name}"), (F.col(f"_c{k}") - self_).alias(f"num_{name}_neighbors")]
+    return out.select(IMAGE, "node_id", F.col("degree").cast("long").alias("degree"), "sprout", *columns)
+
+
 def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float = 500.0, share: int = 2048) -> DataFrame:
     """For each node (with `sprout`): distances to the nearest other junction and tip, and how many lie within the radius.
 
@@ -146,7 +293,8 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
     27 shares each meet all nodes of the image. Larger images are cut into cells of the radius, and a share meets its
     cell and the 26 around it; what is nearest there is nearest, if it is no further than a cell is wide. Nodes that find
     nothing so near look again in cells four times as wide, and so on until a cell holds the image: few do, and how many is all
-    that the driver sees, with the widest extent.
+    that the driver sees, with the widest extent. Where the cells of a large image would hold far more nodes than `share` (and
+    places are whole numbers), its places are counted over tiles instead.
     """
     importable(nodes.sparkSession)
 
@@ -177,7 +325,12 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
     kind = nodes.schema[IMAGE].dataType.simpleString()
     schema = f"{IMAGE} {kind}, node_id long, degree long, sprout boolean, dist_nearest_junction double, num_junction_neighbors long, dist_nearest_endpoint double, num_endpoint_neighbors long"
     n = nodes.select(IMAGE, "node_id", "z", "y", "x", "degree", "sprout")
-    sizes = n.groupBy(IMAGE).agg((F.count(F.lit(1)) > 27 * share).alias("_large"))
+    ends = [((F.max(c) - F.min(c)) * float(s)).cast("double") for c, s in zip("zyx", voxel, strict=True)]
+    full = F.count(F.lit(1)) > 27 * share
+    crowd = functools.reduce(lambda a, e: a * F.least(F.lit(1.0), 3 * radius / F.greatest(e, F.lit(1e-9))), ends, F.count(F.lit(1)))
+    whole = all(isinstance(n.schema[c].dataType, IntegralType) for c in "zyx")
+    sizes = n.groupBy(IMAGE).agg(full.alias("_large"), (full & (crowd > 27 * share) & F.lit(whole)).alias("_dense"), F.greatest(*ends).alias("_extent"), F.count_if(~F.col("sprout")).alias("_junctions"), F.count_if("sprout").alias("_tips"))
+    sizes = stored(sizes, "sizes")
 
     def met(own: DataFrame, every: DataFrame, side: float) -> DataFrame:
         cells = [F.when(F.col("_large"), F.floor(F.col(c) * float(s) / side)).otherwise(0).cast("long").alias(f"_c{c}") for c, s in zip("zyx", voxel, strict=True)]
@@ -194,13 +347,20 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
         return own.groupBy(IMAGE, *keys, "_part").cogroup(around.groupBy(*(f"o_{c}" for c in (IMAGE, *keys, "_part")))).applyInPandas(near, schema)
 
     cut = n.join(sizes, IMAGE)
-    extent = cut.filter("_large").groupBy(IMAGE).agg(F.greatest(*((F.max(c) - F.min(c)) * float(s) for c, s in zip("zyx", voxel, strict=True))).alias("e")).agg(F.max("e")).first()[0]
-    found = met(cut, cut, radius)
-    if extent is None:  # no large image
+    large, dense, extent = sizes.agg(F.bool_or("_large"), F.bool_or("_dense"), F.max(F.when(F.col("_large"), F.col("_extent")))).first()
+    found = met(*[cut.filter("NOT _dense")] * 2, radius) if dense else met(cut, cut, radius)
+    if not large:
         return found
+    if dense:
+        found = found.unionByName(_dense_neighbours(cut.filter("_dense"), voxel, radius, PLACES))
     found, side, better = stored(found, "near"), radius, []
     kinds = ["dist_nearest_junction", "dist_nearest_endpoint"]
-    unsure = lambda df, side: df.join(sizes.filter("_large"), IMAGE, "left_semi").filter(" OR ".join(f"{k} IS NULL OR {k} > {side!r}" for k in kinds)).select(IMAGE, "node_id")
+    others = {kinds[0]: F.col("_junctions") - (~F.col("sprout")).cast("int"), kinds[1]: F.col("_tips") - F.col("sprout").cast("int")}  # none: nothing to look for
+
+    def unsure(df: DataFrame, side: float) -> DataFrame:
+        open_ = functools.reduce(lambda a, b: a | b, [(others[k] > 0) & (F.col(k).isNull() | (F.col(k) > side)) for k in kinds])
+        return df.join(sizes.filter("_large"), IMAGE).filter(open_).select(IMAGE, "node_id")
+
     left = stored(unsure(found, side), "unsure")
     while side < extent and left.take(1):
         side *= 4
@@ -209,7 +369,7 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
         left = stored(unsure(again, side), "unsure")
     if not better:
         return found
-    last = reduce(DataFrame.unionByName, better).groupBy(IMAGE, "node_id").agg(F.max_by(F.struct(*kinds), "_n").alias("_last"))
+    last = functools.reduce(DataFrame.unionByName, better).groupBy(IMAGE, "node_id").agg(F.max_by(F.struct(*kinds), "_n").alias("_last"))
     out = found.join(last, [IMAGE, "node_id"], "left")
     return out.withColumns({k: F.when(F.col("_last").isNotNull(), F.col(f"_last.{k}")).otherwise(F.col(k)) for k in kinds}).select(*found.columns)
 

@@ -318,6 +318,38 @@ def test_neighbours_by_cells(spark):
                 assert got[image, r[1]][f"num_{name}_neighbors"] == (x <= 25.0).sum()
 
 
+def test_neighbours_of_crowded_images_are_counted_over_tiles(spark, monkeypatch):
+    """Places with several nodes, sparse corners, a kind that is rare; pairs, whole tiles and convolutions count alike."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for image, n, rare in (("dense", 1500, 0.5), ("lonely", 800, 0.0)):
+        at = np.concatenate([rng.integers(0, (9, 30, 41), (n, 3)), rng.integers(0, 60, (20, 3))]) - 7
+        rows += [(image, i, *map(int, p), 1, bool(rng.random() < rare or (image == "lonely" and i == 3))) for i, p in enumerate(at)]
+    df = spark.createDataFrame(rows, "image_id string, node_id long, z int, y int, x int, degree long, sprout boolean")
+    monkeypatch.setattr(graph, "PLACES", (8, 16, 16))
+    asked = []
+    inner = graph._dense_neighbours
+    monkeypatch.setattr(graph, "_dense_neighbours", lambda nodes, *a: asked.append(nodes) or inner(nodes, *a))
+    got = {(r["image_id"], r["node_id"]): r for r in graph.neighbours(df, radius=50.0, share=4).collect()}
+    assert len(got) == len(rows) and len(asked) == 1 and asked[0].count() == len(rows)
+    for image in ("dense", "lonely"):
+        own = [r for r in rows if r[0] == image]
+        p, tip = np.array([r[2:5] for r in own]) * 2.0, np.array([r[6] for r in own])
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        for i, r in enumerate(own):
+            for name, kind in (("junction", ~tip), ("endpoint", tip)):
+                x = d[i][kind]
+                best = x.min() if len(x) and np.isfinite(x.min()) else None
+                assert got[image, r[1]][f"dist_nearest_{name}"] == (None if best is None else pytest.approx(best)), (image, r[1], name)
+                assert got[image, r[1]][f"num_{name}_neighbors"] == (x <= 50.0).sum()
+    p, q = np.unique(rng.integers(-5, 20, (900, 3)), axis=0), np.unique(rng.integers(11, 30, (800, 3)), axis=0)
+    w = rng.integers(0, 9, (len(q), 2))
+    plain = graph._within(p, q, w, (2.0, 1.5, 0.5), 15.0)
+    monkeypatch.setattr(graph, "PAIRS", 0)
+    assert plain.any() and np.array_equal(plain, graph._within(p, q, w, (2.0, 1.5, 0.5), 15.0))
+
+
 def test_whole_analysis(spark):
     """By hand: 4 junctions, 8 sprouts, and without sprouts a ring of 280 voxels in 3 edges (the last node can't go)."""
     from filigree.plans.analysis import analyse
