@@ -21,13 +21,18 @@ def number(x: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def deciles(x: Column | str) -> Column:
+    """P10, P50 and P90, exact and linearly interpolated. Aggregates of one column that take them from here share one table of counts."""
+    return F.percentile(number(x), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+
+
 def safe_median(x: Column | str) -> Column:
-    return F.percentile(number(x), F.lit(0.5))
+    return deciles(x)[1]
 
 
 def spread(x: Column | str) -> Column:
-    """P90 less P10, exact and linearly interpolated."""
-    return F.percentile(number(x), F.lit(0.9)) - F.percentile(number(x), F.lit(0.1))
+    """P90 less P10."""
+    return deciles(x)[2] - deciles(x)[0]
 
 
 def population_std(x: Column | str) -> Column:

@@ -45,12 +45,13 @@ def junction_table(found: DataFrame) -> DataFrame:
 def subset_statistics(metrics: DataFrame, columns: list[str], subset: str, everything: str | None = None) -> DataFrame:
     """Long (image_id, subset, metric, value of each aggregate): a row explodes into its subset and, if named, that of all.
 
-    One shuffle by (image, subset, metric).
+    One shuffle by (image, subset), of all columns' aggregates; they become long when they are few.
     """
     tags = F.array(F.col(subset), F.lit(everything)) if everything else F.array(F.col(subset))
-    tagged = metrics.withColumn("_subset", F.explode(tags)).withColumns({c: F.col(c).cast("double") for c in columns})
-    values = long(tagged.select(IMAGE, "_subset", *columns), [IMAGE, "_subset"], columns, "metric", "value")
-    return values.groupBy(IMAGE, F.col("_subset").alias("subset"), "metric").agg(*(AGGREGATORS[a]("value").alias(a) for a in AGGREGATES))
+    tagged = metrics.select(IMAGE, F.explode(tags).alias("subset"), *(F.col(c).cast("double").alias(c) for c in columns))
+    wide = tagged.groupBy(IMAGE, "subset").agg(*(AGGREGATORS[a](c).alias(f"{a} {c}") for c in columns for a in AGGREGATES))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), *(F.col(f"{a} {c}").alias(a) for a in AGGREGATES)) for c in columns)))
+    return wide.select(IMAGE, "subset", each.alias("_of")).select(IMAGE, "subset", "_of.*")
 
 
 def named(stats: DataFrame) -> DataFrame:
@@ -58,9 +59,16 @@ def named(stats: DataFrame) -> DataFrame:
     return long(stats, [IMAGE, "subset", "metric"], list(AGGREGATES), "agg", "value").select(IMAGE, F.concat_ws("_", "agg", "subset", "metric").alias("name"), "value")
 
 
-def edge_statistics(metrics: DataFrame) -> DataFrame:
-    renamed = metrics.select(IMAGE, "edge_kind", *(F.col(c).alias(a) for a, c in EDGE_ALIASES.items()))
-    return subset_statistics(renamed, list(EDGE_ALIASES), "edge_kind", "sprout_and_branch")
+def edge_statistics(metrics: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Of all metrics of edges, or of some by their short names."""
+    names = list(EDGE_ALIASES) if names is None else names
+    renamed = metrics.select(IMAGE, "edge_kind", *(F.col(EDGE_ALIASES[a]).alias(a) for a in names))
+    return subset_statistics(renamed, names, "edge_kind", "sprout_and_branch")
+
+
+def measured(columns: list[str]) -> list[str]:
+    """The short names of the edge metrics that columns of a panel may come from."""
+    return [a for a in EDGE_ALIASES if any(c.endswith(f"_{a}") for c in columns)]
 
 
 def node_statistics(nodes: DataFrame, kind: str | None = None) -> DataFrame:

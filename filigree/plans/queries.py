@@ -75,13 +75,13 @@ _SUBSETS = " UNION ALL ".join(f"SELECT image_id, {s} AS subset, '{a}' AS metric,
 _STATS = "round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 4) AS spread"
 
 
-def _edge_stats(fx) -> DataFrame:
-    return metrics.edge_statistics(metrics.branch_metrics(fx.lines()))
+def _edge_stats(fx, names) -> DataFrame:
+    return metrics.edge_statistics(metrics.branch_metrics(fx.lines()), list(names))
 
 
 @query("q07_subset_stats_long", f"SELECT image_id, subset, metric, {_STATS} FROM ({_SUBSETS}) GROUP BY 1, 2, 3", "met")
 def _(fx):
-    return rounded(_edge_stats(fx).filter(F.col("metric").isin(*_ALIAS)), 4, "mean", "std", "median", "spread")
+    return rounded(_edge_stats(fx, _ALIAS), 4, "mean", "std", "median", "spread")
 
 
 _WIDE = ["median_branch_length", "spread_branch_length", "mean_sprout_and_branch_tortuosity", "std_floating_sprout_median_cs_area", "mean_attached_sprout_orientation"]
@@ -93,7 +93,7 @@ _WIDE = ["median_branch_length", "spread_branch_length", "mean_sprout_and_branch
     "met",
 )
 def _(fx):
-    return rounded(metrics.panel(metrics.named(_edge_stats(fx)), _WIDE), 4, *_WIDE)
+    return rounded(metrics.panel(metrics.named(_edge_stats(fx, metrics.measured(_WIDE))), _WIDE), 4, *_WIDE)
 
 
 @query("q09_node_stats_grouping_sets", "SELECT image_id, CASE WHEN grouping(sprout) = 1 THEN 'all_nodes' WHEN sprout THEN 'sprout_tip' ELSE 'junction' END AS subset, round(avg(degree), 5) AS mean, round(stddev_pop(degree), 5) AS std, median(degree) AS median FROM nod GROUP BY GROUPING SETS ((image_id, sprout), (image_id))", "nod")
@@ -127,7 +127,7 @@ def _curated_sql() -> str:
 
 @query("q10_curated_panel", _curated_sql(), "met", "vox")
 def _(fx):
-    edges = metrics.named(_edge_stats(fx))
+    edges = metrics.named(_edge_stats(fx, metrics.measured(_CURATED_STATS)))
     f = voxels.fractal(fx.voxels().select(F.lit("MACHINERY").alias("image_id"), "z", "y", "x").distinct(), _BOXES)
     more = cohort.long(f, ["image_id"], ["fractal_dimension", "lacunarity"], "name", "value").withColumn("name", F.concat(F.lit("skeleton_"), "name"))
     return rounded(metrics.curated_panel(edges.unionByName(more)).select("image_id", *CURATED_PANEL), 4, *CURATED_PANEL)

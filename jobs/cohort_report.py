@@ -48,7 +48,7 @@ def centrelines(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) ->
 
 def panel(lines: DataFrame, features: list[str], min_lines: int) -> DataFrame:
     """experiment, image_id, feature and value of images with enough centrelines."""
-    wanted = [a for a in EDGE_ALIASES if any(f.endswith(f"_{a}") for f in features)]
+    wanted = metrics.measured(features)
     edges = metrics.branch_metrics(lines).select("image_id", "edge_kind", *(EDGE_ALIASES[a] for a in wanted)).withColumnsRenamed({EDGE_ALIASES[a]: a for a in wanted})
     values = metrics.named(metrics.subset_statistics(edges, wanted, "edge_kind", "sprout_and_branch")).filter(F.col("name").isin(features) & F.col("value").isNotNull())
     images = lines.groupBy("image_id").agg(F.first("experiment").alias("experiment"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_lines)

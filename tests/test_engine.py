@@ -293,6 +293,27 @@ def packed(spark, *named):
     return spark.createDataFrame(rows, volume.SCHEMA)
 
 
+def test_statistics_count_each_value_once(spark):
+    """One table of counts a metric and subset, whatever the aggregates; only the metrics asked for."""
+    from filigree.operators import metrics
+    from filigree.schemas import AGGREGATES, EDGE_ALIASES
+
+    rows = [("a", k, *(float(i * (j + 1)) if i % 4 else None for j in range(len(EDGE_ALIASES)))) for i, k in enumerate(["branch", "attached_sprout"] * 9)]
+    df = spark.createDataFrame(rows, "image_id string, edge_kind string, " + ", ".join(f"{c} double" for c in EDGE_ALIASES.values()))
+    found = metrics.edge_statistics(df, ["length", "orientation"])
+    assert found.columns == ["image_id", "subset", "metric", *AGGREGATES]
+    every = {(r["subset"], r["metric"]): r for r in metrics.edge_statistics(df).collect()}
+    some = {(r["subset"], r["metric"]): r for r in found.collect()}
+    assert len(every) == 3 * len(EDGE_ALIASES) and len(some) == 6 and all(every[k] == r for k, r in some.items())
+    for k, test in (("branch", lambda i: i % 2 == 0), ("attached_sprout", lambda i: i % 2), ("sprout_and_branch", lambda i: True)):
+        v = np.array([i * 2.0 for i in range(18) if i % 4 and test(i)])
+        want = {"mean": v.mean(), "std": v.std(), "median": np.median(v), "spread": np.percentile(v, 90) - np.percentile(v, 10)}
+        assert all(some[k, "length"][a] == pytest.approx(x) for a, x in want.items())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("partial_percentile(") == 2
+    assert metrics.measured(["median_branch_length", "skeleton_lacunarity"]) == ["length"]
+
+
 def test_neighbours_by_cells(spark):
     """Large images by cells: clusters, a node far from all, an image of one kind; against all distances."""
     rng = np.random.default_rng(4)
