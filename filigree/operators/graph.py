@@ -70,38 +70,74 @@ def joined(a: list, b: list) -> list:
     return [*x, *(y[1:] if x[-1] == y[0] else y)]
 
 
+#: Edges that go to Python in one group, about.
+GROUP = 50_000
+
+
+def _buckets(n: int) -> int:
+    return max(1, math.ceil(n / GROUP))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Nodes of degree 2 merged away, by image, in ascending order of node number, as long as the graph stays simple.
 
-    Order matters where chains close loops, so each image is one group; weights add up, `merged` counts the edges, and
-    polylines (pts), if there are any, are joined at their nearest ends.
+    Weights add up, `merged` counts the edges, and polylines (pts), if there are any, are joined at their nearest ends.
+
+    Degrees don't change, so all other nodes stay, and what a chain of nodes of degree 2 becomes depends on nothing but the
+    chains and the edge between the same two ends. Order matters there only, so these meet in one group, many in
+    a group of bounded size; other edges stay as they are. The driver sees one count.
     """
     importable(edges.sparkSession)
     lines = "pts" in edges.columns
+    kind = edges.schema[IMAGE].dataType.simpleString()
+    pts = ["pts"] * lines
+    schema = f"{IMAGE} {kind}, u long, v long, weight double, merged long" + ", pts array<struct<z:int,y:int,x:int>>" * lines
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, dict[int, tuple[float, int, list]]] = defaultdict(dict)
-        pts = [[(p["z"], p["y"], p["x"]) for p in x] for x in pdf.pts] if lines else [[] for _ in range(len(pdf))]
-        for u, v, w, p in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), pts, strict=True):
+        points = [[(p["z"], p["y"], p["x"]) for p in x] for x in pdf.pts] if lines else [[] for _ in range(len(pdf))]
+        for u, v, w, p in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), points, strict=True):
             near[u][v] = near[v][u] = (w, 1, p)
+        inner = sorted({*pdf.u[pdf.u_inner].tolist(), *pdf.v[pdf.v_inner].tolist()})
         again = True
         while again:
-            again = False
-            for n in sorted(near):
-                if len(near[n]) != 2:
-                    continue
+            again, rest = False, []
+            for n in inner:
                 (a, (wa, ca, pa)), (b, (wb, cb, pb)) = near[n].items()
-                if a == b or b in near[a]:
+                if b in near[a]:
+                    rest.append(n)
                     continue
                 del near[n], near[a][n], near[b][n]
                 near[a][b] = near[b][a] = (wa + wb, ca + cb, joined(pa, pb) if pa and pb else pa or pb)
                 again = True
+            inner = rest
         rows = [(pdf[IMAGE].iloc[0], u, v, w, c, [dict(zip("zyx", q, strict=True)) for q in p]) for u in near for v, (w, c, p) in near[u].items() if u < v]
-        return pd.DataFrame(rows, columns=[IMAGE, "u", "v", "weight", "merged", "pts"])[[IMAGE, "u", "v", "weight", "merged", *(["pts"] if lines else [])]]
-
-    kind = edges.schema[IMAGE].dataType.simpleString()
-    schema = f"{IMAGE} {kind}, u long, v long, weight double, merged long" + ", pts array<struct<z:int,y:int,x:int>>" * lines
-    return edges.select(IMAGE, "u", "v", "weight", *(["pts"] if lines else [])).groupBy(IMAGE).applyInPandas(merge, schema)
+        return pd.DataFrame(rows, columns=[IMAGE, "u", "v", "weight", "merged", "pts"])[[IMAGE, "u", "v", "weight", "merged", *pts]]
+
+    # one edge between two nodes; one from a node to itself keeps the node
+    own = edges.select(IMAGE, F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), F.col("weight").cast("double").alias("weight"), *pts)
+    own = own.groupBy(IMAGE, "u", "v").agg(F.min_by(F.struct("weight", *pts), "weight").alias("_e")).select(IMAGE, "u", "v", "_e.*")
+    degree = own.select(IMAGE, F.explode(F.array("u", "v")).alias("node_id"), (F.col("u") == F.col("v")).alias("_loop")).groupBy(IMAGE, "node_id")
+    inner = degree.agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_loop").alias("_loop")).filter("_n = 2 AND NOT _loop").select(IMAGE, "node_id")
+    marked = own.filter("u < v")
+    for c in "uv":
+        marked = marked.join(inner.select(IMAGE, F.col("node_id").alias(c), F.lit(True).alias(f"{c}_inner")), [IMAGE, c], "left").withColumn(f"{c}_inner", F.coalesce(f"{c}_inner", F.lit(False)))
+    marked = stored(marked, "contracted")
+
+    # chains: inner nodes that edges link, by their least node; their ends: the other nodes of their edges
+    link = lambda c: F.struct(IMAGE, F.col(c).alias("n"))
+    roots = _components(marked.filter("u_inner AND v_inner").select(link("u").alias("a"), link("v").alias("b"))).select(F.col(f"node.{IMAGE}").alias(IMAGE), F.col("node.n").alias("_n"), F.col("root.n").alias("_root"))
+    chains = marked.filter("u_inner OR v_inner").withColumn("_n", F.when(F.col("u_inner"), F.col("u")).otherwise(F.col("v")))
+    chains = chains.join(roots, [IMAGE, "_n"], "left").withColumn("_root", F.coalesce("_root", "_n"))
+    outer = F.when(~F.col("u_inner"), F.col("u")).when(~F.col("v_inner"), F.col("v"))
+    ends = chains.groupBy(IMAGE, "_root").agg(F.coalesce(F.min(outer), F.col("_root")).alias("_a"), F.coalesce(F.max(outer), F.col("_root")).alias("_b"))
+    chains = chains.join(ends, [IMAGE, "_root"]).select(*marked.columns, "_a", "_b")
+    plain = marked.filter("NOT u_inner AND NOT v_inner").withColumns({"_a": F.col("u"), "_b": F.col("v")})
+    between = ends.select(IMAGE, "_a", "_b").distinct()
+    chains = stored(chains.unionByName(plain.join(between, [IMAGE, "_a", "_b"], "left_semi")), "chains")
+    parts = _buckets(chains.count())
+    found = chains.withColumn("_part", F.pmod(F.xxhash64("_a", "_b"), F.lit(parts))).drop("_a", "_b").groupBy(IMAGE, "_part").applyInPandas(merge, schema)
+    return found.unionByName(plain.join(between, [IMAGE, "_a", "_b"], "left_anti").select(IMAGE, "u", "v", "weight", F.lit(1).cast("long").alias("merged"), *pts))
 
 
 def without_sprouts(edges: DataFrame) -> DataFrame:

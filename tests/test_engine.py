@@ -314,6 +314,45 @@ def test_statistics_count_each_value_once(spark):
     assert metrics.measured(["median_branch_length", "skeleton_lacunarity"]) == ["length"]
 
 
+def test_contraction_by_chains(spark, monkeypatch):
+    """Bundles of chains, rings, chains from a node to itself and loops, dealt over many groups, as one graph at a time gives them."""
+    rng = np.random.default_rng(6)
+    links = {}
+    for image, n, m in (("a", 60, 62), ("b", 40, 36), ("c", 9, 9)):
+        for i, (u, v) in enumerate(rng.integers(0, n, (m, 2)).tolist()):
+            links[image, min(u, v), max(u, v)] = float(i + 1)
+        names = iter(rng.permutation(np.arange(100, 200)).tolist())
+        for a, b in ((0, 1), (0, 1), (0, 1), (2, 2), (3, 4)):  # chains of three between two nodes, and a ring
+            x, y, z = next(names), next(names), next(names)
+            links |= {(image, min(p, q), max(p, q)): 0.5 + p for p, q in ((a, x), (x, y), (y, z), (z, b))}
+        ring = [next(names) for _ in range(5)]
+        links |= {(image, min(p, q), max(p, q)): 1.0 for p, q in zip(ring, ring[1:] + ring[:1])}
+    want = {}
+    for image in "abc":
+        near = {}
+        for (i, u, v), w in links.items():
+            if i == image:
+                near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = (w, 1)
+        again = True
+        while again:
+            again = False
+            for n in sorted(near):
+                if len(near[n]) == 2:
+                    (a, (wa, ca)), (b, (wb, cb)) = near[n].items()
+                    if a != b and b not in near[a]:
+                        del near[n], near[a][n], near[b][n]
+                        near[a][b] = near[b][a] = (wa + wb, ca + cb)
+                        again = True
+        want |= {(image, u, v): x for u in near for v, x in near[u].items() if u < v}
+    monkeypatch.setattr(graph, "GROUP", 10)
+    sizes = []
+    inner = graph._buckets
+    monkeypatch.setattr(graph, "_buckets", lambda n: sizes.append(inner(n)) or sizes[-1])
+    e = spark.createDataFrame([(*k, w) for k, w in links.items()], "image_id string, u long, v long, weight double")
+    got = {(r["image_id"], r["u"], r["v"]): (pytest.approx(r["weight"]), r["merged"]) for r in graph.contracted(e).collect()}
+    assert got == want and len(sizes) == 1 and sizes[0] > 5
+
+
 def test_neighbours_by_cells(spark):
     """Large images by cells: clusters, a node far from all, an image of one kind; against all distances."""
     rng = np.random.default_rng(4)
