@@ -413,7 +413,9 @@ def neighbours(nodes: DataFrame, voxel: tuple = (2.0, 2.0, 2.0), radius: float =
 def along_skeleton(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(image_id, node_id, sprout, distance): along edges to the nearest other node of the same kind; NULL if none is reached.
 
-    One Dijkstra search from all nodes of a kind at once, in which each node keeps the two nearest different sources.
+    One Dijkstra search from all nodes of a kind at once, in which each node keeps the two nearest different sources. Paths
+    don't leave a connected component, so components are dealt to groups of bounded size; only one that is larger by itself is
+    a larger group. The driver sees one count.
     """
     importable(edges.sparkSession)
 
@@ -439,7 +441,17 @@ def along_skeleton(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[IMAGE, "node_id", "sprout", "distance"])
 
     kind = edges.schema[IMAGE].dataType.simpleString()
-    a, b = edges.select(IMAGE, "u", "v", "weight").groupBy(IMAGE), nodes.select(IMAGE, "node_id", "sprout").groupBy(IMAGE)
+    own = stored(edges.select(IMAGE, "u", "v", "weight"), "along")
+    of = lambda c: F.struct(IMAGE, F.col(c).cast("long").alias("n"))
+    roots = _components(own.select(of("u").alias("a"), of("v").alias("b"))).select(F.col(f"node.{IMAGE}").alias(IMAGE), F.col("node.n").alias("_n"), F.col("root.n").alias("_root"))
+    parts = _buckets(own.count())
+
+    def dealt(df: DataFrame, c: str) -> DataFrame:
+        rooted = df.withColumn("_n", F.col(c).cast("long")).join(roots, [IMAGE, "_n"], "left")
+        return rooted.withColumn("_part", F.pmod(F.xxhash64(F.coalesce("_root", "_n")), F.lit(parts))).drop("_n", "_root")
+
+    a = dealt(own, "u").select(IMAGE, "_part", "u", "v", "weight").groupBy(IMAGE, "_part")
+    b = dealt(nodes.select(IMAGE, "node_id", "sprout"), "node_id").toDF("o_image", "node_id", "sprout", "o_part").groupBy("o_image", "o_part")  # names of their own, as both may stem from one table
     return a.cogroup(b).applyInPandas(search, f"{IMAGE} {kind}, node_id long, sprout boolean, distance double")
 
 

@@ -295,7 +295,6 @@ def packed(spark, *named):
 
 def test_statistics_count_each_value_once(spark):
     """One table of counts a metric and subset, whatever the aggregates; only the metrics asked for."""
-    from filigree.operators import metrics
     from filigree.schemas import AGGREGATES, EDGE_ALIASES
 
     rows = [("a", k, *(float(i * (j + 1)) if i % 4 else None for j in range(len(EDGE_ALIASES)))) for i, k in enumerate(["branch", "attached_sprout"] * 9)]
@@ -353,6 +352,32 @@ def test_contraction_by_chains(spark, monkeypatch):
     assert got == want and len(sizes) == 1 and sizes[0] > 5
 
 
+def test_distances_along_components_in_groups(spark, monkeypatch):
+    """Components are dealt over groups: the same distances as with an image in one group; nodes without edges have none."""
+    rng = np.random.default_rng(7)
+    links = {(i, min(u, v), max(u, v)): float(w) for i in "ab" for (u, v), w in zip(rng.integers(0, 90, (70, 2)).tolist(), rng.integers(1, 9, 70), strict=True) if u != v}
+    e = spark.createDataFrame([(*k, w) for k, w in links.items()], "image_id string, u long, v long, weight double")
+    alone = spark.createDataFrame([("a", 500, True), ("c", 1, False)], "image_id string, node_id long, sprout boolean")
+    nodes = graph.degrees(e).select("image_id", "node_id", (F.col("degree") == 1).alias("sprout")).unionByName(alone)
+    seen = lambda: {(r["image_id"], r["node_id"], r["sprout"], r["distance"]) for r in graph.along_skeleton(e, nodes).collect()}
+    whole, sizes, inner = seen(), [], graph._buckets
+    monkeypatch.setattr(graph, "GROUP", 5)
+    monkeypatch.setattr(graph, "_buckets", lambda n: sizes.append(inner(n)) or sizes[-1])
+    assert seen() == whole and len(sizes) == 1 and sizes[0] > 20
+    kinds, d = {(i, n): s for i, n, s, _ in whole}, {}
+    for start in kinds:  # by hand
+        left, far = {start: 0.0}, {}
+        while left:
+            at = min(left, key=left.get)
+            far[at] = left.pop(at)
+            for (i, u, v), w in links.items():
+                for p, q in ((u, v), (v, u)):
+                    if i == at[0] and p == at[1] and (i, q) not in far:
+                        left[i, q] = min(left.get((i, q), 1e9), far[at] + w)
+        d[start] = min((x for n, x in far.items() if n != start and kinds[n] == kinds[start]), default=None)
+    assert {(i, n): x for i, n, _, x in whole} == d and None in d.values()
+
+
 def test_neighbours_by_cells(spark):
     """Large images by cells: clusters, a node far from all, an image of one kind; against all distances."""
     rng = np.random.default_rng(4)
